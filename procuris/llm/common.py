@@ -71,7 +71,7 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
 
     lower makes A-Z small and leaves other letters. A null is an empty text.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "")
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     offsets, flat = np.asarray(parts.offsets), parts.flatten()
     offsets = offsets - offsets[0]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from procuris.llm import simhash
+from procuris.llm import simhash, toxicity
 
 QUERIES = {
     "op4_simhash_near_dedup": simhash.op4,
+    "op5_toxicity": toxicity.op5,
 }
 SQL: dict[str, str] = {}
