@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from procuris.llm import simhash, toxicity
+from procuris.llm import langid, mixing, packing, simhash, toxicity
 
 QUERIES = {
+    "op1_language_id": langid.op1,
     "op4_simhash_near_dedup": simhash.op4,
     "op5_toxicity": toxicity.op5,
+    "op8_source_mixing": mixing.op8,
+    "op9_best_fit_packing": packing.op9,
+}
+SQL: dict[str, str] = {
+    "op8_source_mixing": mixing.OP8_SQL,
 }
-SQL: dict[str, str] = {}
