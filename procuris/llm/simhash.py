@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from procuris.llm.common import blocked_pairs, components, local_components, runs, saved
 
 #: Rows of a bucket that one block may hold, and the size from which a group is compared bit-sliced.
-BLOCK, SLICED = 4096, 48
+BLOCK, SLICED = 2048, 48
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -54,14 +54,13 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def sliced_pairs(fa: np.ndarray, fb: np.ndarray, radius: int, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) with at most `radius` differing bits between fa[i] and fb[j].
+def sliced_pairs(fa: np.ndarray, fb: np.ndarray, radius: int, step: int = 128):
+    """Yields arrays (i, j) of index pairs, for `step` of fa at a time, with at most `radius` differing bits between fa[i] and fb[j].
 
     64 fingerprints of fb stand in each word of a plane. Three planes at a time go through a carry-save adder into
     bitwise counters; words (blocks of 64) whose lanes all exceed the radius are abandoned every nine planes.
     """
     plane, nbits = planes(fb), max(2, int(radius).bit_length())
-    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for start in range(0, len(fa), step):
         q = fa[start:start + step]
         mask = np.where(np.unpackbits(q.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T, ONES, np.uint64(0))
@@ -100,9 +99,7 @@ def sliced_pairs(fa: np.ndarray, fb: np.ndarray, radius: int, step: int = 128) -
             row, lane = np.nonzero(lanes)
             j = wi[row] * 64 + lane
             keep = j < len(fb)
-            found_i.append(qi[row][keep] + start)
-            found_j.append(j[keep])
-    return np.concatenate(found_i), np.concatenate(found_j)
+            yield qi[row][keep] + start, j[keep]
 
 
 def bucket_keys(fp: Column, radius: int, agree: int) -> Column:
@@ -153,9 +150,12 @@ def near_links(fps: DataFrame, radius: int = 4, agree: int = 2, block: int = BLO
             for g in np.flatnonzero(size >= SLICED):
                 at = np.arange(begin[g], begin[g + 1])
                 one, two = at[blk[at] == cols[1][at[0]]], at[blk[at] == cols[2][at[0]]]
-                i, j = sliced_pairs(fp[one], fp[two], radius)
-                a.append(one[i])
-                b.append(two[j])
+                root, first = np.arange(len(at)), begin[g]
+                for i, j in sliced_pairs(fp[one], fp[two], radius):  # links of a step at a time: many near copies link in all pairs
+                    root = local_components(len(at), np.append(one[i] - first, root), np.append(two[j] - first, np.arange(len(at))))
+                linked = np.flatnonzero(root != np.arange(len(at)))
+                a.append(linked + first)
+                b.append(root[linked] + first)
             a, b = np.concatenate(a), np.concatenate(b)
             if not len(a):
                 continue
