@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procuris.llm import langid, mixing, packing, simhash, toxicity
+from procuris.llm import langid, mixing, packing, simhash, toxicity, warczip
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -10,7 +10,9 @@ QUERIES = {
     "op5_toxicity": toxicity.op5,
     "op8_source_mixing": mixing.op8,
     "op9_best_fit_packing": packing.op9,
+    "op10_warc_zip": warczip.op10,
 }
 SQL: dict[str, str] = {
     "op8_source_mixing": mixing.OP8_SQL,
+    "op10_warc_zip": warczip.OP10_SQL,
 }
