@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from procuris.llm import langid, mixing, packing, simhash, toxicity, warczip
+from procuris.llm import egojoin, langid, mixing, packing, simhash, toxicity, warczip
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op4_simhash_near_dedup": simhash.op4,
     "op5_toxicity": toxicity.op5,
+    "op6_embedding_near_dedup": egojoin.op6,
     "op8_source_mixing": mixing.op8,
     "op9_best_fit_packing": packing.op9,
     "op10_warc_zip": warczip.op10,
