@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from procuris.llm import egojoin, langid, mixing, packing, simhash, toxicity, warczip
+from procuris.llm import egojoin, langid, linededup, mixing, omh, packing, rotation, simhash, toxicity, warczip
 
 QUERIES = {
     "op1_language_id": langid.op1,
+    "op2_line_dedup": linededup.op2,
+    "op3_order_minhash": omh.op3,
     "op4_simhash_near_dedup": simhash.op4,
     "op5_toxicity": toxicity.op5,
     "op6_embedding_near_dedup": egojoin.op6,
+    "op7_perspective_rotation": rotation.op7,
     "op8_source_mixing": mixing.op8,
     "op9_best_fit_packing": packing.op9,
     "op10_warc_zip": warczip.op10,
 }
 SQL: dict[str, str] = {
+    "op7_perspective_rotation": rotation.OP7_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
     "op10_warc_zip": warczip.OP10_SQL,
 }
