@@ -7,6 +7,7 @@ the columns of documents. run() applies them to documents, each stage's result w
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from procuris.llm import linededup, mixing, packing, simhash, toxicity
 from procuris.llm.common import saved, table
@@ -19,7 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, of each class of near-equal lines the first line alone (operator 2)."""
-    return linededup.without_repeats(docs)
+    cut = linededup.without_repeats(docs)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
