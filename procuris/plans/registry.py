@@ -4,3 +4,18 @@ from __future__ import annotations
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(text: str | None = None):
+    """Register a function (spark, sf_dir) under its name, with its SQL form if there is one."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if text is not None:
+            SQL[f.__name__] = text
+        return f
+
+    return register
+
+
+from procuris.plans import spend  # noqa: E402, F401  they register themselves
