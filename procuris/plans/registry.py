@@ -18,4 +18,4 @@ def query(text: str | None = None):
     return register
 
 
-from procuris.plans import spend  # noqa: E402, F401  they register themselves
+from procuris.plans import delivery, spend  # noqa: E402, F401  they register themselves
