@@ -95,18 +95,24 @@ def local_surrogate(rows: DataFrame, key: str, features: list[str], predict, sam
 
     points = points.select(key, *(F.col(f"_{f}") for f in features), *(noise(i).alias(f"z{i}") for i in range(len(features))), *features)
     moved = points.withColumns({f: F.col(f) + F.col(f"_{f}") * F.col(f"z{i}") for i, f in enumerate(features)})
-    scored = predict(moved).select(key, *(f"z{i}" for i in range(len(features))), "prediction")
-    k = len(features)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = pdf[[f"z{i}" for i in range(k)]].to_numpy()
-        weight = np.exp(-(z**2).sum(1) / (k * width**2 * 4))
-        x = np.column_stack([np.ones(len(z)), z])
-        beta = np.linalg.solve((x * weight[:, None]).T @ x + np.eye(k + 1), (x * weight[:, None]).T @ pdf["prediction"].to_numpy())
-        return pd.DataFrame({key: pdf[key].iloc[0], "feature": features, "weight": beta[1:]})
-
-    kind = rows.schema[key].dataType.simpleString()
-    return scored.groupBy(key).applyInPandas(fit, f"{key} {kind}, feature string, weight double")
+    z = [F.lit(1.0), *(F.col(f"z{i}") for i in range(len(features)))]
+    k = len(z)
+    near = F.exp(-sum((c * c for c in z[1:]), F.lit(0.0)) / (len(features) * width**2 * 4))
+    scored = predict(moved).withColumn("_w", near)
+    # the normal equations are sums, so partial sums go through the shuffle, and whole batches are solved at once
+    sums = {f"a{i}_{j}": z[i] * z[j] for i in range(k) for j in range(i, k)} | {f"b{i}": z[i] * F.col("prediction") for i in range(k)}
+    normal = scored.groupBy(key).agg(*(F.sum(F.col("_w") * x).alias(n) for n, x in sums.items()))
+
+    def solve(batches):
+        for pdf in batches:
+            a, b = np.zeros((len(pdf), k, k)), pdf[[f"b{i}" for i in range(k)]].to_numpy()
+            for i in range(k):
+                for j in range(i, k):
+                    a[:, i, j] = a[:, j, i] = pdf[f"a{i}_{j}"].to_numpy()
+            beta = np.linalg.solve(a + np.eye(k), b[:, :, None])[:, 1:, 0] if len(pdf) else np.zeros((0, k - 1))
+            yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), k - 1), "feature": features * len(pdf), "weight": beta.ravel()})
+
+    return normal.mapInPandas(solve, f"{key} {rows.schema[key].dataType.simpleString()}, feature string, weight double")
 
 
 def agreement(one: DataFrame, two: DataFrame, key: str = "vendor_id") -> DataFrame:

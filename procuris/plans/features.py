@@ -57,12 +57,14 @@ def base(spark, d):
     rows = C.vendors(spark, d).select("vendor_id", "supplier_name", "country_code", "industry_category")
     for part in (s, t.groupBy("vendor_id").agg(F.countDistinct("year_quarter").alias("active_quarters")), D.otif(C.deliveries(spark, d)), D.financial_stability(s), base_risk(spark, d).select("vendor_id", "risk_label"), signals(spark, d), off):
         rows = rows.join(part, "vendor_id", "left")
-    return rows
+    return rows.persist()  # one row a vendor; each total of the steps below reads it again
 
 
 def matrix(spark, d):
-    rows = X.delivery_features(X.place_features(X.news_features(X.spend_features(X.performance(base(spark, d))))))
-    return X.composite_risk(rows.withColumn("concentration_risk", F.lit("LOW")))
+    rows = base(spark, d)
+    for step in (X.performance, X.spend_features, X.news_features, X.place_features, X.delivery_features):
+        rows = step(rows).persist()  # one row a vendor; the totals of the next step and its rows come from one computation
+    return X.composite_risk(rows.withColumn("concentration_risk", F.lit("LOW"))).persist()
 
 
 MATRIX = ["vendor_id", "total_spend", "financial_stability", "delivery_performance", "historical_risk_numeric", "performance_composite", "spend_share", "spend_concentration_flag", "spend_trend_numeric",
