@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import struct
 import uuid
@@ -21,6 +22,8 @@ LEAST_REVISIT = 1000
 MEMBER_BYTES, PACKAGE_BYTES = 16 << 20, 64 << 20
 #: Records whose ranges lie this close are read at once, up to so many bytes.
 READ_BYTES = 4 << 20
+#: Records are gzip members of this level; the package stores them as they are.
+LEVEL = 1
 LOCAL, CENTRAL, END, END64, LOCATOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 #: Fixed values of the formats: no more fits in 16 and 32 bits, the ZIP64 extra field, a ZIP date (1980-01-01).
 FULL16, FULL32, ZIP64, DATE = 0xFFFF, 0xFFFFFFFF, 1, 33
@@ -177,8 +180,8 @@ def write_packages(pages: DataFrame, where: str, package_bytes: int = PACKAGE_BY
     """(package, records): ZIP packages of WARC members and their indexes, a record for every page, in the folder `where`.
 
     Every package is written under a name of its own and the names are returned, so that a task that runs twice does
-    no harm: only packages of the attempt that Spark counts are read. A member NAME.warc has a member NAME.cdx with
-    the offset and length of each record.
+    no harm: only packages of the attempt that Spark counts are read. A member NAME.warc.gz (each record a gzip
+    member of its own) has a member NAME.cdx with the offset and length of each record.
     """
     plan = decisions(pages).distinct()
     html = F.coalesce("html", F.lit(""))
@@ -194,7 +197,7 @@ def write_packages(pages: DataFrame, where: str, package_bytes: int = PACKAGE_BY
         def flush_member():
             if state.get("index"):
                 name = f"data-{len(state['zip'].entries) // 2:05d}"
-                state["zip"].add(f"archive/{name}.warc", b"".join(state["parts"]))
+                state["zip"].add(f"archive/{name}.warc.gz", b"".join(state["parts"]))
                 state["zip"].add(f"indexes/{name}.cdx", b"".join(struct.pack("<QQ", *x) for x in state["index"]))
                 state["records"] += len(state["index"])
             state.update(parts=[], index=[], size=0)
@@ -215,6 +218,7 @@ def write_packages(pages: DataFrame, where: str, package_bytes: int = PACKAGE_BY
                 refers = refers.as_py()
                 data = record("response" if refers is None else "revisit", url.as_py(), page_name(page.as_py()), html.as_buffer().to_pybytes(),
                               size.as_py(), sha1.as_py(), None if refers is None else page_name(refers))
+                data = gzip.compress(data, LEVEL, mtime=0)
                 state["index"].append((state["size"], len(data)))
                 state["parts"].append(data)
                 state["size"] += len(data)
@@ -243,7 +247,7 @@ def index_packages(packages: DataFrame, where: str) -> DataFrame:
                     for name, (at, size) in found.items():
                         if not name.startswith("indexes/"):
                             continue
-                        base = found[f"archive/{name[8:-4]}.warc"][0]
+                        base = found[f"archive/{name[8:-4]}.warc.gz"][0]
                         entries = list(struct.iter_unpack("<QQ", source.read_at(size, at)))
                         lengths, begin = [], 0
                         for n, (offset, length) in enumerate(entries):
@@ -268,7 +272,7 @@ def read_packages(ranges: DataFrame, where: str) -> DataFrame:
                     data = source.read_at(sum(lengths), at)
                 out, begin = [], 0
                 for length in lengths:
-                    out.append(read_record(data[begin:begin + length]))
+                    out.append(read_record(gzip.decompress(data[begin:begin + length])))
                     begin += length
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in (
                     ("name", pa.string()), ("kind", pa.string()), ("bytes", pa.int64()), ("sha1", pa.string()), ("refers", pa.string()))],
