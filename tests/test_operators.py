@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from procuris.functions import columns as X
-from procuris.operators import anomaly, features, matching, news, quality, relational, spend
+from procuris.operators import anomaly, explain, features, matching, news, quality, relational, spend, taxonomy
 from procuris.sources import curate, io
 
 
@@ -148,3 +148,18 @@ def test_extract_encodings(spark, tmp_path):
     rows = io.read_extract(spark, str(tmp_path / "latin.csv"))
     assert rows.columns == ["LIFNR", "NAME1"] and rows.first()["NAME1"] == "Müller"
     assert io.read_extract(spark, str(tmp_path / "none.csv")) is None
+
+
+@pytest.mark.parametrize("group, want", [(None, "Unclassified"), ("  ", "Unclassified"), ("CONS", "72"), ("it", "43"), ("0ELEC", "43"), ("0001", "Unclassified"), ("XYZ", "Unclassified")])
+def test_taxonomy_lookup(spark, group, want):
+    rows = spark.createDataFrame([(group, None)], "material_group string, description string")
+    assert taxonomy.classify(rows, {"31": ["steel"]}).first()["segment"] == want
+
+
+def test_sampled_shapley_adds_up(spark):
+    rows = spark.createDataFrame([(i, float(i), float(i % 3)) for i in range(30)], "vendor_id long, a double, b double")
+    got = explain.sampled_shapley(rows, "vendor_id", ["a", "b"], lambda df: df.withColumn("prediction", 2 * F.col("a") + F.col("b")), permutations=4)
+    assert got.count() == 60
+    weights = explain.local_surrogate(rows, "vendor_id", ["a", "b"], lambda df: df.withColumn("prediction", 2 * F.col("a") + F.col("b")), samples=50)
+    means = {r["feature"]: r["m"] for r in weights.groupBy("feature").agg(F.avg("weight").alias("m")).collect()}
+    assert means["a"] > means["b"] > 0
