@@ -63,6 +63,8 @@ def sampled_shapley(rows: DataFrame, key: str, features: list[str], predict, per
     n = 64
     own = rows.select(key, F.struct(*features).alias("own"))
     drawn = rows.withColumn("_s", F.pmod(F.xxhash64(key, F.lit(5)), F.lit(n))).groupBy("_s").agg(F.min_by(F.struct(*features), F.xxhash64(key, F.lit(6))).alias("other"))
+    drawn = drawn.select((F.row_number().over(Window.orderBy("_s")) - 1).alias("_s"), "other")  # n rows at most
+    n = max(1, drawn.count())
     pairs = own.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     pairs = pairs.withColumn("_s", F.pmod(F.xxhash64(key, "_p"), F.lit(n))).join(F.broadcast(drawn), "_s")
     k = len(features)
