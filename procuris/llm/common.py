@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Whole documents are handled a slice of this many bytes of text at a time (one document at least).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
