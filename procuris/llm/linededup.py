@@ -16,6 +16,8 @@ from procuris.llm.common import blocked_pairs, components, local_components, run
 TAU, LEAST = 2, 20
 #: Rows of one segment from which the segment is parted into pairs of blocks.
 HOT = 4096
+#: Bits of the filter that spares lines without a candidate the shuffle of texts.
+FILTER_BITS = 1 << 26
 PRIME = 0x9E3779B97F4A7C15
 #: Cells of padded code points that one verification step holds.
 STEP_CELLS = 2 << 20
@@ -140,6 +142,13 @@ def _banded(a, b, one, two, tau):
     return dist
 
 
+def counts(lines: list[str]) -> np.ndarray:
+    """How many code points of each of 61 classes every line has."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount(np.repeat(np.arange(len(lines)), size) * 61 + code % 61, minlength=61 * len(lines)).reshape(-1, 61).astype(np.int32)
+
+
 def distinct_lines(texts: list, least: int) -> dict[str, int]:
     """The lines of at least `least` code points of some texts, with their hashes."""
     found = {x for t in texts if t for x in t.split("\n") if len(x) >= least}
@@ -162,46 +171,46 @@ def candidate_sets(rows: DataFrame, keys: list[str], tau: int, hot: int | None)
             group = np.cumsum(new) - 1
             begin = np.append(np.flatnonzero(new), len(line))
             size = np.diff(begin)
-            root = np.arange(len(line))
-            big = size[group] > 48
-            small = np.flatnonzero(~big)
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            out, links = [], []
+            small = np.flatnonzero((size[group] > 1) & (size[group] <= 48))
             for d in range(1, 48):
                 i, j = small[:-d], small[d:]
                 same = group[i] == group[j]
                 if not same.any():
                     break
                 i, j = i[same], j[same]
-                hit = alike(sign[i], sign[j], tau) & (line[i] != line[j]) | (line[i] == line[j])
-                a.append(i[hit])
-                b.append(j[hit])
-            out = []
+                hit = (line[i] == line[j]) | alike(sign[i], sign[j], tau)
+                links.append((i[hit], j[hit]))
             for g in np.flatnonzero(size > 48):
                 at = np.arange(begin[g], begin[g + 1])
                 if hot and len(at) > hot:
                     out.append((cols[0][at], line[at], pa.array(sign[at])))
                     continue
-                # rows of one line and sign are one; the lines left to reach shrink as a frontier goes on
+                # the rows left to reach shrink as a frontier goes on
                 rest, front = at[1:], [at[0]]
-                while len(rest) or front:
+                while len(rest):
                     if not front:
                         front, rest = [rest[0]], rest[1:]
                         continue
                     p = front.pop()
                     hit = (line[rest] == line[p]) | alike(np.broadcast_to(sign[p], len(rest)), sign[rest], tau)
-                    root[rest[hit]] = root[p]
+                    links.append((np.full(int(hit.sum()), p), rest[hit]))
                     front.extend(rest[hit].tolist())
                     rest = rest[~hit]
-            a, b = np.concatenate(a), np.concatenate(b)
-            far = np.flatnonzero(big)
-            root = local_components(len(line), np.concatenate([a, far]), np.concatenate([b, root[far]]))
-            pair = np.unique(np.stack([root, line]), axis=1)  # distinct lines of each set
-            many = np.bincount(pair[0], minlength=len(line))[pair[0]] > 1
-            if many.any():
-                owner, member = pair[0][many], pair[1][many]
-                first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-                gid = np.add.reduceat(mixed(member.view(np.uint64)), first).view(np.int64)
-                out.append((np.repeat(gid, np.diff(np.append(first, len(owner)))), member, pa.nulls(len(member), pa.int32())))
+            if any(len(i) for i, _ in links):
+                nodes, inverse = np.unique(np.concatenate([*(i for i, _ in links), *(j for _, j in links)]), return_inverse=True)
+                half = len(inverse) // 2
+                root, member = local_components(len(nodes), inverse[:half], inverse[half:]), line[nodes]
+                order = np.lexsort((member, root))
+                root, member = root[order], member[order]
+                fresh = np.concatenate([[True], (root[1:] != root[:-1]) | (member[1:] != member[:-1])])  # distinct lines of each set
+                root, member = root[fresh], member[fresh]
+                first = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
+                many = np.diff(np.append(first, len(root)))
+                keep = np.repeat(many > 1, many)
+                if keep.any():
+                    gid = np.repeat(np.add.reduceat(mixed(member.view(np.uint64)), first).view(np.int64), many)
+                    out.append((gid[keep], member[keep], pa.nulls(int(keep.sum()), pa.int32())))
             for g, m, s in out:
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(m), s], names=["gid", "line", "sign"])
 
@@ -225,13 +234,16 @@ def verified_links(rows: DataFrame, tau: int) -> DataFrame:
                             i.append(x)
                             j.append(y)
                     continue
-                rest, front = np.arange(s + 1, e), [s]
+                rest, front, count = np.arange(s + 1, e), [s], counts(text[s:e])
                 while len(rest):
                     if not front:
                         front, rest = [int(rest[0])], rest[1:]
                         continue
                     p = front.pop()
-                    hit = edits_within([text[p]] * len(rest), [text[x] for x in rest], tau)
+                    # an edit changes two counts by one at most, so few lines are left to verify
+                    hit = np.abs(count[rest - s] - count[p - s]).sum(1) <= 2 * tau
+                    near = np.flatnonzero(hit)
+                    hit[near] = edits_within([text[p]] * len(near), [text[x] for x in rest[near]], tau)
                     a.extend([p] * int(hit.sum()))
                     b.extend(rest[hit].tolist())
                     front.extend(rest[hit].tolist())
@@ -246,6 +258,16 @@ def verified_links(rows: DataFrame, tau: int) -> DataFrame:
     return rows.select("gid", "bi", "bj", "line", "text").mapInArrow(verify, "a long, b long")
 
 
+def bitmap(wanted: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, with those set that the low bits of wanted lines' hashes name; the same few MB for any table."""
+    low = F.col("line").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1  # the bitmap functions count from 1
+    rows = wanted.groupBy(F.bitmap_bucket_number(low).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(low)).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for n, bits in rows:
+        out[(n - 1) * 4096:n * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
 def near_lines(docs: DataFrame, text_col: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
     """(node, root): for every line (by hash) that links with another the smallest hash it reaches."""
 
@@ -272,16 +294,25 @@ def near_lines(docs: DataFrame, text_col: str = "text", tau: int = TAU, least: i
     sets = found.filter("sign is null").select("gid", "line").union(candidate_sets(hot, ["key", "bi", "bj"], tau, None).select("gid", "line"))
     sets = saved(sets.distinct())
 
+    wanted = sets.select("line").distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
+
     def spell(batches):
+        marked = shared.value
         for batch in batches:
             for part in slices(batch, text_col):
                 lines = distinct_lines(part.column(text_col).to_pylist(), least)
-                yield pa.RecordBatch.from_arrays([pa.array(list(lines.values()), pa.int64()), pa.array(list(lines), pa.string())], names=["line", "text"])
+                name = np.fromiter(lines.values(), np.int64, len(lines))
+                at = name.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+                hit = np.flatnonzero(marked[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                spelling = list(lines)
+                yield pa.RecordBatch.from_arrays([pa.array(name[hit]), pa.array([spelling[i] for i in hit], pa.string())], names=["line", "text"])
 
-    wanted = sets.select("line").distinct()
+    # the bitmap keeps most other lines out of the shuffle, the join keeps the rest out
     spelled = texts.mapInArrow(spell, "line long, text string").join(wanted, "line", "left_semi").dropDuplicates(["line"])
     groups = blocked_pairs(sets.join(spelled, "line"), "gid", F.col("line"), HOT // 2)
-    groups = groups.repartition("gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj", "line")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, much work: not to be coalesced
+    groups = groups.repartition(parts, "gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj", "line")
     return components(verified_links(groups, tau))
 
 
