@@ -91,18 +91,18 @@ def bucketed(docs: DataFrame, id_col: str, rows: int = BUCKET_ROWS) -> tuple[Dat
     return docs.withColumn("bucket", (F.col("_at").cast("long") * fine + step).cast("long")).drop("_at"), len(cuts) * fine
 
 
-def with_next(rows: DataFrame, id_col: str, payload: str, out: str) -> DataFrame:
-    """rows (with bucket) with `out`: payload of the next row by id, of the first one after the last.
+def with_next(rows: DataFrame, order: list[str], payload: str, out: str) -> DataFrame:
+    """rows (with bucket) with `out`, the payload of the next row by `order` (of the first one after the last), and `no`, the row's number in its bucket.
 
     Inside a bucket it is a window; the last row of each bucket meets the first of the next bucket by a join.
     """
-    inner = Window.partitionBy("bucket").orderBy(id_col)
-    first = rows.groupBy("bucket").agg(F.min_by(payload, id_col).alias("_first"))
+    inner = Window.partitionBy("bucket").orderBy(*order)
+    first = rows.groupBy("bucket").agg(F.min_by(payload, F.struct(*order)).alias("_first"))
     numbers = rows.select("bucket").distinct()  # the windows below run over these numbers alone
     whole = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.last("bucket").over(whole))
     heads = first.join(numbers.withColumn("_before", before), "bucket").select(F.col("_before").alias("bucket"), "_first")
-    marked = rows.withColumn("_next", F.lead(F.struct(F.col(payload).alias("v"))).over(inner))
+    marked = rows.withColumns({"_next": F.lead(F.struct(F.col(payload).alias("v"))).over(inner), "no": F.row_number().over(inner)})
     return marked.join(heads, "bucket", "left").withColumn(out, F.when(F.col("_next").isNotNull(), F.col("_next.v")).otherwise(F.col("_first"))).drop("_next", "_first")
 
 
@@ -116,25 +116,26 @@ def edited(text: str, following: str) -> Column:
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every document.
 
-    A null text is empty. One document is its own next one. Ids should be unique; of rows with one id the order among
-    them is open. Texts that are equal have equal fingerprints; an empty table gives no rows. Columns that docs has
-    besides are not read.
+    A null text is empty. One document is its own next one. Every row counts by itself: rows of one id, or of none,
+    have a row each and follow each other by the hash of their texts, null ids first. Texts that are equal have equal
+    fingerprints; an empty table gives no rows. Columns that docs has besides are not read.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows, parts = bucketed(plain, "doc_id")
-    rows = with_next(rows.repartition(2 * parts, "bucket"), "doc_id", "text", "following")
-    rows = rows.select("bucket", "doc_id", "text", edited("text", "following").alias("changed"))
-    both = rows.select("bucket", "doc_id", F.explode(F.array(
+    rows = rows.repartition(2 * parts, "bucket").withColumn("_hash", F.xxhash64("text"))
+    rows = with_next(rows, ["doc_id", "_hash"], "text", "following")
+    rows = rows.select("bucket", "no", "doc_id", "text", edited("text", "following").alias("changed"))
+    both = rows.select("bucket", "no", "doc_id", F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("changed").alias("text")))).alias("x"))
-    fact = F.struct(F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
-    signed = signatures(both.select("bucket", "doc_id", "x.*"), ["bucket", "doc_id", "kind"], "text", fact)
+    fact = F.struct("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+    signed = signatures(both.select("bucket", "no", "doc_id", "x.*"), ["bucket", "no", "kind"], "text", fact)
 
     def of(kind: int, what: str) -> Column:
         return F.max(F.when(F.col("kind") == kind, F.col(what)))
 
-    own = saved(signed.groupBy("bucket", "doc_id").agg(of(0, "signature").alias("own"), of(1, "signature").alias("changed"),
-                                                       of(0, "carried.n_chars").alias("n_chars"), of(1, "carried.sha256").alias("edited_sha256")))
-    own = with_next(own, "doc_id", "own", "following")
+    own = saved(signed.groupBy("bucket", "no").agg(of(0, "carried.doc_id").alias("doc_id"), of(0, "signature").alias("own"), of(1, "signature").alias("changed"),
+                                                   of(0, "carried.n_chars").alias("n_chars"), of(1, "carried.sha256").alias("edited_sha256")))
+    own = with_next(own, ["no"], "own", "following")
     return own.select("doc_id", "n_chars", "edited_sha256", printed("own").alias("fingerprint"), printed("changed").alias("edited_fingerprint"),
                       likeness("own", "changed").alias("near_edited"), likeness("own", "following").alias("near_next"))
 

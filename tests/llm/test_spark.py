@@ -99,6 +99,15 @@ def test_order_minhash(docs, rows, none):
     assert omh.fingerprint_documents(none).count() == 0
 
 
+def test_order_minhash_repeated_and_null_ids(spark):
+    words = lambda n: " ".join(f"w{(n * i) % 97}" for i in range(60))
+    rows = [(1, words(5)), (2, words(7)), (2, words(11)), (2, words(11)), (3, words(7)), (None, words(7)), (None, words(13)), (None, None)]
+    got = omh.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    texts = sorted({t or "" for _, t in rows})
+    alone = {texts[r["doc_id"]]: r["fingerprint"] for r in omh.fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["fingerprint"]) for r in got) == sorted((str(i), len(t or ""), alone[t or ""]) for i, t in rows)
+
+
 def test_order_matters(spark):
     words = [f"w{i}" for i in range(200)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[100:] + words[:100]))], "doc_id long, text string")
