@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from procuris.llm.common import WORD, table
+from procuris.llm.common import WORD, saved, table
 
 #: No document is taken more often, nor a source beyond so many times its size.
 EPOCHS = 3
@@ -57,7 +57,8 @@ def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id",
     All of a source is taken as often as its target holds it whole; for the rest each document has the key
     -ln(u) / quality (Efraimidis and Spirakis 2006: an exponential of rate quality), and documents go by rising key as
     long as their sizes' sum stays within the rest, the one that crosses it only if that comes nearer. u comes from the
-    id, so that reruns agree. Quality has to be positive; null counts as 1. Ties go by id, then size.
+    id, so that reruns agree. Quality has to be positive; null counts as 1. Ties go by id, then size. Rows without an
+    id have no key and go behind all others of their source, by size.
 
     A large source's sums run in parts: keys are cut into ranges, each range's sum is taken first and then added to
     the running sums of the later ones. Sizes of 0 are taken with the whole source only. An empty table gives no rows.
@@ -71,11 +72,12 @@ def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id",
     targets = targets.withColumnRenamed("source", "_source")
     rows = rows.join(targets, rows["source"].eqNullSafe(targets["_source"])).drop("_source")
     cuts = F.ceil(F.col("n") / GROUP)
-    rows = rows.withColumn("_part", F.floor((1 - F.exp(-F.col("_key"))) * cuts).cast("int"))
+    part = F.coalesce(F.floor((1 - F.exp(-F.col("_key"))) * cuts), cuts + F.length(F.bin("size")))  # without a key: by the size's bits
+    rows = rows.withColumn("_part", part.cast("int"))
     sums = rows.groupBy("_rank", "_part").agg(F.sum("size").alias("_sum"))
     ahead = F.sum("_sum").over(Window.partitionBy("_rank").orderBy("_part")) - F.col("_sum")
     rows = rows.join(sums.select("_rank", "_part", ahead.alias("_ahead")), ["_rank", "_part"])
-    by_key = Window.partitionBy("_rank", "_part").orderBy("_key", id_col, "size").rowsBetween(Window.unboundedPreceding, 0)
+    by_key = Window.partitionBy("_rank", "_part").orderBy(F.asc_nulls_last("_key"), id_col, "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_upto", F.col("_ahead") + F.sum("size").over(by_key))
     over, under = F.col("_upto") - F.col("_rest"), F.col("_rest") - (F.col("_upto") - F.col("size"))
     chosen = (F.col("size") > 0) & ((over <= 0) | ((under > 0) & (over <= under)))
@@ -91,11 +93,22 @@ def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The mix as documents: each as often as it is taken, columns as they were. Ids of which rows repeat stay equal."""
-    names = docs.columns
-    plan = mix(with_quality(sized(docs.select("doc_id", "source", "text")).drop("text"), labels), F.col("_quality"))
-    plan = plan.filter("times > 0").groupBy("doc_id").agg(F.max("times").alias("_times"))
-    return docs.join(plan, "doc_id").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    """The mix as documents: each as often as it is taken, columns as they were. Ids of which rows repeat stay equal.
+
+    Rows without an id meet their places in the mix by source and hash of the text. Rows alike in these are numbered,
+    and as many of them are taken once, twice and so on as the mix says.
+    """
+    names, text_hash = docs.columns, F.when(F.col("doc_id").isNull(), F.xxhash64("source", "text"))
+    marked = sized(docs.select("doc_id", "source", "text")).withColumn("_hash", text_hash).drop("text")
+    plan = mix(with_quality(marked, labels), F.col("_quality")).filter("times > 0")
+    plan = saved(plan.groupBy("doc_id", "_hash").agg(F.max("times").alias("_times"), *(F.count_if(F.col("times") >= n).alias(f"_at{n}") for n in range(1, EPOCHS + 1))))
+    known = docs.join(plan.filter("doc_id IS NOT NULL").select("doc_id", "_times"), "doc_id")
+    number = F.row_number().over(Window.partitionBy("_hash").orderBy("source"))
+    other = docs.filter("doc_id IS NULL").withColumn("_hash", text_hash).withColumn("_no", number).join(plan.filter("doc_id IS NULL").drop("doc_id", "_times"), "_hash")
+    times = sum((F.col("_no") <= F.col(f"_at{n}")).cast("int") for n in range(1, EPOCHS + 1))
+    other = other.withColumn("_times", times).filter("_times > 0")
+    both = known.select(*names, "_times").union(other.select(*names, "_times"))
+    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

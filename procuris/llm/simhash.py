@@ -167,20 +167,30 @@ def near_links(fps: DataFrame, radius: int = 4, agree: int = 2, block: int = BLO
     return dealt.select("key", "bi", "bj", "blk", "fp", "rep").mapInArrow(compare, "a long, b long")
 
 
+def classed(docs: DataFrame, id_col: str, text_col: str, radius: int, k: int = 4, agree: int = 2) -> tuple[DataFrame, bool]:
+    """(id, fp, root, component_id), where root names a component even if none of its rows has an id; and whether any row has none."""
+    marked = saved(fingerprints(docs.select(id_col, text_col), id_col, text_col, k))
+    reps = marked.groupBy("fp").agg(F.min(id_col).alias("id"))
+    nulls = not marked.filter(F.col(id_col).isNull()).isEmpty()
+    reps = reps.withColumn("rep", F.col("fp") if nulls else F.col("id"))  # fingerprints of which no row has an id are nodes by themselves
+    roots = components(near_links(reps, radius, agree))
+    classes = reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", "id", F.coalesce("root", "rep").alias("root"))
+    if nulls:
+        classes = classes.join(classes.groupBy("root").agg(F.min("id").alias("component_id")), "root")
+    else:
+        classes = classes.withColumn("component_id", F.col("root"))
+    return marked.join(classes.drop("id"), "fp").select(id_col, "fp", "root", "component_id"), nulls
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, k: int = 4,
                     agree: int = 2) -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id reachable over fingerprints within the radius.
 
     Equal fingerprints are one node, so exact copies cost nothing. Null, empty and blank texts have fingerprint 0
-    and link like any other. An empty table gives no rows. Rows with one id twice give a row each. Other columns of
-    docs are not read. More `agree` makes buckets smaller and keys more (15 at 2, 35 at 3) without changing the result.
+    and link like any other. An empty table gives no rows. Rows with one id twice give a row each. Rows without an id
+    link too; where no row of a component has an id, component_id is null. Other columns of docs are not read. More `agree` makes buckets smaller and keys more (15 at 2, 35 at 3) without changing the result.
     """
-    marked = saved(fingerprints(docs.select(id_col, text_col), id_col, text_col, k))
-    reps = marked.groupBy("fp").agg(F.min(id_col).alias("rep"))
-    roots = components(near_links(reps, radius, agree))
-    classes = reps.join(roots, reps["rep"] == roots["node"], "left").select(
-        F.col("fp"), F.coalesce("root", "rep").alias("component_id"))
-    return marked.join(classes, "fp").select(id_col, "fp", "component_id")
+    return classed(docs, id_col, text_col, radius, k, agree)[0].drop("root")
 
 
 def hex_fp(fp: str = "fp") -> Column:
@@ -188,9 +198,19 @@ def hex_fp(fp: str = "fp") -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """docs without near copies: of each component only rows of the smallest id stay; columns are as they were."""
-    groups = near_duplicates(docs, id_col, text_col, radius).filter(F.col("component_id") == F.col(id_col))
-    return docs.join(groups.select(F.col(id_col)).distinct(), id_col, "left_semi")
+    """docs without near copies: of each component only rows of the smallest id stay; columns are as they were.
+
+    Of a component without any id one row stays.
+    """
+    groups, nulls = classed(docs, id_col, text_col, radius)
+    kept = docs.join(groups.filter(F.col("component_id") == F.col(id_col)).select(F.col(id_col)).distinct(), id_col, "left_semi")
+    if not nulls:
+        return kept
+    first = groups.filter(F.col("component_id").isNull()).groupBy("root").agg(F.min("fp").alias("fp"))
+    other = docs.filter(F.col(id_col).isNull()).withColumn("_hash", F.xxhash64(text_col))
+    chosen = fingerprints(other, "_hash", text_col).join(first, "fp").groupBy("root").agg(F.min("_hash").alias("_hash"))
+    other = other.join(chosen.select("_hash"), "_hash", "left_semi").dropDuplicates(["_hash"])
+    return kept.select(*docs.columns).union(other.select(*docs.columns))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -173,7 +173,7 @@ def decisions(pages: DataFrame) -> DataFrame:
     copies = rows.filter(F.col("bytes") >= LEAST_REVISIT).groupBy("sha1", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
     copies = copies.filter("n > 1").drop("n")
     rows = rows.join(copies, ["sha1", "bytes"], "left")
-    return rows.select("page_id", "sha1", "bytes", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    return rows.select("page_id", "sha1", "bytes", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
 def write_packages(pages: DataFrame, where: str, package_bytes: int = PACKAGE_BYTES, member_bytes: int = MEMBER_BYTES) -> DataFrame:
@@ -186,7 +186,8 @@ def write_packages(pages: DataFrame, where: str, package_bytes: int = PACKAGE_BY
     plan = decisions(pages).distinct()
     html = F.coalesce("html", F.lit(""))
     kept = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha1"))
-    joined = kept.join(plan, ["page_id", "sha1"])
+    plan = plan.withColumnsRenamed({"page_id": "_page", "sha1": "_sha1"})
+    joined = kept.join(plan, kept["page_id"].eqNullSafe(plan["_page"]) & (kept["sha1"] == plan["_sha1"]))
     joined = joined.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")).otherwise(""))
 
     def write(batches):
@@ -285,12 +286,13 @@ def read_packages(ranges: DataFrame, where: str) -> DataFrame:
 def round_trip(spark: SparkSession, pages: DataFrame, where: str | None = None) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of records written from pages and read back.
 
-    A null html is an empty payload, a null url an empty one. A page that occurs twice has two records. An empty
-    table gives no rows. Other columns are not read.
+    A null html is an empty payload, a null url an empty one. A page that occurs twice has two records, and one
+    without a page_id has a record too: nothing refers to it, it may refer to others. An empty table gives no rows.
+    Other columns are not read.
     """
     where = where or f"{shared_dir(spark)}/procuris/warc-{uuid.uuid4().hex}"
     rows = read_packages(index_packages(write_packages(pages, where), where), where)
-    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).cast("long")
+    page = lambda c: F.nullif(F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1), F.lit("")).cast("long")
     return rows.select(page("name").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"),
                        F.col("kind").alias("record_type"), F.when(F.col("refers").isNotNull(), page("refers")).alias("refers_to"))
 

@@ -215,6 +215,66 @@ def test_warc(spark):
     assert warczip.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_null_ids_near_copies(spark):
+    own = [" ".join(f"{c}{(n * i) % 89}" for i in range(50)) for n, c in ((3, "a"), (5, "b"), (7, "c"))]
+    rows = [(1, own[0], "s"), (None, own[0], "s"), (None, own[1], "s"), (None, own[1], "s"), (None, own[2], "s"), (2, None, "s"), (None, "", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    fp = lambda t: (f := simhash.fingerprint(t)) - ((f >> 63) << 64)
+    assert min((simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() for a, b in ((own[0], own[1]), (own[0], own[2]), (own[1], own[2]))) > 4
+    order = lambda xs: sorted(xs, key=str)
+    got = simhash.near_duplicates(df).collect()
+    assert order((r["doc_id"], r["fp"], r["component_id"]) for r in got) == order((i, fp(t), 1 if t == own[0] else 2 if not t else None) for i, t, _ in rows)
+    assert order(tuple(r) for r in simhash.keep_one(df).collect()) == order([(1, own[0], "s"), (2, None, "s"), (None, own[1], "s"), (None, own[2], "s")])
+
+
+def test_null_id_links(spark):
+    text = " ".join(f"w{(7 * i) % 97}" for i in range(400))
+    rows = [(None, text), (None, text + " w1"), (7, text + " w1 w2"), (None, "else")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), radius=16).collect()
+    assert sorted(str(r["component_id"]) for r in got) == ["7", "7", "7", "None"]
+
+
+def test_null_ids_mixing(spark):
+    rows = [(i if i % 3 else None, "x " * (1 + i % 7), "st"[i % 2]) for i in range(60)] + [(None, "y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = mixing.mix(mixing.with_quality(mixing.sized(df), labels), F.col("_quality")).collect()
+    assert sorted((str(r["doc_id"]), r["text"], str(r["source"])) for r in got) == sorted((str(i), t, str(s)) for i, t, s in rows)
+    for source in ("s", "t", None):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2 + 1
+    many = {}
+    for r in got:
+        many[str(r["doc_id"]), r["text"], str(r["source"])] = many.get((str(r["doc_id"]), r["text"], str(r["source"])), 0) + r["times"]
+    taken = {}
+    for r in mixing.mixed_documents(df, labels).collect():
+        taken[str(r["doc_id"]), r["text"], str(r["source"])] = taken.get((str(r["doc_id"]), r["text"], str(r["source"])), 0) + 1
+    assert taken == {k: n for k, n in many.items() if n} and any(k[0] == "None" for k in taken)
+
+
+def test_null_ids_mixing_and_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i if i % 4 else None, "x " * (1 + i % 7), "st"[i % 2]) for i in range(60)] + [(None, "y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    plain = lambda rs: sorted("|".join(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in rs)
+    assert plain(mixing.op8(spark, str(tmp_path)).collect()) == plain(con.execute(mixing.OP8_SQL).fetchall())
+
+
+def test_null_ids_warc(spark):
+    long, other = "é" * 600, "ü" * 600
+    pages = [(1, "http://a", long), (None, "http://b", long), (None, "http://c", other), (None, None, other), (None, "http://d", "short"), (None, "http://e", None)]
+    got = warczip.round_trip(spark, spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)).collect()
+    digest = lambda s: hashlib.sha1((s or "").encode()).hexdigest()
+    want = [(1, digest(long), "response", None), (None, digest(long), "revisit", 1), (None, digest(other), "response", None), (None, digest(other), "response", None), (None, digest("short"), "response", None), (None, digest(""), "response", None)]
+    assert sorted((str(r["page_id"]), r["payload_digest"], r["record_type"], str(r["refers_to"])) for r in got) == sorted((str(a), b, c, str(d)) for a, b, c, d in want)
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as pipe
 
