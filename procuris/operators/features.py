@@ -17,9 +17,27 @@ def held(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), c))
 
 
+def filled_spend() -> Column:
+    return F.coalesce("total_spend", F.lit(float(P.DEFAULT_SPEND)))
+
+
+def spend_risk() -> Column:
+    """The spend part of B16: off contract, little under contract, concentration."""
+    return F.round(F.coalesce("is_maverick", F.lit(False)).cast("double") * 0.5 + F.when(F.coalesce("sum_percentage", F.lit(100.0)) < 60, 0.3).otherwise(0.0)
+                   + mapped("concentration_risk", {"HIGH": 0.8, "MEDIUM": 0.4, "LOW": 0.1}, 0.1) * 0.2, 6)
+
+
+#: Aggregates of the whole table that the steps below divide by or fill with. All are of columns the table has from the
+#: start, so `matrix` takes them in one pass; a step that is called alone takes its own.
+TOTALS = {
+    "_f": lambda: F.percentile("financial_stability", 0.5), "_d": lambda: F.percentile("delivery_performance", 0.5),
+    "_all": lambda: F.sum(filled_spend().cast("decimal(18,2)")).cast("double"), "_most": lambda: F.max("disruption_count_30d"), "_worst": lambda: F.max(spend_risk()),
+}
+
+
 def performance(rows: DataFrame) -> DataFrame:
     """Medians where stability or delivery is missing, risk label as a number, their weighted mean and its tier."""
-    rows = with_totals(rows, _f=F.percentile("financial_stability", 0.5), _d=F.percentile("delivery_performance", 0.5))
+    rows = with_totals(rows, _f=TOTALS["_f"](), _d=TOTALS["_d"]())
     stability, delivery = F.coalesce("financial_stability", "_f", F.lit(60.0)), F.coalesce("delivery_performance", "_d", F.lit(60.0))
     history = mapped(F.lower(F.trim("risk_label")), {"high": 0.9, "medium": 0.5, "low": 0.1}, 0.5)
     score = (stability * 0.35 + delivery * 0.40 + (1 - history) * 100 * 0.25) / 100
@@ -31,9 +49,8 @@ def performance(rows: DataFrame) -> DataFrame:
 def spend_features(rows: DataFrame, threshold: float = P.TOP1_MAX) -> DataFrame:
     """Defaults for missing spend, share, concentration flag, active-quarter trend, and profit impact: log spend
     between the least and the most of the vendor's industry, a half where they are equal."""
-    spend = F.coalesce("total_spend", F.lit(float(P.DEFAULT_SPEND)))
-    rows = rows.withColumns({"total_spend": spend, "tx_count": F.coalesce("tx_count", F.lit(P.DEFAULT_COUNT))})
-    rows = with_totals(rows, _all=total("total_spend"))
+    rows = with_totals(rows, _all=TOTALS["_all"]())
+    rows = rows.withColumns({"total_spend": filled_spend(), "tx_count": F.coalesce("tx_count", F.lit(P.DEFAULT_COUNT))})
     share = F.try_divide("total_spend", "_all")
     level = F.log1p(F.greatest("total_spend", F.lit(0.0)))
     group = Window.partitionBy("industry_category")
@@ -46,7 +63,7 @@ def spend_features(rows: DataFrame, threshold: float = P.TOP1_MAX) -> DataFrame:
 def news_features(rows: DataFrame) -> DataFrame:
     """No news is neutral; a flag for bad mood or disruptions; their number by the most there is."""
     rows = rows.withColumns({"news_sentiment_30d": F.coalesce("news_sentiment_30d", F.lit(0.0)), "disruption_count_30d": F.coalesce("disruption_count_30d", F.lit(0))})
-    rows = with_totals(rows, _most=F.max("disruption_count_30d"))
+    rows = with_totals(rows, _most=TOTALS["_most"]())
     flag = (F.col("news_sentiment_30d") < -0.2) | (F.col("disruption_count_30d") > 0)
     return rows.withColumns({"news_risk_flag": flag.cast("int"), "disruption_freq_norm": F.coalesce(F.try_divide("disruption_count_30d", "_most"), F.lit(0.0))}).drop("_most")
 
@@ -70,12 +87,18 @@ def composite_risk(rows: DataFrame, high: float = P.RISK_HIGH, medium: float = P
     base = F.round(held(F.col("geo_risk_numeric") * w["geo_risk"] + F.col("industry_risk_numeric") * w["industry_risk"] + F.col("delivery_risk_numeric") * w["delivery_risk"]
                         + F.col("spend_concentration_flag") * w["concentration_risk"]), 4)
     rows = rows.withColumn("_base", base).withColumn("_news", F.round(held(F.col("_base") * 0.85 + F.col("disruption_freq_norm") * 0.15), 4))
-    spend = (F.coalesce("is_maverick", F.lit(False)).cast("double") * 0.5 + F.when(F.coalesce("sum_percentage", F.lit(100.0)) < 60, 0.3).otherwise(0.0)
-             + mapped("concentration_risk", {"HIGH": 0.8, "MEDIUM": 0.4, "LOW": 0.1}, 0.1) * 0.2)
-    rows = with_totals(rows.withColumn("_spend", F.round(spend, 6)), _most=F.max("_spend"))
-    score = F.round(held(F.col("_news") * 0.90 + F.coalesce(F.try_divide("_spend", "_most"), F.lit(0.0)) * 0.10), 4)
+    rows = with_totals(rows, _worst=TOTALS["_worst"]())
+    score = F.round(held(F.col("_news") * 0.90 + F.coalesce(F.try_divide(spend_risk(), F.col("_worst")), F.lit(0.0)) * 0.10), 4)
     rows = rows.withColumn("composite_risk_score", score)
-    return rows.withColumn("risk_label_3class", binned("composite_risk_score", [medium, high], ["Low", "Medium", "High"])).drop("_base", "_news", "_spend", "_most")
+    return rows.withColumn("risk_label_3class", binned("composite_risk_score", [medium, high], ["Low", "Medium", "High"])).drop("_base", "_news", "_worst")
+
+
+def matrix(rows: DataFrame) -> DataFrame:
+    """B11 to B16 in turn, over one pass for all totals. rows should be saved, as they are read twice."""
+    rows = with_totals(rows, **{n: f() for n, f in TOTALS.items()})
+    for step in (performance, spend_features, news_features, place_features, delivery_features, composite_risk):
+        rows = step(rows)
+    return rows
 
 
 def kraljic(rows: DataFrame) -> DataFrame:

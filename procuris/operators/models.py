@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from procuris.operators.relational import with_totals
+from procuris.sources.shared import saved
 
 #: The label is cut from this score, so a model that sees it learns little else.
 LEAKY = "composite_risk_score"
@@ -100,12 +101,14 @@ def scaled_vectors(rows: DataFrame, features: list[str]) -> DataFrame:
 def kmeans(rows: DataFrame, features: list[str], k: int = 4, seed: int = 42) -> tuple[DataFrame, float]:
     """M7: rows with cluster_id, and the silhouette."""
     data = scaled_vectors(rows, features).persist()  # every iteration reads it
-    out = KMeans(k=k, seed=seed, maxIter=50, predictionCol="cluster_id").fit(data).transform(data)
+    model = KMeans(k=k, seed=seed, maxIter=50, predictionCol="cluster_id").fit(data)
+    out = saved(model.transform(data))
+    data.unpersist()
     return out, ClusteringEvaluator(predictionCol="cluster_id").evaluate(out)
 
 
-def best_k(rows: DataFrame, features: list[str], ks: range = range(2, 6)) -> DataFrame:
-    """M8: (k, silhouette, davies_bouldin)."""
+def best_k(rows: DataFrame, features: list[str], ks: range = range(2, 9)) -> DataFrame:
+    """M8: (k, silhouette, davies_bouldin), for 2 to 8 clusters."""
     found = []
     for k in ks:
         out, silhouette = kmeans(rows, features, k)

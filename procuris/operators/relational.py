@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from procuris.sources.shared import saved
+
 #: Ranges that a global order is parted into, so that no task holds all rows.
 RANGES = 64
 
@@ -73,8 +75,10 @@ def running(df: DataFrame, value: str, tie: str, amount: Column | None = None, r
 
     The order is global but no task sorts all rows: approximate quantiles of the value part them into ranges, the
     ranges' counts and sums are added up (a row for each range), and rows are ranked inside their range. Equal values
-    share a range, so the result is exact whatever the quantiles are. Null values come last.
+    share a range, so the result is exact whatever the quantiles are. Null values come last. df is saved first, as it
+    is read three times.
     """
+    df = saved(df)
     amount = F.col(value).cast("decimal(38,2)") if amount is None else amount
     cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
     bounds = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
@@ -91,8 +95,13 @@ def running(df: DataFrame, value: str, tie: str, amount: Column | None = None, r
 
 
 def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
-    """Df with columns of the whole table's aggregates, which are one row and go to every task."""
-    return df.crossJoin(F.broadcast(df.agg(*(c.alias(n) for n, c in totals.items()))))
+    """Df with columns of the whole table's aggregates, which are one row and go to every task.
+
+    Totals that df has already, by name, stay as they are: several steps may share one pass. df is computed twice, so
+    what is dear should be saved first.
+    """
+    new = [c.alias(n) for n, c in totals.items() if n not in df.columns]
+    return df.crossJoin(F.broadcast(df.agg(*new))) if new else df
 
 
 def missing_share(df: DataFrame) -> DataFrame:

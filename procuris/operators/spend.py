@@ -144,7 +144,7 @@ def large_lines(transactions: DataFrame, k: float = 2.0) -> DataFrame:
 
 def abc(spend: DataFrame, a: float = P.ABC_A, b: float = P.ABC_B) -> DataFrame:
     """Class A up to a share `a` of cumulative spend, B up to `b`, else C; ties by vendor."""
-    rows = with_totals(running(spend, "total_spend", "vendor_id"), _all=total("total_spend"))
+    rows = running(with_totals(spend, _all=total("total_spend")), "total_spend", "vendor_id")
     cum = F.col("running").cast("double") / F.col("_all")
     return rows.select("vendor_id", "total_spend", F.col("row_rank").cast("long").alias("spend_rank"), F.round(cum, 6).alias("cum_spend_pct"),
                        F.when(cum <= a, "A").when(cum <= b, "B").otherwise("C").alias("abc_class"))

@@ -10,6 +10,7 @@ from procuris.operators import spend as S
 from procuris.plans.registry import query
 from procuris.plans.tables import CONTRACTS, DELIVERIES, SPEND, TRANSACTIONS, VENDORS, sql
 from procuris.sources import curate as C
+from procuris.sources.shared import saved
 
 ST = (TRANSACTIONS, SPEND)
 OTIF = """otif AS (SELECT vendor_id, count(*) AS total_deliveries, round(sum(otif) / count(*), 6) AS otif_rate, round(sum(delay_days) / count(*), 4) AS avg_delay_days, round(sum(otif) / count(*) * 100, 4) AS delivery_performance FROM deliveries GROUP BY 1)"""
@@ -65,7 +66,7 @@ STABILITY = "stability AS (SELECT vendor_id, round(least(95, greatest(20, 50 * l
 
 @query(sql(*ST, STABILITY, select="SELECT * FROM stability"))
 def financial_stability(spark, d):
-    return D.financial_stability(C.spend(C.transactions(spark, d)))
+    return D.financial_stability(saved(C.spend(C.transactions(spark, d))))
 
 
 def risk_case(column: str = "country_code") -> str:
@@ -80,8 +81,9 @@ BASE_RISK = f"""base_risk AS (SELECT v.vendor_id, round(0.30::DOUBLE * {risk_cas
   labelled AS (SELECT *, CASE WHEN supply_risk_score >= 0.65::DOUBLE THEN 'High' WHEN supply_risk_score >= 0.35::DOUBLE THEN 'Medium' ELSE 'Low' END AS risk_label FROM base_risk)"""
 
 
-def base_risk(spark, d):
-    rows = C.vendors(spark, d).join(D.otif(C.deliveries(spark, d)), "vendor_id", "left").join(S.share_of_total(C.spend(C.transactions(spark, d))), "vendor_id", "left")
+def base_risk(spark, d, spend=None, otif=None):
+    spend, otif = spend or saved(C.spend(C.transactions(spark, d))), otif or D.otif(C.deliveries(spark, d))
+    rows = C.vendors(spark, d).join(otif, "vendor_id", "left").join(S.share_of_total(spend), "vendor_id", "left")
     return D.base_supply_risk(rows)
 
 
@@ -93,13 +95,15 @@ def base_supply_risk(spark, d):
 @query(sql(*ST, VENDORS, DELIVERIES, OTIF, BASE_RISK, select="SELECT risk_label, count(*) AS vendors, round(CAST(sum(CAST(total_spend AS DECIMAL(18,2))) AS DOUBLE) / count(*), 2) AS mean_spend FROM labelled LEFT JOIN spend USING (vendor_id) GROUP BY 1"))
 def risk_label_distribution(spark, d):
     """R32."""
-    return base_risk(spark, d).join(C.spend(C.transactions(spark, d)), "vendor_id", "left").groupBy("risk_label").agg(F.count("*").alias("vendors"), F.round(total("total_spend") / F.count("*"), 2).alias("mean_spend"))
+    spend = saved(C.spend(C.transactions(spark, d)))
+    return base_risk(spark, d, spend).join(spend, "vendor_id", "left").groupBy("risk_label").agg(F.count("*").alias("vendors"), F.round(total("total_spend") / F.count("*"), 2).alias("mean_spend"))
 
 
 @query(sql(*ST, VENDORS, DELIVERIES, OTIF, BASE_RISK, select="""SELECT risk_label, count(*) AS vendors, CAST(sum(CAST(total_spend AS DECIMAL(18,2))) AS DOUBLE) AS total_spend,
   round(CAST(sum(CAST(total_spend * supply_risk_score AS DECIMAL(28,6))) AS DOUBLE), 2) AS spend_at_risk FROM labelled JOIN spend USING (vendor_id) GROUP BY 1"""))
 def spend_at_risk(spark, d):
-    rows = base_risk(spark, d).withColumnRenamed("supply_risk_score", "composite_risk_score").join(C.spend(C.transactions(spark, d)), "vendor_id")
+    spend = saved(C.spend(C.transactions(spark, d)))
+    rows = base_risk(spark, d, spend).withColumnRenamed("supply_risk_score", "composite_risk_score").join(spend, "vendor_id")
     return S.spend_at_risk(rows)
 
 

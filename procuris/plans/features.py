@@ -15,6 +15,7 @@ from procuris.plans.registry import query
 from procuris.plans.spend import MANAGED, MAVERICK
 from procuris.plans.tables import ACTIVE, CONTRACTS, DELIVERIES, NEWS, SPEND, TRANSACTIONS, VENDORS, sql
 from procuris.sources import curate as C
+from procuris.sources.shared import saved
 
 CENTS = "CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
 INDUSTRY = "CAST(CASE industry_category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.INDUSTRY_RISK.items()) + f" ELSE {P.INDUSTRY_RISK_DEFAULT} END AS DOUBLE)"
@@ -51,20 +52,20 @@ def signals(spark, d):
 
 
 def base(spark, d):
-    t, c = C.transactions(spark, d), C.contracts(spark, d)
-    s = C.spend(t)
+    """One row a vendor. Lines are read once for spend and once for deliveries; both results, a row a vendor, are saved as several columns need them."""
+    c = C.contracts(spark, d)
+    measures = saved(C.transactions(spark, d).groupBy("vendor_id").agg(total("transaction_amount").alias("total_spend"), F.count("*").alias("tx_count"), F.countDistinct("year_quarter").alias("active_quarters")))
+    s, otif = measures.drop("active_quarters"), saved(D.otif(C.deliveries(spark, d)))
     off = S.maverick(s, c).select("vendor_id", "is_maverick", F.when(F.col("is_maverick"), 0.0).otherwise(100.0).alias("sum_percentage"))
     rows = C.vendors(spark, d).select("vendor_id", "supplier_name", "country_code", "industry_category")
-    for part in (s, t.groupBy("vendor_id").agg(F.countDistinct("year_quarter").alias("active_quarters")), D.otif(C.deliveries(spark, d)), D.financial_stability(s), base_risk(spark, d).select("vendor_id", "risk_label"), signals(spark, d), off):
+    for part in (measures, otif, D.financial_stability(s), base_risk(spark, d, s, otif).select("vendor_id", "risk_label"), signals(spark, d), off):
         rows = rows.join(part, "vendor_id", "left")
-    return rows.persist()  # one row a vendor; each total of the steps below reads it again
+    return saved(rows)
 
 
 def matrix(spark, d):
-    rows = base(spark, d)
-    for step in (X.performance, X.spend_features, X.news_features, X.place_features, X.delivery_features):
-        rows = step(rows).persist()  # one row a vendor; the totals of the next step and its rows come from one computation
-    return X.composite_risk(rows.withColumn("concentration_risk", F.lit("LOW"))).persist()
+    """The vendor matrix, saved: what follows reads one row a vendor however often it needs totals of it."""
+    return saved(X.matrix(base(spark, d).withColumn("concentration_risk", F.lit("LOW"))))
 
 
 MATRIX = ["vendor_id", "total_spend", "financial_stability", "delivery_performance", "historical_risk_numeric", "performance_composite", "spend_share", "spend_concentration_flag", "spend_trend_numeric",

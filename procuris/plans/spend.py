@@ -10,14 +10,17 @@ from procuris.operators.relational import top_n
 from procuris.plans.registry import query
 from procuris.plans.tables import ACTIVE, CONTRACTS, SPEND, TRANSACTIONS, VENDORS, sql
 from procuris.sources import curate as C
+from procuris.sources.shared import saved
 
 T, ST = (TRANSACTIONS,), (TRANSACTIONS, SPEND)
 STC = (TRANSACTIONS, SPEND, CONTRACTS, ACTIVE)
 CENTS = "CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
 
 
-def _spend(spark, d):
-    return C.spend(C.transactions(spark, d))
+def _spend(spark, d, more=True):
+    """Spend by vendor; saved where it is read more than once."""
+    rows = C.spend(C.transactions(spark, d))
+    return saved(rows) if more else rows
 
 
 @query(sql(*T, select=f"""SELECT vendor_id, {CENTS.format('transaction_amount')} AS total_spend, count(*) AS tx_count,
@@ -38,7 +41,7 @@ def vendor_share(spark, d):
 @query(sql(*STC, VENDORS, select=f"""SELECT count(*) AS vendors, count(s.vendor_id) AS vendors_with_spend, {CENTS.format('total_spend')} AS total_spend, CAST(sum(tx_count) AS BIGINT) AS transactions,
   count(a.vendor_id) AS under_contract, count(DISTINCT country) AS countries FROM vendors v LEFT JOIN spend s ON v.vendor_id = s.vendor_id LEFT JOIN active a ON v.vendor_id = a.vendor_id"""))
 def portfolio_summary(spark, d):
-    rows = C.vendors(spark, d).join(_spend(spark, d), "vendor_id", "left").join(S.active_vendors(C.contracts(spark, d)), "vendor_id", "left")
+    rows = C.vendors(spark, d).join(_spend(spark, d, more=False), "vendor_id", "left").join(S.active_vendors(C.contracts(spark, d)), "vendor_id", "left")
     return rows.agg(F.count("*").alias("vendors"), F.count("total_spend").alias("vendors_with_spend"), total("total_spend").alias("total_spend"), F.sum("tx_count").alias("transactions"),
                     F.count("_active").alias("under_contract"), F.countDistinct("country").alias("countries"))
 
@@ -83,13 +86,13 @@ MANAGED = "managed AS (SELECT s.*, a.vendor_id IS NOT NULL AS under_contract FRO
 @query(sql(*STC, MANAGED, select="""SELECT vendor_id, total_spend, under_contract, CASE WHEN under_contract THEN total_spend ELSE 0 END AS managed_spend,
   CASE WHEN under_contract THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS sum_percentage, CASE WHEN under_contract THEN 0 ELSE total_spend END AS contract_gap FROM managed"""))
 def spend_under_management(spark, d):
-    return S.under_management(_spend(spark, d), C.contracts(spark, d))
+    return S.under_management(_spend(spark, d, more=False), C.contracts(spark, d))
 
 
 @query(sql(*STC, MANAGED, "o AS (SELECT CAST(sum(CAST(total_spend AS DECIMAL(18,2))) AS DOUBLE) AS t, CAST(sum(CASE WHEN under_contract THEN CAST(total_spend AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS m FROM managed)",
            select="SELECT t AS total_spend, m AS managed_spend, round(m / t * 100, 4) AS sum_pct, m / t * 100 >= 80 AS target_met FROM o"))
 def spend_management_summary(spark, d):
-    return S.management_summary(S.under_management(_spend(spark, d), C.contracts(spark, d)))
+    return S.management_summary(S.under_management(_spend(spark, d, more=False), C.contracts(spark, d)))
 
 
 MAVERICK = """maverick AS (SELECT vendor_id, total_spend, tx_count, NOT under_contract AS is_maverick, CASE WHEN under_contract THEN 'Contracted'
@@ -165,25 +168,25 @@ def quarter_by_supplier(spark, d):
 @query(sql(*ST, VENDORS, select=f"SELECT country, {CENTS.format('total_spend')} AS spend FROM spend JOIN vendors USING (vendor_id) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"))
 def spend_by_country_top10(spark, d):
     """R11."""
-    return _spend(spark, d).join(C.vendors(spark, d), "vendor_id").groupBy("country").agg(total("total_spend").alias("spend")).orderBy(F.desc("spend"), "country").limit(10)
+    return _spend(spark, d, more=False).join(C.vendors(spark, d), "vendor_id").groupBy("country").agg(total("total_spend").alias("spend")).orderBy(F.desc("spend"), "country").limit(10)
 
 
 @query(sql(*ST, VENDORS, select=f"SELECT industry_category, {CENTS.format('total_spend')} AS spend, count(*) AS vendors, CAST(sum(CASE WHEN balance < 0 THEN 1 ELSE 0 END) AS BIGINT) AS risky FROM spend JOIN vendors USING (vendor_id) GROUP BY 1"))
 def spend_by_industry(spark, d):
     """R12, A20."""
-    return _spend(spark, d).join(C.vendors(spark, d), "vendor_id").groupBy("industry_category").agg(total("total_spend").alias("spend"), F.count("*").alias("vendors"), F.count_if(F.col("balance") < 0).alias("risky"))
+    return _spend(spark, d, more=False).join(C.vendors(spark, d), "vendor_id").groupBy("industry_category").agg(total("total_spend").alias("spend"), F.count("*").alias("vendors"), F.count_if(F.col("balance") < 0).alias("risky"))
 
 
 @query(sql(*ST, VENDORS, select=f"SELECT region, country, {CENTS.format('total_spend')} AS spend, count(*) AS vendors, CAST(grouping(region) * 2 + grouping(country) AS BIGINT) AS level FROM spend JOIN vendors USING (vendor_id) GROUP BY ROLLUP (region, country)"))
 def spend_rollup(spark, d):
     """Subtotals of region and country in one pass."""
-    return _spend(spark, d).join(C.vendors(spark, d), "vendor_id").rollup("region", "country").agg(total("total_spend").alias("spend"), F.count("*").alias("vendors"), F.grouping_id().cast("long").alias("level"))
+    return _spend(spark, d, more=False).join(C.vendors(spark, d), "vendor_id").rollup("region", "country").agg(total("total_spend").alias("spend"), F.count("*").alias("vendors"), F.grouping_id().cast("long").alias("level"))
 
 
 @query(sql(*ST, VENDORS, select="SELECT vendor_id, supplier_name, industry_category, total_spend FROM spend JOIN vendors USING (vendor_id) QUALIFY row_number() OVER (PARTITION BY industry_category ORDER BY total_spend DESC, vendor_id) <= 3"))
 def top_vendors_by_industry(spark, d):
     """W10."""
-    rows = _spend(spark, d).join(C.vendors(spark, d), "vendor_id").select("vendor_id", "supplier_name", "industry_category", "total_spend")
+    rows = _spend(spark, d, more=False).join(C.vendors(spark, d), "vendor_id").select("vendor_id", "supplier_name", "industry_category", "total_spend")
     return top_n(rows, ["industry_category"], [F.desc("total_spend"), F.asc("vendor_id")], 3)
 
 
@@ -259,4 +262,4 @@ def top10_vendors(spark, d):
 @query(sql(*ST, VENDORS, select="SELECT vendor_id, supplier_name FROM vendors WHERE vendor_id NOT IN (SELECT vendor_id FROM spend)"))
 def zero_spend_vendors(spark, d):
     """R23, J8."""
-    return C.vendors(spark, d).join(_spend(spark, d), "vendor_id", "left_anti").select("vendor_id", "supplier_name")
+    return C.vendors(spark, d).join(_spend(spark, d, more=False), "vendor_id", "left_anti").select("vendor_id", "supplier_name")
