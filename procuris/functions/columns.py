@@ -119,9 +119,16 @@ def binned(c: str | Column, upper: list[float], labels: list[str]) -> Column:
     return F.when(col(c).isNotNull(), out.otherwise(labels[-1]))
 
 
+def literal(x) -> str:
+    """A value as a SQL literal."""
+    if isinstance(x, str):
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{x!r}D" if isinstance(x, float) else str(x)
+
+
 def mapped(c: str | Column, table: dict, default=None) -> Column:
     """A small dictionary's value, else the default."""
-    pairs = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    pairs = F.expr("map(" + ", ".join(literal(x) for kv in table.items() for x in kv) + ")")
     found = F.try_element_at(pairs, col(c))
     return found if default is None else F.coalesce(found, F.lit(default))
 
