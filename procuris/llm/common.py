@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procuris.sources.shared import at_exit, discard, saved, shared_dir  # noqa: F401  the operators take them from here
+
 #: Whole documents are handled a slice of this many bytes of text at a time (one document at least).
 SLICE_BYTES = 2 << 20
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,35 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) a folder of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("procuris.shared.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="procuris-")
-        spark.conf.set("procuris.shared.dir", where)
-    return where.rstrip("/")
-
-
-def saved(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and a lost executor costs nothing.
-
-    old: an earlier result of saved() that is not needed any more; its files go.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/procuris/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._procuris_path = path
-    if old is not None:
-        discard(old)
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._procuris_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc32_of_id(doc_id: str = "doc_id") -> Column:
     """crc32 of the id written as text."""
     return F.crc32(F.col(doc_id).cast("string"))
@@ -71,14 +41,17 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
 
     lower makes A-Z small and leaves other letters. A null is an empty text.
     """
-    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "")
+    texts = pc.ascii_trim_whitespace(pc.fill_null(texts, ""))
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     offsets, flat = np.asarray(parts.offsets), parts.flatten()
     offsets = offsets - offsets[0]
-    full = pc.not_equal(flat, "")
-    kept = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
-    coded = flat.filter(full).dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), kept[offsets], coded.dictionary.to_pylist()
+    blank = pc.equal(flat, "")  # only of texts without a word
+    if pc.any(blank).as_py():
+        full = ~blank.to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
+        flat = flat.filter(pa.array(full))
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), offsets, coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
