@@ -12,8 +12,11 @@ from procuris.llm.common import saved, table
 K, TUPLES = 3, 32
 #: Documents that one bucket of neighbours holds, about.
 BUCKET_ROWS = 1000
-#: Low bits of a packed long that hold the place in the text; the high ones hold the hash.
-PLACE_BITS = 24
+#: Ranges that one level of quantiles parts ids into at most, and buckets that one window over bucket numbers holds.
+RANGES, FAN = 128, 1024
+#: Low bits of a packed long that hold the place in the text (a string of Spark has under 2^31 bytes, so under 2^30
+#: words); the high ones hold the hash.
+PLACE_BITS = 30
 PLACE = (1 << PLACE_BITS) - 1
 
 
@@ -74,21 +77,45 @@ def printed(signature: str) -> Column:
 def bucketed(docs: DataFrame, id_col: str, rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
     """docs with bucket, a number that rises with the id, for about `rows` documents each; and how many there are.
 
-    Quantiles part the ids coarsely, and even steps part what lies between two of them.
+    Quantiles part the ids into ranges, quantiles of each range part it once more, and where that is too coarse still,
+    even steps part what lies between two of them. Null ids are in the first bucket.
     """
     n = docs.count()
     parts = max(1, -(-n // rows))
-    coarse = min(parts, 128)
-    fine = -(-parts // coarse)
-    cuts = docs.agg(F.percentile_approx(id_col, [i / coarse for i in range(coarse + 1)], 10000)).first()[0] if n else None
-    cuts = sorted(set(cuts or [0]))
-    lows = F.array(*(F.lit(c).cast("long") for c in cuts))
-    at = F.greatest(F.lit(0), F.size(F.filter(lows, lambda c: c <= F.col(id_col))) - 1)
-    docs = docs.withColumn("_at", at)
-    low, high = F.get(lows, F.col("_at")), F.coalesce(F.get(lows, F.col("_at") + 1), F.get(lows, F.col("_at")) + 1)
-    step = F.floor((F.col(id_col) - low).cast("double") / (high - low).cast("double") * fine)
-    step = F.least(F.lit(fine - 1), F.greatest(F.lit(0), step))
-    return docs.withColumn("bucket", (F.col("_at").cast("long") * fine + step).cast("long")).drop("_at"), len(cuts) * fine
+    first = min(parts, RANGES)
+    second = min(-(-parts // first), RANGES)
+    steps = -(-parts // (first * second))
+
+    def quantiles(k: int) -> Column:
+        return F.array_sort(F.array_distinct(F.percentile_approx(id_col, [i / k for i in range(k + 1)], 10000))).cast("array<long>")
+
+    def place(lows: Column) -> Column:
+        return F.greatest(F.lit(0), F.size(F.filter(lows, lambda c: c <= F.col(id_col))) - 1)
+
+    one = docs.agg(quantiles(first)).first()[0] or [0]
+    docs = docs.withColumn("_one", place(F.array(*(F.lit(c).cast("long") for c in one))))
+    two = docs.groupBy("_one").agg(F.coalesce(quantiles(second), F.array(F.lit(0).cast("long"))).alias("_lows"))  # a row for each of the first ranges
+    docs = docs.join(F.broadcast(two), "_one").withColumn("_two", place(F.col("_lows")))
+    low = F.get("_lows", F.col("_two"))
+    high = F.coalesce(F.get("_lows", F.col("_two") + 1), low + 1)
+    step = F.floor((F.col(id_col) - low).cast("double") / (high - low).cast("double") * steps)
+    step = F.least(F.lit(steps - 1), F.greatest(F.lit(0), F.coalesce(step, F.lit(0))))
+    bucket = (F.col("_one").cast("long") * (second + 1) + F.col("_two")) * steps + step
+    return docs.withColumn("bucket", bucket.cast("long")).drop("_one", "_two", "_lows"), parts
+
+
+def following_heads(heads: DataFrame) -> DataFrame:
+    """(bucket, _follow) of heads (bucket, _first): the first of the next bucket, of the first one after the last.
+
+    Windows run over FAN bucket numbers, and over one row for each FAN of them.
+    """
+    up = heads.withColumn("_up", F.floor(F.col("bucket") / FAN))
+    tops = up.groupBy("_up").agg(F.min_by(F.struct("_first"), "bucket").alias("_top"))
+    order = Window.orderBy("_up")
+    after = F.coalesce(F.lead("_top").over(order), F.first("_top").over(order))
+    tops = tops.select("_up", after.alias("_after"))
+    lead = F.lead(F.struct("_first")).over(Window.partitionBy("_up").orderBy("bucket"))
+    return up.join(tops, "_up").select("bucket", F.coalesce(lead, F.col("_after"))["_first"].alias("_follow"))
 
 
 def with_next(rows: DataFrame, order: list[str], payload: str, out: str) -> DataFrame:
@@ -97,13 +124,9 @@ def with_next(rows: DataFrame, order: list[str], payload: str, out: str) -> Data
     Inside a bucket it is a window; the last row of each bucket meets the first of the next bucket by a join.
     """
     inner = Window.partitionBy("bucket").orderBy(*order)
-    first = rows.groupBy("bucket").agg(F.min_by(payload, F.struct(*order)).alias("_first"))
-    numbers = rows.select("bucket").distinct()  # the windows below run over these numbers alone
-    whole = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.last("bucket").over(whole))
-    heads = first.join(numbers.withColumn("_before", before), "bucket").select(F.col("_before").alias("bucket"), "_first")
+    heads = following_heads(rows.groupBy("bucket").agg(F.min_by(payload, F.struct(*order)).alias("_first")))
     marked = rows.withColumns({"_next": F.lead(F.struct(F.col(payload).alias("v"))).over(inner), "no": F.row_number().over(inner)})
-    return marked.join(heads, "bucket", "left").withColumn(out, F.when(F.col("_next").isNotNull(), F.col("_next.v")).otherwise(F.col("_first"))).drop("_next", "_first")
+    return marked.join(heads, "bucket", "left").withColumn(out, F.when(F.col("_next").isNotNull(), F.col("_next.v")).otherwise(F.col("_follow"))).drop("_next", "_follow")
 
 
 def edited(text: str, following: str) -> Column:
