@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from procuris.llm.common import blocked_pairs, components, local_components, runs, saved
 
-#: Rows of a bucket that one block may hold, and the size from which a group is compared bit-sliced.
-BLOCK, SLICED = 2048, 48
+#: Rows of a bucket that one block may hold.
+BLOCK = 2048
+#: Rough seconds that a row of a bucket key and a bit-sliced comparison cost; they choose the number of keys, not the result.
+COPY, PAIR = 1e-6, 2e-9
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -54,19 +57,28 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def sliced_pairs(fa: np.ndarray, fb: np.ndarray, radius: int, step: int = 128):
-    """Yields arrays (i, j) of index pairs, for `step` of fa at a time, with at most `radius` differing bits between fa[i] and fb[j].
+def sliced_pairs(query: np.ndarray, fps: np.ndarray, first: np.ndarray, stop: np.ndarray, radius: int, step: int = 1 << 16):
+    """Yields arrays (i, j) of index pairs, first[i] <= j < stop[i], with at most `radius` differing bits between query[i] and fps[j].
 
-    64 fingerprints of fb stand in each word of a plane. Three planes at a time go through a carry-save adder into
-    bitwise counters; words (blocks of 64) whose lanes all exceed the radius are abandoned every nine planes.
+    64 neighbouring fingerprints of fps stand in each word of a plane, whatever buckets they are of: lanes outside a
+    query's range count as too far from the start. Three planes at a time go through a carry-save adder into bitwise
+    counters, for about `step` words at once; words (blocks of 64) whose lanes all exceed the radius are abandoned
+    every nine planes.
     """
-    plane, nbits = planes(fb), max(2, int(radius).bit_length())
-    for start in range(0, len(fa), step):
-        q = fa[start:start + step]
+    plane, nbits = planes(fps), max(2, int(radius).bit_length())
+    low, number = first // 64, np.where(stop > first, (stop - 1) // 64 - first // 64 + 1, 0)
+    upto = np.cumsum(number)
+    begin = 0
+    while begin < len(query):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + step, side="right")))
+        own, part = number[begin:end], slice(begin, end)
+        q = query[part]
         mask = np.where(np.unpackbits(q.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T, ONES, np.uint64(0))
-        qi, wi = (x.ravel() for x in np.meshgrid(np.arange(len(q)), np.arange(plane.shape[1]), indexing="ij"))
+        qi = np.repeat(np.arange(len(q)), own)
+        wi = np.arange(len(qi)) - np.repeat(np.cumsum(own) - own, own) + low[part][qi]
+        ahead, behind = np.clip(first[part][qi] - wi * 64, 0, 63), np.clip((wi + 1) * 64 - stop[part][qi], 0, 63)
+        over = ~((ONES << ahead.astype(np.uint64)) & (ONES >> behind.astype(np.uint64)))
         counter = [np.zeros(len(qi), np.uint64) for _ in range(nbits)]
-        over = np.zeros(len(qi), np.uint64)
 
         def add(carry, at, counter=counter):
             for n in range(at, nbits):
@@ -97,9 +109,18 @@ def sliced_pairs(fa: np.ndarray, fb: np.ndarray, radius: int, step: int = 128):
         if len(qi):
             lanes = np.unpackbits((~far).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             row, lane = np.nonzero(lanes)
-            j = wi[row] * 64 + lane
-            keep = j < len(fb)
-            yield qi[row][keep] + start, j[keep]
+            yield qi[row] + begin, wi[row] * 64 + lane
+        begin = end
+
+
+def agreement(n: int, radius: int) -> int:
+    """How many blocks of bits a bucket key should hold for n fingerprints: the cheapest of 1 to 3 by COPY (a row of a key, shuffled and sorted) and PAIR (a comparison)."""
+
+    def cost(agree: int) -> float:
+        keys = math.comb(radius + agree, agree)
+        return keys * n * (COPY + PAIR * n / 2 ** (64 * agree / (radius + agree)))
+
+    return min((1, 2, 3), key=cost)
 
 
 def bucket_keys(fp: Column, radius: int, agree: int) -> Column:
@@ -117,62 +138,51 @@ def bucket_keys(fp: Column, radius: int, agree: int) -> Column:
     return F.array(*keys)
 
 
-def near_links(fps: DataFrame, radius: int = 4, agree: int = 2, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that connect what links of distance <= radius connect. fps: distinct fp with their rep.
+def near_links(fps: DataFrame, radius: int = 4, agree: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that connect what links of distance <= radius connect. fps: distinct fp with their rep; it is read twice.
 
-    Exact: every pair within the radius shares a bucket (pigeonhole). Within each bucket (or pair of blocks of a hot
-    one) only a spanning star of the links found is returned, so that m near copies give at most m rows, not m * m.
+    Exact: every pair within the radius shares a bucket (pigeonhole). All buckets of a batch, small ones and blocks of
+    hot ones, are compared bit-sliced in one go. Only a spanning forest of a batch's links is returned, so that m near
+    copies give at most m rows a bucket, not m * m. agree: see bucket_keys; by default the number of rows decides.
     """
+    agree = agree or agreement(fps.count(), radius)
     rows = fps.select("fp", "rep", F.explode(bucket_keys(F.col("fp"), radius, agree)).alias("key"))
     rows = blocked_pairs(rows, "key", F.col("fp"), block)
-    dealt = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "fp")
+    dealt = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "blk", "fp")
 
     def compare(batches):
         for part in runs(batches, ["key", "bi", "bj"]):
             fp = part["fp"].to_numpy().view(np.uint64)
             rep, blk = part["rep"].to_numpy(), part["blk"].to_numpy()
-            cols = [part[k].to_numpy() for k in ("key", "bi", "bj")]
-            new = np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in cols])])
+            key, bi, bj = (part[k].to_numpy() for k in ("key", "bi", "bj"))
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
             group = np.cumsum(new) - 1
-            begin = np.append(np.flatnonzero(new), len(fp))
-            size = np.diff(begin)
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            small = np.flatnonzero(size[group] < SLICED)
-            for d in range(1, SLICED):
-                i, j = small[:-d], small[d:]
-                same = group[i] == group[j]
-                if not same.any():
-                    break
-                i, j = i[same], j[same]
-                hit = np.bitwise_count(fp[i] ^ fp[j]) <= radius
-                a.append(i[hit])
-                b.append(j[hit])
-            for g in np.flatnonzero(size >= SLICED):
-                at = np.arange(begin[g], begin[g + 1])
-                one, two = at[blk[at] == cols[1][at[0]]], at[blk[at] == cols[2][at[0]]]
-                root, first = np.arange(len(at)), begin[g]
-                for i, j in sliced_pairs(fp[one], fp[two], radius):  # links of a step at a time: many near copies link in all pairs
-                    root = local_components(len(at), np.append(one[i] - first, root), np.append(two[j] - first, np.arange(len(at))))
-                linked = np.flatnonzero(root != np.arange(len(at)))
-                a.append(linked + first)
-                b.append(root[linked] + first)
-            a, b = np.concatenate(a), np.concatenate(b)
-            if not len(a):
+            end = np.append(np.flatnonzero(new)[1:], len(fp))[group]
+            # in one block each row meets those behind it; of two blocks, rows of the first meet those of the second
+            here = np.arange(len(fp))
+            second = np.bincount(group, blk == bi, minlength=group[-1] + 1).astype(np.int64)[group] + np.flatnonzero(new)[group]
+            first = np.where(bi == bj, here + 1, second)
+            stop = np.where((bi == bj) | (blk == bi), end, first)
+            root, found = here, False
+            for i, j in sliced_pairs(fp, fp, first, stop, radius):
+                root, found = local_components(len(fp), np.append(i, root), np.append(j, here)), True
+            if not found:
                 continue
-            nodes, inverse = np.unique(np.concatenate([rep[a], rep[b]]), return_inverse=True)
-            root = local_components(len(nodes), inverse[:len(a)], inverse[len(a):])
+            linked = np.flatnonzero(root != here)
+            nodes, inverse = np.unique(np.concatenate([rep[linked], rep[root[linked]]]), return_inverse=True)
+            root = local_components(len(nodes), inverse[:len(linked)], inverse[len(linked):])
             linked = np.flatnonzero(root != np.arange(len(nodes)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], names=["a", "b"])
 
     return dealt.select("key", "bi", "bj", "blk", "fp", "rep").mapInArrow(compare, "a long, b long")
 
 
-def classed(docs: DataFrame, id_col: str, text_col: str, radius: int, k: int = 4, agree: int = 2) -> tuple[DataFrame, bool]:
+def classed(docs: DataFrame, id_col: str, text_col: str, radius: int, k: int = 4, agree: int | None = None) -> tuple[DataFrame, bool]:
     """(id, fp, root, component_id), where root names a component even if none of its rows has an id; and whether any row has none."""
     marked = saved(fingerprints(docs.select(id_col, text_col), id_col, text_col, k))
     reps = marked.groupBy("fp").agg(F.min(id_col).alias("id"))
     nulls = not marked.filter(F.col(id_col).isNull()).isEmpty()
-    reps = reps.withColumn("rep", F.col("fp") if nulls else F.col("id"))  # fingerprints of which no row has an id are nodes by themselves
+    reps = saved(reps.withColumn("rep", F.col("fp") if nulls else F.col("id")))  # fingerprints of which no row has an id are nodes by themselves
     roots = components(near_links(reps, radius, agree))
     classes = reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", "id", F.coalesce("root", "rep").alias("root"))
     if nulls:
@@ -183,12 +193,13 @@ def classed(docs: DataFrame, id_col: str, text_col: str, radius: int, k: int = 4
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, k: int = 4,
-                    agree: int = 2) -> DataFrame:
+                    agree: int | None = None) -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id reachable over fingerprints within the radius.
 
     Equal fingerprints are one node, so exact copies cost nothing. Null, empty and blank texts have fingerprint 0
     and link like any other. An empty table gives no rows. Rows with one id twice give a row each. Rows without an id
-    link too; where no row of a component has an id, component_id is null. Other columns of docs are not read. More `agree` makes buckets smaller and keys more (15 at 2, 35 at 3) without changing the result.
+    link too; where no row of a component has an id, component_id is null. Other columns of docs are not read. More `agree` makes buckets smaller and keys more (5 at 1, 15 at 2, 35 at 3)
+    without changing the result; by default the number of fingerprints decides.
     """
     return classed(docs, id_col, text_col, radius, k, agree)[0].drop("root")
 
