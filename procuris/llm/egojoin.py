@@ -12,8 +12,9 @@ from pyspark.sql.window import Window
 
 from procuris.llm.common import components, local_components, runs, saved, table
 
-#: Vectors of a sequence interval at the lowest level, and intervals that form one of the next.
-BLOCK, FAN = 1024, 16
+#: Vectors of a sequence interval that is sent to tasks, at most and at least; how many such there should be before they
+#: grow; intervals that form one of the next level; vectors of an interval inside a task.
+BLOCK, LEAST_BLOCK, BLOCKS, FAN, INNER = 16384, 1024, 12, 16, 256
 #: Leading principal dimensions that bound distances; the first GRID of them order the grid.
 DIMS, GRID = 16, 6
 #: Vectors (a sample by hash of the id) that set the principal dimensions; they change the speed, not the result.
@@ -39,8 +40,8 @@ def principal(vectors: DataFrame, sample: int) -> np.ndarray | None:
     return np.linalg.eigh(x.T @ x - len(x) * np.outer(x.mean(0), x.mean(0)))[1][:, ::-1][:, :DIMS]
 
 
-def ordered(vectors: DataFrame, basis: np.ndarray, epsilon: float) -> DataFrame:
-    """vectors (rep, weight, v) in epsilon grid order, with y (leading coordinates) and block (its sequence interval)."""
+def ordered(vectors: DataFrame, basis: np.ndarray, epsilon: float, size: int) -> DataFrame:
+    """vectors (rep, weight, v) in epsilon grid order, with y (leading coordinates), at (rises with the order) and block (its sequence interval of `size`)."""
     dims = basis.shape[0]
 
     def project(batches):
@@ -59,10 +60,10 @@ def ordered(vectors: DataFrame, basis: np.ndarray, epsilon: float) -> DataFrame:
     placed = saved(placed.orderBy("cell", "rep").withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
     parts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row for each partition that was sorted
-    base = F.sum(F.ceil(F.col("n") / BLOCK)).over(Window.orderBy("part")) - F.ceil(F.col("n") / BLOCK)
+    base = F.sum(F.ceil(F.col("n") / size)).over(Window.orderBy("part")) - F.ceil(F.col("n") / size)
     parts = parts.select("part", base.cast("long").alias("base"))
-    block = F.col("base") + F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / BLOCK)
-    return placed.withColumn("part", part).join(F.broadcast(parts), "part").select("rep", "weight", "v", "y", block.cast("long").alias("block"))
+    block = F.col("base") + F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / size)
+    return placed.withColumn("part", part).join(F.broadcast(parts), "part").select("rep", "weight", "v", "y", "at", block.cast("long").alias("block"))
 
 
 def far(low_a: str, high_a: str, low_b: str, high_b: str) -> Column:
@@ -105,7 +106,8 @@ def cosine_links(vectors: DataFrame, least: float) -> DataFrame:
     if basis is None:
         return vectors.sparkSession.createDataFrame([], "rep long, links long, root long")
     k = basis.shape[1]
-    rows = saved(ordered(vectors, basis, epsilon))
+    size = min(BLOCK, max(LEAST_BLOCK, -(-vectors.count() // BLOCKS)))  # a vector meets so few blocks that copies stay few
+    rows = saved(ordered(vectors, basis, epsilon, size))
     pairs = interval_pairs(rows, k, epsilon)
     both = pairs.select("one", "two", F.explode(F.array(
         F.struct(F.col("one").alias("block"), F.lit(0).alias("side"), F.col("lb").alias("low"), F.col("hb").alias("high")),
@@ -113,21 +115,22 @@ def cosine_links(vectors: DataFrame, least: float) -> DataFrame:
     both = both.select("one", "two", "x.*").filter("one <> two or side = 0")
     # of a block only vectors near the other block's box are sent
     sent = rows.join(both, "block").filter(far("y", "y", "low", "high") <= epsilon * epsilon)
-    dealt = sent.select("one", "two", "side", "rep", "weight", "v").repartition("one", "two").sortWithinPartitions("one", "two", "side")
+    dealt = sent.select("one", "two", "side", "at", "rep", "weight", "v").repartition("one", "two").sortWithinPartitions("one", "two", "side", "at")
 
     def compare(batches):
         for part in runs(batches, ["one", "two"]):
             one, two, side = (part[c].to_numpy() for c in ("one", "two", "side"))
             begin = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
             for a, b in zip(begin, np.append(begin[1:], len(one))):
-                out = near_in_group(part.slice(a, b - a), side[a:b], one[a] == two[a], least)
+                out = near_in_group(part.slice(a, b - a), side[a:b], one[a] == two[a], least, basis)
                 if out is not None:
                     yield out
 
     return dealt.mapInArrow(compare, "rep long, links long, root long")
 
 
-def near_in_group(group: pa.Table, side: np.ndarray, same: bool, least: float) -> pa.RecordBatch | None:
+def near_in_group(group: pa.Table, side: np.ndarray, same: bool, least: float, basis: np.ndarray) -> pa.RecordBatch | None:
+    """Links of a pair of blocks, whose rows stand in grid order. Intervals of INNER rows whose boxes lie too far apart are skipped."""
     rep, weight = group["rep"].to_numpy(), group["weight"].to_numpy()
     v = group["v"].combine_chunks()
     v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
@@ -140,22 +143,32 @@ def near_in_group(group: pa.Table, side: np.ndarray, same: bool, least: float) -
         norm = np.sqrt((x * x).sum(1))
         left = np.flatnonzero(side[at] == 0)
         right = left if same else np.flatnonzero(side[at] == 1)
-        if not len(right):
+        if not len(left) or not len(right):
             continue
-        other = np.ascontiguousarray(x[right].T)
-        for start in range(0, len(left), 256):
-            rows = left[start:start + 256]
-            hit = (x[rows] @ other) / (norm[rows][:, None] * norm[right][None]) >= least
-            if same:
-                hit[np.arange(len(rows)), start + np.arange(len(rows))] = False
-            i, j = np.nonzero(hit)
-            if not len(i):
-                continue
-            i, j = at[rows[i]], at[right[j]]
-            np.add.at(degree, i, weight[j])
-            if not same:
+        y = x @ basis / norm[:, None] if width == len(basis) else np.zeros((len(x), 1))
+        cuts = np.arange(0, len(right), INNER)
+        low, high = np.minimum.reduceat(y[right], cuts), np.maximum.reduceat(y[right], cuts)
+        for start in range(0, len(left), INNER):
+            rows = left[start:start + INNER]
+            gap = np.maximum(np.maximum(low - y[rows].max(0), y[rows].min(0) - high), 0)
+            near = np.flatnonzero((gap * gap).sum(1) <= 2 - 2 * least + 1e-9)
+            # a few intervals at a time; inside one block each pair is met once
+            for some in (near[n:n + 16] for n in range(0, len(near), 16)):
+                if same:
+                    some = some[some >= start // INNER]
+                    if not len(some):
+                        continue
+                others = np.concatenate([right[c:c + INNER] for c in cuts[some]])
+                hit = (x[rows] @ x[others].T) / (norm[rows][:, None] * norm[others][None]) >= least
+                if same:
+                    hit &= rows[:, None] < others[None]
+                i, j = np.nonzero(hit)
+                if not len(i):
+                    continue
+                i, j = at[rows[i]], at[others[j]]
+                np.add.at(degree, i, weight[j])
                 np.add.at(degree, j, weight[i])
-            root = local_components(len(rep), np.append(i, root), np.append(j, np.arange(len(rep))))
+                root = local_components(len(rep), np.append(i, root), np.append(j, np.arange(len(rep))))
     linked = np.flatnonzero(degree)
     if not len(linked):
         return None
@@ -178,8 +191,9 @@ def near_duplicates(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     state = groups.select("rep", "weight", F.col("v").alias("_v")).join(degree, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
     state = state.select("_v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("root", "rep").alias("c"))
-    keyed = plain.withColumn("v", F.when(usable(F.col("v")), F.col("v")))
-    out = keyed.join(state, F.col("v") == F.col("_v"), "left")
+    out = good.join(state, F.col("v") == F.col("_v")).select("id", "n", "c")
+    alone = plain.filter(~usable(F.col("v"))).select("id", F.lit(0).alias("n"), F.lit(None).cast("long").alias("c"))  # no join: they may be many
+    out = out.union(alone)
     component = F.coalesce("c", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
 
