@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procuris.llm.common import saved, shared_dir, table
+from procuris.llm.common import at_exit, saved, shared_dir, table
 
 #: Payloads from this size on are written once; later copies revisit them.
 LEAST_REVISIT = 1000
@@ -22,6 +22,8 @@ LEAST_REVISIT = 1000
 MEMBER_BYTES, PACKAGE_BYTES = 16 << 20, 64 << 20
 #: Records whose ranges lie this close are read at once, up to so many bytes.
 READ_BYTES = 4 << 20
+#: Packages whose directories, and ranges whose records, one task reads, about.
+PACKAGES, RANGES = 16, 4
 #: Records are gzip members of this level; the package stores them as they are.
 LEVEL = 1
 LOCAL, CENTRAL, END, END64, LOCATOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -259,11 +261,12 @@ def index_packages(packages: DataFrame, where: str) -> DataFrame:
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))], names=["package", "at", "lengths"])
 
-    return packages.select("package").mapInArrow(read, "package string, at long, lengths array<long>")
+    dealt = packages.select("package").repartition(max(1, -(-packages.count() // PACKAGES)), "package")
+    return dealt.mapInArrow(read, "package string, at long, lengths array<long>")
 
 
 def read_packages(ranges: DataFrame, where: str) -> DataFrame:
-    """(name, kind, bytes, sha1, refers) of every record, each range read alone."""
+    """(name, kind, bytes, sha1, refers) of every record, each range read alone; ranges should be saved, as they are counted first."""
 
     def read(batches):
         fs, _ = filesystem(where)
@@ -279,7 +282,7 @@ def read_packages(ranges: DataFrame, where: str) -> DataFrame:
                     ("name", pa.string()), ("kind", pa.string()), ("bytes", pa.int64()), ("sha1", pa.string()), ("refers", pa.string()))],
                     names=["name", "kind", "bytes", "sha1", "refers"])
 
-    dealt = ranges.repartition(F.xxhash64("package", "at"))
+    dealt = ranges.repartition(max(1, -(-ranges.count() // RANGES)), "package", "at")  # by a number, or AQE makes one task of the few bytes that name ranges
     return dealt.mapInArrow(read, "name string, kind string, bytes long, sha1 string, refers string")
 
 
@@ -290,8 +293,10 @@ def round_trip(spark: SparkSession, pages: DataFrame, where: str | None = None)
     without a page_id has a record too: nothing refers to it, it may refer to others. An empty table gives no rows.
     Other columns are not read.
     """
-    where = where or f"{shared_dir(spark)}/procuris/warc-{uuid.uuid4().hex}"
-    rows = read_packages(index_packages(write_packages(pages, where), where), where)
+    if where is None:
+        where = f"{shared_dir(spark)}/procuris/warc-{uuid.uuid4().hex}"
+        at_exit(spark, where)
+    rows = read_packages(saved(index_packages(write_packages(pages, where), where)), where)
     page = lambda c: F.nullif(F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1), F.lit("")).cast("long")
     return rows.select(page("name").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"),
                        F.col("kind").alias("record_type"), F.when(F.col("refers").isNotNull(), page("refers")).alias("refers_to"))
