@@ -91,9 +91,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = saved(small.select("x.u", "x.v").filter("u <> v").distinct(), now)
 
 
-def runs(batches, key: list[str]):
-    """Record batches of a partition sorted by key, cut so that rows of equal key stay together."""
+def runs(batches, key: list[str], hot: int | None = None):
+    """Record batches of a partition sorted by key, cut so that rows of equal key stay together.
+
+    With hot, a key of more rows comes in several parts, none held longer than that takes; they and the last bear metadata.
+    """
     held: list[pa.RecordBatch] = []
+    parted = False
+
+    def whole():
+        out = pa.Table.from_batches(held).combine_chunks()
+        return out.replace_schema_metadata({"parted": "1"}) if parted else out
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -103,16 +112,24 @@ def runs(batches, key: list[str]):
             change[1:] |= values[1:] != values[:-1]
         at = np.flatnonzero(change)
         if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in key):
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = []
+            yield whole()
+            held, parted = [], False
+        if len(at) and parted:  # the parted key's last rows come alone
+            held.append(batch.slice(0, int(at[0])))
+            yield whole()
+            held, parted, batch, at = [], False, batch.slice(int(at[0])), at[1:] - at[0]
         if len(at):
             held.append(batch.slice(0, int(at[-1])))
-            yield pa.Table.from_batches(held).combine_chunks()
+            yield whole()
             held = [batch.slice(int(at[-1]))]
         else:
             held.append(batch)
+        if hot and sum(b.num_rows for b in held) > hot:
+            parted = True
+            yield whole()
+            held = [held[-1].slice(held[-1].num_rows - 1)]
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield whole()
 
 
 def blocked_pairs(rows: DataFrame, key: str, spread: Column, most: int) -> DataFrame:

@@ -19,8 +19,12 @@ HOT = 4096
 #: Bits of the filter that spares lines without a candidate the shuffle of texts.
 FILTER_BITS = 1 << 26
 PRIME = 0x9E3779B97F4A7C15
-#: Cells of padded code points that one verification step holds.
-STEP_CELLS = 2 << 20
+#: Cells of padded code points that one verification step holds; pairs of longer lines lose what they begin and end with alike.
+STEP_CELLS, LONG = 2 << 20, 1000
+#: Line hashes that a task remembers, so that it hands on the segments of a line that recurs once.
+SEEN = 1 << 20
+#: Classes of over a thousandth of all lines, of which there are under a thousand, go to every task from this size on.
+COMMON = 10_000
 
 
 def line_hash(line: str) -> int:
@@ -96,6 +100,7 @@ def edits_within(a: list[str], b: list[str], tau: int) -> np.ndarray:
     and all pairs of a step go on together, a code point at a time.
     """
     out = np.zeros(len(a), bool)
+    a, b = zip(*(trimmed(x, y) if min(len(x), len(y)) > LONG else (x, y) for x, y in zip(a, b))) if len(a) else (a, b)
     one, two = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
     order = np.argsort(np.maximum(one, two), kind="stable")
     order = order[np.abs(one - two)[order] <= tau]
@@ -110,6 +115,18 @@ def edits_within(a: list[str], b: list[str], tau: int) -> np.ndarray:
     return out
 
 
+def trimmed(a: str, b: str, margin: int = 8) -> tuple[str, str]:
+    """Two long lines without most of the beginning and end that they share, which leaves their distance as it is."""
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+    n = min(len(x), len(y))
+    apart = np.flatnonzero(x[:n] != y[:n])
+    begin = int(apart[0]) if len(apart) else n
+    apart = np.flatnonzero(x[len(x) - n + begin:][::-1] != y[len(y) - n + begin:][::-1])
+    end = int(apart[0]) if len(apart) else n - begin
+    begin, end = max(0, begin - margin), max(0, end - margin)
+    return a[begin:len(a) - end], b[begin:len(b) - end]
+
+
 def _coded(lines: list[str], size: np.ndarray, before: int, after: int, fill: int) -> np.ndarray:
     """Code points with lines as columns, `fill` before and after each."""
     wide = np.full((len(lines), before + int(size.max()) + after), fill, np.uint32)
@@ -164,7 +181,7 @@ def candidate_sets(rows: DataFrame, keys: list[str], tau: int, hot: int | None)
     names = [*keys, "line", "sign"] + ["blk"] * (len(keys) > 1)
 
     def join(batches):
-        for part in runs(batches, keys):
+        for part in runs(batches, keys, hot):
             cols = [part[k].to_numpy() for k in keys]
             line, sign = part["line"].to_numpy(), part["sign"].to_numpy()
             new = np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in cols])])
@@ -181,9 +198,9 @@ def candidate_sets(rows: DataFrame, keys: list[str], tau: int, hot: int | None)
                 i, j = i[same], j[same]
                 hit = (line[i] == line[j]) | alike(sign[i], sign[j], tau)
                 links.append((i[hit], j[hit]))
-            for g in np.flatnonzero(size > 48):
+            for g in np.flatnonzero(size > (0 if hot and part.schema.metadata else 48)):
                 at = np.arange(begin[g], begin[g + 1])
-                if hot and len(at) > hot:
+                if hot and (len(at) > hot or part.schema.metadata):
                     out.append((cols[0][at], line[at], pa.array(sign[at])))
                     continue
                 # the rows left to reach shrink as a frontier goes on
@@ -272,11 +289,15 @@ def near_lines(docs: DataFrame, text_col: str = "text", tau: int = TAU, least: i
     """(node, root): for every line (by hash) that links with another the smallest hash it reaches."""
 
     def index(batches):
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, text_col):
-                lines = distinct_lines(part.column(text_col).to_pylist(), least)
+                lines = {x: h for x, h in distinct_lines(part.column(text_col).to_pylist(), least).items() if h not in seen}
                 if not lines:
                     continue
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(lines.values())
                 name = np.fromiter(lines.values(), np.int64, len(lines))
                 rows: dict = defaultdict(list)
                 for key, at, sign in segment_rows(list(lines), tau, least):
@@ -330,7 +351,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = saved(lines.join(roots, lines["_h"] == roots["node"], "left").select(
         id_col, "at", F.coalesce("root", "_h").alias("class"), F.when(F.col("root").isNull(), F.col("_n")).otherwise(0).alias("_n")))
     first = lines.groupBy("class", "_n").agg(F.min(F.struct(id_col, "at")).alias("_first"), F.count("*").alias("_many")).filter("_many > 1")
-    return lines.join(first, ["class", "_n"]).filter(F.struct(id_col, "at") != F.col("_first")).select(id_col, "at", "class")
+    repeats = F.struct(id_col, "at") != F.col("_first")
+    common = first.filter(F.col("_many") > max(COMMON, lines.count() // 1000)).drop("_many")  # under a thousand rows
+    marked = lines.join(F.broadcast(common), ["class", "_n"], "left")
+    other = marked.filter("_first IS NULL").drop("_first").join(first.drop("_many"), ["class", "_n"])
+    return marked.filter(repeats).select(id_col, "at", "class").union(other.filter(repeats).select(id_col, "at", "class"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
