@@ -93,27 +93,24 @@ def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The mix as documents: each as often as it is taken, columns as they were. Ids of which rows repeat stay equal.
+    """The mix as documents: each row as often as it is taken, columns as they were.
 
-    Rows without an id meet their places in the mix by source and hash of the text. Rows alike in these are numbered,
-    and as many of them are taken once, twice and so on as the mix says.
+    Rows meet their places in the mix by a hash of id, source and text. Rows alike in these are numbered, and as many
+    of them are taken once, twice and so on as the mix says.
     """
-    names, text_hash = docs.columns, F.when(F.col("doc_id").isNull(), F.xxhash64("source", "text"))
-    marked = sized(docs.select("doc_id", "source", "text")).withColumn("_hash", text_hash).drop("text")
-    plan = mix(with_quality(marked, labels), F.col("_quality")).filter("times > 0")
-    plan = saved(plan.groupBy("doc_id", "_hash").agg(F.max("times").alias("_times"), *(F.count_if(F.col("times") >= n).alias(f"_at{n}") for n in range(1, EPOCHS + 1))))
-    known = docs.join(plan.filter("doc_id IS NOT NULL").select("doc_id", "_times"), "doc_id")
+    names, key = docs.columns, F.xxhash64("doc_id", "source", "text")
+    marked = sized(docs.select("doc_id", "source", "text")).withColumn("_hash", key).drop("text")
+    plan = mix(saved(with_quality(marked, labels)), F.col("_quality")).filter("times > 0")
+    plan = saved(plan.groupBy("_hash").agg(*(F.count_if(F.col("times") >= n).alias(f"_at{n}") for n in range(1, EPOCHS + 1))))
     number = F.row_number().over(Window.partitionBy("_hash").orderBy("source"))
-    other = docs.filter("doc_id IS NULL").withColumn("_hash", text_hash).withColumn("_no", number).join(plan.filter("doc_id IS NULL").drop("doc_id", "_times"), "_hash")
+    rows = docs.withColumn("_hash", key).join(plan, "_hash").withColumn("_no", number)
     times = sum((F.col("_no") <= F.col(f"_at{n}")).cast("int") for n in range(1, EPOCHS + 1))
-    other = other.withColumn("_times", times).filter("_times > 0")
-    both = known.select(*names, "_times").union(other.select(*names, "_times"))
-    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    return rows.withColumn("_times", times).filter("_times > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
-    rows = mix(with_quality(docs, table(spark, sf_dir, "labels")), F.col("_quality"))
+    rows = mix(saved(with_quality(docs, table(spark, sf_dir, "labels"))), F.col("_quality"))  # read twice, words counted once
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 

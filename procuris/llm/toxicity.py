@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from procuris.llm.common import crc32_of_id, slices, table, words
+from procuris.llm.common import crc32_of_id, saved, slices, table, words
 
 BITS = 20
 #: At most about so many labelled rows (a sample by hash of the id) fit the weights.
 SAMPLE = 12000
-#: Features of fewer labelled rows than this are left out of the fit.
-LEAST_ROWS = 5
+#: Features of a smaller share of the labelled rows are left out of the fit.
+LEAST_SHARE = 1 / 3000
+#: L1 holds for SAMPLE rows and shrinks with fewer.
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 1.0, 1.0, 8.0, 1.0
 THRESHOLD = 0.3
 EDGE = ".,;:!?\"'()[]{}<>*#$%&-_/\\|~`^+=@"
@@ -56,12 +57,13 @@ def fit_rows(rows: list[tuple[np.ndarray, int]]) -> Weights:
     seen = np.zeros(1 << BITS, np.int32)
     for at, _ in rows:
         seen[at] += 1
-    rows = [(at[seen[at] >= LEAST_ROWS], label) for at, label in rows]
+    rows = [(at[seen[at] > LEAST_SHARE * len(rows)], label) for at, label in rows]
+    l1 = L1 * min(1.0, len(rows) / SAMPLE)
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias_z = bias_n = 0.0
 
     def weight(z, n):
-        return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     for _ in range(EPOCHS):
         for at, label in rows:
@@ -118,9 +120,10 @@ def score(docs: DataFrame, model: Weights, text_col: str = "text", out_col: str
     nothing was learned every score is 0. A column of docs named out_col is replaced; others stay as they are."""
     base = docs.drop(out_col)
     names = base.columns
-    at, value, bias = model.index, model.value, model.bias
+    shared = base.sparkSession.sparkContext.broadcast((model.index, model.value, model.bias))
 
     def each(batches):
+        at, value, bias = shared.value
         dense = np.zeros(1 << BITS)
         dense[at] = value
         live = np.zeros(1 << BITS, bool)
@@ -140,11 +143,17 @@ def score(docs: DataFrame, model: Weights, text_col: str = "text", out_col: str
     return base.mapInArrow(each, StructType([*base.schema.fields, StructField(out_col, DoubleType())]))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of rows whose crc32(doc_id) mod 4 is not 2; several labels of one id count as their largest."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, toxic) of rows whose crc32(doc_id) mod 4 is not 2; several labels of one id count as their largest.
+
+    Ids are chosen before texts are read: about `sample` by a hash, so few that they go to every task.
+    """
     truth = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     truth = truth.filter(F.pmod(crc32_of_id(), F.lit(4)) != 2)
-    return docs.select("doc_id", "text").join(truth, "doc_id")
+    known = docs.select("doc_id").join(truth, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
+    cut = known.select("_h").orderBy("_h").limit(sample).agg(F.max("_h")).first()[0]
+    chosen = saved(known.filter(F.col("_h") <= F.lit(cut)).select("doc_id", "toxic").distinct())
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
