@@ -43,6 +43,26 @@ def test_banded_distance(tau):
     assert linededup.edits_within(list(a), list(b), tau).tolist() == [edits(x, y) <= tau for x, y in zip(a, b)]
 
 
+def test_long_lines_are_trimmed(monkeypatch):
+    monkeypatch.setattr(linededup, "LONG", 10)
+    a, b = zip(*variants(400), ("x" * 50, "x" * 52), ("ab" * 500, "ab" * 500), ("a" + "xy" * 900 + "b", "c" + "xy" * 900 + "d"))
+    assert linededup.edits_within(list(a), list(b), 2).tolist() == [edits(x, y) <= 2 for x, y in zip(a, b)]
+
+
+@pytest.mark.parametrize("hot", [None, 3, 10])
+def test_runs(hot):
+    r = np.random.default_rng(7)
+    keys = np.sort(r.integers(0, 12, 100))
+    batches = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(v)], names=["key", "v"]) for k, v in zip(np.array_split(keys, 9), np.array_split(np.arange(100), 9))]
+    got, rows = {}, set()
+    for part in common.runs(batches, ["key"], hot):
+        for k in set(part["key"].to_pylist()):
+            got.setdefault(k, []).append(bool(part.schema.metadata))
+        rows.update(part["v"].to_pylist())
+        assert not part.schema.metadata or len(set(part["key"].to_pylist())) == 1
+    assert rows == set(range(100)) and all(len(x) == 1 or all(x) for x in got.values())
+
+
 def test_segments_miss_no_pair():
     lines = sorted({x for pair in variants(250) for x in pair if len(x) >= 20})
     keys = {}
@@ -66,9 +86,11 @@ def test_sliced_pairs_are_all_pairs():
     for i in range(0, 700, 2):
         for bit in r.choice(64, i % 7, replace=False):
             b[i] ^= np.uint64(1) << np.uint64(bit)
-    got = sorted((int(i), int(j)) for x, y in simhash.sliced_pairs(a, b, 4) for i, j in zip(x, y))
-    want = np.argwhere(np.bitwise_count(a[:, None] ^ b[None]) <= 4)
-    assert got == sorted(map(tuple, want.tolist())) and got
+    first, stop = np.sort(r.integers(0, 700, (2, 700)), axis=0)
+    for lo, hi in ((np.zeros(700, int), np.full(700, 700)), (first, stop), (first, first)):
+        got = sorted((int(i), int(j)) for x, y in simhash.sliced_pairs(a, b, lo, hi, 4, step=50) for i, j in zip(x, y))
+        want = np.argwhere(np.bitwise_count(a[:, None] ^ b[None]) <= 4)
+        assert got == sorted((i, j) for i, j in want.tolist() if lo[i] <= j < hi[i])
 
 
 def test_simhash_edges():
