@@ -16,9 +16,9 @@ from procuris.llm.common import crc32_of_id, saved, slices, table, words
 BITS = 20
 #: At most about so many labelled rows (a sample by hash of the id) fit the weights.
 SAMPLE = 12000
-#: Features of a smaller share of the labelled rows are left out of the fit.
-LEAST_SHARE = 1 / 3000
-#: L1 holds for SAMPLE rows and shrinks with fewer.
+#: Features of fewer labelled rows than this are left out of the fit. This and L1 hold for SAMPLE rows and shrink with
+#: the fourth root of their number.
+LEAST_ROWS = 5
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 1.0, 1.0, 8.0, 1.0
 THRESHOLD = 0.3
 EDGE = ".,;:!?\"'()[]{}<>*#$%&-_/\\|~`^+=@"
@@ -57,8 +57,8 @@ def fit_rows(rows: list[tuple[np.ndarray, int]]) -> Weights:
     seen = np.zeros(1 << BITS, np.int32)
     for at, _ in rows:
         seen[at] += 1
-    rows = [(at[seen[at] > LEAST_SHARE * len(rows)], label) for at, label in rows]
-    l1 = L1 * min(1.0, len(rows) / SAMPLE)
+    scale = min(1.0, len(rows) / SAMPLE) ** 0.25
+    rows, l1 = [(at[seen[at] >= LEAST_ROWS * scale], label) for at, label in rows], L1 * scale
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias_z = bias_n = 0.0
 
