@@ -146,6 +146,60 @@ def country_tier(c: str | Column) -> Column:
     return F.when(risk >= 0.65, "High").when(risk >= 0.40, "Medium").otherwise("Low")
 
 
+def months_later(c: str | Column, n: int | Column) -> Column:
+    """The same day so many months later, or the month's last."""
+    return F.add_months(col(c), n)
+
+
+def decoded(c: str | Column, codes: dict[str, tuple[str, str]], default: str = "Other") -> Column:
+    """A code's label and category as a struct; unknown and blank codes have the default for both."""
+    code = F.trim(col(c))
+    return F.struct(mapped(code, {k: v[0] for k, v in codes.items()}, default).alias("label"), mapped(code, {k: v[1] for k, v in codes.items()}, default).alias("category"))
+
+
+def guessed_industry(c: str | Column, words: dict[str, list[str]] = P.INDUSTRY_WORDS, default: str = "Other") -> Column:
+    """The first industry with a word in the company's name, case aside."""
+    return F.coalesce(first_category(c, words), F.lit(default))
+
+
+def region_of(country: str | Column, regions: dict[str, list[str]] = P.REGIONS) -> Column:
+    """The region whose list has the country code; null without one."""
+    return mapped(F.upper(F.trim(col(country))), {code: region for region, codes in regions.items() for code in codes})
+
+
+def shown_feature(name: str | Column, value: str | Column) -> Column:
+    """A feature's value as a reader sees it, by the feature's name; three decimals for names without a form of their own."""
+    n, v = col(name), col(value)
+    whole = v.cast("long")
+    return (F.when(v.isNull(), F.lit("n/a"))
+            .when(n.isin("financial_stability", "delivery_performance"), F.format_string("%.1f/100", v))
+            .when(n == "total_annual_spend", F.concat(F.lit("$"), F.format_number(v, 0)))
+            .when(n == "spend_pct_of_portfolio", F.format_string("%.1f%%", v * 100))
+            .when(n == "disruption_count", F.format_string("%d events", whole))
+            .when(n == "days_since_last_disruption", F.format_string("%d days", whole))
+            .when(n.isin("spend_concentration_flag", "geo_risk_flag", "high_disruption_flag"), F.when(v > 0.5, "Yes").otherwise("No"))
+            .when(n == "historical_risk_numeric", F.when(v > 0.7, "High").when(v > 0.3, "Medium").otherwise("Low"))
+            .when(n.isin("kraljic_quadrant", "quadrant_score"), F.when(v >= 0.9, "Strategic").when(v >= 0.7, "Bottleneck").when(v >= 0.4, "Leverage").otherwise("Tactical"))
+            .otherwise(F.format_string("%.3f", v)))
+
+
+def quarter_asked(c: str | Column) -> Column:
+    """the quarter that a text names (q1 to q4), else null."""
+    return F.nullif(F.regexp_extract(F.lower(col(c)), r"\bq([1-4])\b", 1), F.lit("")).cast("int")
+
+
+def days_asked(c: str | Column) -> Column:
+    """the number of days that a text names, else null."""
+    return F.nullif(F.regexp_extract(F.lower(col(c)), r"(\d+)\s*day", 1), F.lit("")).cast("int")
+
+
+def percent_asked(c: str | Column) -> Column:
+    """the share that a text asks to shift, before the verb or else behind it; null without one."""
+    verb = "(?:shift|move|transfer|reallocate)"
+    found = [F.nullif(F.regexp_extract(F.lower(col(c)), p, 1), F.lit("")) for p in (rf"(\d+)%?\s*{verb}", rf"{verb}[^\d]*(\d+)%?")]
+    return F.coalesce(*found).cast("int")
+
+
 def shown_money(c: str | Column) -> Column:
     """$1.2M, $3.4K, $56; n/a for null."""
     v = col(c)

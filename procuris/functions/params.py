@@ -67,6 +67,21 @@ SUFFIXES = [" inc", " ltd", " llc", " plc", " gmbh", " co.", " corp", " corporat
             " & co", " ag", " sa", " bv", " nv", " s.a", " s.l", ".", ",", "'", '"']
 ALIAS_STOP = ["group", "international", "limited", "company", "corporation", "services", "solutions", "global", "holdings", "industries", "technology"]
 
+# Words of company names that tell an industry, and country codes of regions.
+INDUSTRY_WORDS = {
+    "Electronics & Semiconductors": ["apple", "microsoft", "google", "amazon", "intel", "nvidia", "amd", "cisco"],
+    "Electronics & Vehicles": ["toyota", "volkswagen", "bmw", "ford", "gm", "tesla"],
+    "Pharmaceuticals": ["pfizer", "merck", "johnson", "astrazeneca", "novartis", "roche"],
+    "Energy & Oil": ["shell", "exxon", "chevron", "bp", "valero"],
+}
+REGIONS = {
+    "asia": ["CN", "JP", "KR", "TW", "IN", "VN", "TH", "SG", "MY", "ID", "PH"],
+    "europe": ["DE", "FR", "GB", "IT", "ES", "NL", "PL", "SE", "AT", "CH", "BE"],
+    "americas": ["US", "CA", "MX", "BR", "AR"],
+    "middle east": ["SA", "AE", "TR", "IL", "EG"],
+    "africa": ["ZA", "NG", "KE", "GH", "ET"],
+}
+
 # Parameters of the mapping from the given tables: words of the made-up prose that stand for a lexicon, country codes by nation.
 PROSE_POSITIVE, PROSE_NEGATIVE = ["the", "of", "and", "der", "de", "la"], ["thon", "idiot", "trash", "ing", "ou", "ti", "en"]
 PROSE_TYPES = {"quality": ["defect", "ingre"], "labour": ["strike", "thonin"], "delay": ["late", "andre"], "natural": ["fire", "oure"]}

@@ -6,11 +6,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procuris.functions.columns import dot
 from procuris.operators.relational import top_n, with_totals
+from procuris.sources.shared import saved
 
 ANOMALY_FEATURES = ["composite_risk_score", "disruption_count_30d", "financial_stability", "delivery_performance", "total_spend", "spend_share", "otif_rate", "avg_delay_days", "news_sentiment_30d"]
 SIMILARITY_FEATURES = ["financial_stability", "delivery_performance", "performance_composite", "industry_risk_numeric", "total_spend", "geo_risk_numeric"]
@@ -58,7 +59,7 @@ def combined(*detectors: DataFrame, least: int = 2) -> DataFrame:
     return rows.select("vendor_id", total.alias("total_anomaly_flags"), (total >= least).alias("is_anomalous"))
 
 
-def isolation_forest(rows: DataFrame, features: list[str], trees: int = 100, sample: int = 256, contamination: float = 0.1, key: str = "vendor_id") -> DataFrame:
+def isolation_forest(rows: DataFrame, features: list[str], trees: int = 200, sample: int = 256, contamination: float = 0.1, key: str = "vendor_id") -> DataFrame:
     """M13 (Liu, Ting & Zhou 2008): (key, score, flag): how short the mean path to a row is, over trees grown on samples.
 
     Each tree is a task's work: rows are dealt to trees by a hash, about `sample` to each. The trees, a few hundred
@@ -70,7 +71,9 @@ def isolation_forest(rows: DataFrame, features: list[str], trees: int = 100, sam
         return rows.sparkSession.createDataFrame([], f"{key} long, anomaly_score double, anomaly_flag boolean")
     size = min(sample, n)
     share = F.lit(min(1.0, size / n))
-    dealt = clean.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).filter(F.pmod(F.xxhash64(key, "_t"), F.lit(1 << 20)) / float(1 << 20) < share)
+    # a row's trees are drawn by hash before it is copied to them
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(key, t), F.lit(1 << 20)) / float(1 << 20) < share)
+    dealt = clean.withColumn("_t", F.explode(drawn))
     depth = int(np.ceil(np.log2(max(2, size))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -125,19 +128,22 @@ def isolation_forest(rows: DataFrame, features: list[str], trees: int = 100, sam
     return with_totals(scored, _cut=F.percentile("anomaly_score", 1 - contamination)).select(key, "anomaly_score", (F.col("anomaly_score") > F.col("_cut")).alias("anomaly_flag"))
 
 
-def alternatives(rows: DataFrame, features: list[str], least_risk: float = 0.25, n: int = 3, block: Column | None = None) -> DataFrame:
+def alternatives(rows: DataFrame, features: list[str], least_risk: float = 0.25, n: int = 3, most: int = 1000) -> DataFrame:
     """For each vendor of some risk the n most similar others: cosine of standard scores, times 1.2 in the same
     industry (else 0.8), 1.1 in another country, 1.15 at lower risk; what is not positive drops out; ties by id.
 
-    Vendors meet within blocks only, by default of one industry, so that no pair of unlike industries is formed; a
-    block of lit(1) compares all with all.
+    Vendors at risk and all vendors are dealt into blocks of about `most`; pairs are made a pair of blocks at a time, in
+    which n of each vendor's stay, and these compete once more. rows should be saved.
     """
-    z = standard(rows, features, null_as=0.0).withColumn("v", F.array(*(F.col(f"z_{c}") for c in features)))
-    z = z.withColumn("_n", F.sqrt(dot("v", "v"))).withColumn("_block", block if block is not None else F.col("industry_category"))
+    z = saved(standard(rows, features, null_as=0.0).withColumn("v", F.array(*(F.col(f"z_{c}") for c in features))))
+    z = z.withColumn("_n", F.sqrt(dot("v", "v")))
+    blocks = max(1, -(-z.count() // most))
+    own = F.pmod(F.xxhash64("vendor_id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     carried = ["vendor_id", "country_code", "industry_category", "composite_risk_score", "delivery_performance", "financial_stability", "v", "_n"]
-    one = z.filter(F.col("composite_risk_score") >= least_risk).select("_block", *(F.col(c).alias(f"s_{c}") for c in carried))
-    two = z.select("_block", *(F.col(c).alias(f"a_{c}") for c in carried))
-    pairs = one.join(two, "_block").filter("s_vendor_id <> a_vendor_id")
+    one = z.filter(F.col("composite_risk_score") >= least_risk).select(own.alias("_i"), every.alias("_j"), *(F.col(c).alias(f"s_{c}") for c in carried))
+    two = z.select(own.alias("_j"), every.alias("_i"), *(F.col(c).alias(f"a_{c}") for c in carried))
+    pairs = one.join(two, ["_i", "_j"]).filter("s_vendor_id <> a_vendor_id")
     similar = F.round(F.coalesce(F.try_divide(dot("s_v", "a_v"), F.col("s__n") * F.col("a__n")), F.lit(0.0)), 6)
     pairs = pairs.withColumn("similarity", similar)
     lower, abroad = F.col("a_composite_risk_score") < F.col("s_composite_risk_score"), F.col("a_country_code") != F.col("s_country_code")
@@ -146,5 +152,7 @@ def alternatives(rows: DataFrame, features: list[str], least_risk: float = 0.25,
     reason = F.concat_ws("; ", F.when(lower, F.format_string("Lower risk (%.2f vs %.2f)", "a_composite_risk_score", "s_composite_risk_score")), F.when(abroad, F.format_string("Geographic diversification (%s)", "a_country_code")),
                          F.when(F.col("a_delivery_performance") > F.col("s_delivery_performance"), F.lit("Better delivery performance")), F.when(F.col("a_financial_stability") > F.col("s_financial_stability"), F.lit("Higher financial stability")))
     pairs = pairs.withColumn("reason", F.when(reason == "", "Similar capability profile").otherwise(reason))
-    out = top_n(pairs.withColumnsRenamed({"s_vendor_id": "vendor_id", "a_vendor_id": "alt_vendor_id"}), ["vendor_id"], [F.desc("adjusted"), F.asc("alt_vendor_id")], n, rank="alternative_rank")
+    pairs = pairs.withColumnsRenamed({"s_vendor_id": "vendor_id", "a_vendor_id": "alt_vendor_id"}).select("vendor_id", "alt_vendor_id", "similarity", "adjusted", "reason", "_j")
+    order = [F.desc("adjusted"), F.asc("alt_vendor_id")]
+    out = top_n(top_n(pairs, ["vendor_id", "_j"], order, n), ["vendor_id"], order, n, rank="alternative_rank")
     return out.select("vendor_id", "alt_vendor_id", "alternative_rank", "similarity", "reason")

@@ -33,6 +33,17 @@ def driver_rows(drivers: DataFrame, key: str = "vendor_id", n: int = 3) -> DataF
     return out.withColumn("narrative", F.concat(F.lit("Risk is driven by "), F.array_join("drivers", ", "), F.coalesce(F.concat(F.lit("; eased by "), F.col("mitigator")), F.lit(""))))
 
 
+def tiled_importance(rows: DataFrame, importance: DataFrame, key: str = "vendor_id") -> DataFrame:
+    """(key, feature, contribution): every row gets the same importances, as shares of the largest; for models that explain no single row.
+
+    importance (feature, importance) has a row for each feature and goes to every task.
+    """
+    clean = F.coalesce(F.nanvl("importance", F.lit(0.0)), F.lit(0.0))
+    top = with_totals(importance.select("feature", clean.alias("_i")), _top=F.max("_i"))
+    share = top.select("feature", F.when(F.col("_top") > 0, F.col("_i") / F.col("_top")).otherwise(0.0).alias("contribution"))
+    return rows.select(key).crossJoin(F.broadcast(share))
+
+
 def shuffled_column(rows: DataFrame, key: str, column: str, seed: int) -> DataFrame:
     """rows with the values of one column dealt anew among them: values by a hash order meet rows by another, within ranges of the hash.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from procuris.functions.columns import edit_ratio, normal_name, token_score, tokens
 from procuris.operators.relational import top_n
+from procuris.sources.shared import saved
 
 
 def score(a: str | Column, b: str | Column) -> Column:
@@ -52,29 +53,70 @@ def sequence_ratio(a: str, b: str) -> Column:
     return ratio(F.col(a), F.col(b))
 
 
-def duplicate_pairs(names: DataFrame, least: float = 85.0) -> DataFrame:
-    """Pairs of ids, a < b, whose normal names share a word and have an edit ratio of at least `least`."""
-    rows = names.withColumn("norm", normal_name("name"))
-    pairs = candidates(rows, rows).filter("left_id < right_id").withColumn("similarity", F.round(edit_ratio("left_norm", "right_norm"), 2))
-    return pairs.filter(F.col("similarity") >= least).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "similarity")
+def segment_keys(norm: str, least: float, probe: bool) -> Column:
+    """Keys of a name, of which two names of an edit ratio of at least `least` share one if one probes and the other is indexed.
+
+    Let the shorter have n letters. Then at most t = n (100 - least) / least edits lie between them, so one of its t + 1
+    segments stands in the longer name, moved by t places at most (pigeonhole). An index key is a segment with its
+    number and n; probe keys are the same substrings of the longer name for every n that it may meet.
+    """
+    c, slack = F.col(norm), (100 - least) / 100
+    whole = F.length(c)
+
+    def edits(n: Column) -> Column:
+        return F.floor(n * slack / (1 - slack) + 1e-9).cast("int")
+
+    def keys(n: Column, moves: Column) -> Column:
+        parts = edits(n) + 1
 
+        def of(i: Column) -> Column:
+            begin, end = F.floor(n * i / parts).cast("int"), F.floor(n * (i + 1) / parts).cast("int")
+            return F.transform(moves, lambda m: F.when((begin + m >= 0) & (end + m <= whole), F.xxhash64(n, i, c.substr(begin + m + 1, end - begin))))
 
-def groups(pairs: DataFrame, ids: DataFrame, checkpoint=None) -> DataFrame:
-    """(id, master): the least id that pairs connect an id with, by repeated least labels of neighbours until none changes.
+        return F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), of))
 
-    checkpoint cuts the lineage of a round; without it each round is cached by a plain checkpoint where a folder is set.
+    if not probe:
+        return F.array_distinct(keys(whole, F.array(F.lit(0))))
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(whole * (1 - slack) - 1e-9)).cast("int"), whole)
+    return F.array_compact(F.array_distinct(F.flatten(F.transform(lengths, lambda n: keys(n, F.sequence(-edits(n), edits(n)))))))
+
+
+def duplicate_pairs(names: DataFrame, least: float = 85.0) -> DataFrame:
+    """(a, b, similarity), a < b: names (id, name) whose normal names have an edit ratio of at least `least`.
+
+    Names of one normal form meet once, in their least id, which the others pair with; pairs of forms come from a join
+    of segment keys, which misses none. Empty names pair with nothing.
+    """
+    rows = names.withColumn("norm", normal_name("name")).filter("norm <> ''")
+    forms = rows.groupBy("norm").agg(F.min("id").alias("id"))
+    same = rows.join(forms.withColumnRenamed("id", "_first"), "norm").filter("id <> _first").select(F.col("_first").alias("a"), F.col("id").alias("b"), F.lit(100.0).alias("similarity"))
+    index = forms.select(F.col("id").alias("x"), F.col("norm").alias("xn"), F.explode(segment_keys("norm", least, False)).alias("key"))
+    probe = forms.select(F.col("id").alias("y"), F.col("norm").alias("yn"), F.explode(segment_keys("norm", least, True)).alias("key"))
+    pairs = index.join(probe, "key").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("xn")).otherwise(F.col("yn")).alias("an"),
+                                                             F.when(F.col("x") < F.col("y"), F.col("yn")).otherwise(F.col("xn")).alias("bn")).distinct()
+    pairs = pairs.withColumn("similarity", F.round(edit_ratio("an", "bn"), 2)).filter(F.col("similarity") >= least)
+    return pairs.select("a", "b", "similarity").union(same)
+
+
+def groups(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, master): the least id that pairs connect an id with.
+
+    Large and small stars in turn (Kiveris et al. 2014), so that rounds grow with the logarithm of a chain's length;
+    each round is saved.
     """
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    labels = ids.select("id", F.col("id").alias("master"))
-    cut = checkpoint or (lambda df: df.checkpoint())
+    now, before = saved(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()), None
     while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("master").alias("_m"))
-        new = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("master", "_m").alias("master"), (F.col("_m") < F.col("master")).alias("_moved"))
-        new = cut(new)
-        moved = new.filter("_moved").limit(1).count()
-        labels = new.select("id", "master")
-        if not moved:
-            return labels
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if state == before or not state[0]:
+            break
+        before = state
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        now = saved(small.select("x.u", "x.v").filter("u <> v").distinct(), now)
+    return ids.select("id").join(now.withColumnsRenamed({"u": "id", "v": "_m"}), "id", "left").select("id", F.coalesce("_m", "id").alias("master"))
 
 
 def merged(vendors: DataFrame, masters: DataFrame) -> DataFrame:

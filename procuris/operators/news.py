@@ -54,14 +54,17 @@ def grams(text: Column, most: int) -> Column:
     return words if most == 1 else F.array_distinct(F.flatten(F.array(words, *(runs(n) for n in range(2, most + 1)))))
 
 
-def match_articles(articles: DataFrame, index: DataFrame, most: int = 3) -> DataFrame:
+def match_articles(articles: DataFrame, index: DataFrame) -> DataFrame:
     """(article_id, vendor_id): vendors of whom a key stands in the text at word bounds.
 
-    Texts are parted into word n-grams, which meet the keys in a hash join, in place of a search of every key in every
-    text. Keys of more words than `most` are not found.
+    Texts are parted into runs of up to as many words as the longest key has, which meet the keys in a hash join, in
+    place of a search of every key in every text.
     """
+    parts = F.filter(F.split("key", SIGNS), lambda w: w != "")
+    keys = index.withColumn("_n", F.size(parts)).withColumn("key", F.array_join(parts, " "))
+    most = max(1, keys.agg(F.max("_n")).first()[0] or 1)
+    keys = keys.drop("_n")
     words = articles.select("article_id", F.explode(grams(F.concat_ws(" ", "title", "description"), most)).alias("key"))
-    keys = index.withColumn("key", F.array_join(F.filter(F.split("key", SIGNS), lambda w: w != ""), " "))
     return words.join(keys, "key").select("article_id", "vendor_id").distinct()
 
 

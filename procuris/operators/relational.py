@@ -37,6 +37,13 @@ def update_from(target: DataFrame, changes: DataFrame, key: str, columns: list[s
     return out.select(*(F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns))
 
 
+def combine_first(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Left with nulls in the columns filled from the row of the same key in right (unique keys)."""
+    other = right.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in columns))
+    out = left.join(other, left[key] == other["_key"], "left")
+    return out.select(*(F.coalesce(c, f"_{c}").alias(c) if c in columns else F.col(c) for c in left.columns))
+
+
 def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """Rows of source, and those rows of target whose key is not in it."""
     return target.join(source.select(key), key, "left_anti").unionByName(source, allowMissingColumns=True).select(*target.columns)

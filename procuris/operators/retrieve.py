@@ -2,28 +2,53 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from procuris.functions.columns import cosine, shown_money
+from procuris.functions.columns import shown_money
 from procuris.operators.relational import top_n
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, most_queries: int = 1000) -> DataFrame:
+#: Vectors and queries of one block.
+VECTORS, QUERIES = 20_000, 1000
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k nearest of vectors (vec_id, v) to each query (query_id, q), by cosine.
 
-    The queries, at most so many, go to every task; each task's rows compete before they are shuffled. Ties by id.
+    Vectors and queries are dealt into blocks of bounded size; every pair of blocks is one task's work, of which only
+    the k best of each query leave it, and these compete once more. Ties by id; null vectors and those of no length
+    are near nothing.
     """
-    if queries.count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries at once")
-    rows = vectors if where is None else vectors.filter(where)
-    pairs = rows.join(F.broadcast(queries), F.lit(True)).withColumn("similarity", F.round(cosine("v", "q"), 6)).filter(F.col("similarity").isNotNull())
-    part = pairs.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    best = top_n(part.select("query_id", "vec_id", "similarity", "_part"), ["query_id", "_part"], [F.desc("similarity"), F.asc("vec_id")], k)
-    return top_n(best, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k, rank="rank").select("query_id", "vec_id", "similarity", "rank")
+    rows = (vectors if where is None else vectors.filter(where)).select("vec_id", F.col("v").cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).filter("q IS NOT NULL")
+    parts, blocks = (max(1, -(-df.count() // most)) for df, most in ((rows, VECTORS), (asked, QUERIES)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def best(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        size, wide = v["v"].map(len), q["q"].map(len)
+        for n in set(size) & set(wide):
+            some, ask = v[size == n], q[wide == n]
+            x, y = np.stack(some["v"].to_numpy()), np.stack(ask["q"].to_numpy())
+            with np.errstate(divide="ignore", invalid="ignore"):
+                found = np.round((y @ x.T) / np.linalg.norm(y, axis=1)[:, None] / np.linalg.norm(x, axis=1), 6)
+            ids = some["vec_id"].to_numpy()
+            for query, row in zip(ask["query_id"], found):
+                at = np.flatnonzero(~np.isnan(row))
+                at = at[np.lexsort((ids[at], -row[at]))][:k]
+                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at], "similarity": row[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((rows, "vec_id"), (asked, "query_id"))}
+    near = rows.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInPandas(best, f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, similarity double")
+    return top_n(near, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k, rank="rank").select("query_id", "vec_id", "similarity", "rank")
 
 
 def vendor_text(rows: DataFrame) -> DataFrame:
@@ -42,6 +67,11 @@ def embed(texts: DataFrame, size: int = 256) -> DataFrame:
 
 
 def pack_context(ranked: DataFrame, budget: int) -> DataFrame:
-    """Of each query's ranked texts (query_id, rank, text) those before the first that takes a quarter of a token a sign over the budget."""
-    cost = F.sum(F.length("text") * 0.25).over(Window.partitionBy("query_id").orderBy("rank"))
-    return ranked.withColumn("cost", cost).filter(F.col("cost") <= budget)
+    """Of each query's ranked texts (query_id, rank, text) those before the first that takes a quarter of a token a sign over the budget.
+
+    Running sums are of lengths alone; the texts join the chosen ones afterwards.
+    """
+    sizes = ranked.select("query_id", "rank", F.length("text").alias("_n"))
+    cost = F.sum(F.col("_n") * 0.25).over(Window.partitionBy("query_id").orderBy("rank"))
+    kept = sizes.withColumn("cost", cost).filter(F.col("cost") <= budget).select(F.col("query_id").alias("_query"), F.col("rank").alias("_rank"), "cost")
+    return ranked.join(kept, F.col("query_id").eqNullSafe(F.col("_query")) & (F.col("rank") == F.col("_rank"))).drop("_query", "_rank")

@@ -140,7 +140,7 @@ def article_vendor_match(spark, d):
     word = F.lower(F.regexp_extract("text", "[A-Za-z]{6,}", 0))
     keys = docs.select(word.alias("key"), (F.col("doc_id") % 50).alias("vendor_id")).filter(F.length("key") >= 6).distinct()
     articles = docs.select(F.col("doc_id").alias("article_id"), F.col("text").alias("title"), F.lit(None).cast("string").alias("description"))
-    return N.match_articles(articles, keys, 1)
+    return N.match_articles(articles, keys)
 
 
 # --- keyed operators

@@ -22,7 +22,7 @@ def name_normalise(spark, d):
 
 
 LEFT = "l AS (SELECT s_suppkey AS id, lower(s_name) || ' ' || lower(n_name) AS norm FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
-RIGHT = "r AS (SELECT s_suppkey AS id, lower(replace(s_name, '00000', '0')) || ' ' || lower(n_name) AS norm FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 <> 0)"
+RIGHT = "r AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'trader-' || s_suppkey ELSE lower(replace(s_name, '00000', '0')) || ' ' || lower(n_name) END AS norm FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
 SCORED = """toks AS (SELECT l.id AS left_id, r.id AS right_id, l.norm AS ln, r.norm AS rn, list_distinct(string_split(l.norm, ' ')) AS a, list_distinct(string_split(r.norm, ' ')) AS b FROM l, r WHERE list_has_any(string_split(l.norm, ' '), string_split(r.norm, ' '))),
   parts AS (SELECT *, len(list_intersect(a, b)) AS i, len(list_distinct(a || b)) AS u FROM toks),
   scored AS (SELECT left_id, right_id, round(CASE WHEN ln = rn THEN 100.0::DOUBLE ELSE 0.6::DOUBLE * least(100, (i / u + CASE WHEN i = len(a) OR i = len(b) THEN 0.2 ELSE 0 END::DOUBLE) * 100) + 0.4::DOUBLE * ((1 - levenshtein(ln, rn) / greatest(length(ln), length(rn))) * 100) END, 2) AS score FROM parts),
@@ -32,7 +32,8 @@ SCORED = """toks AS (SELECT l.id AS left_id, r.id AS right_id, l.norm AS ln, r.n
 def _names(spark, d):
     rows = C.read(spark, d, "supplier").join(F.broadcast(C.read(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     left = rows.select(F.col("s_suppkey").alias("id"), F.concat_ws(" ", "s_name", "n_name").alias("name"))
-    right = rows.filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("id"), F.concat_ws(" ", F.replace("s_name", F.lit("00000"), F.lit("0")), F.col("n_name")).alias("name"))
+    other = F.concat(F.lit("Trader-"), F.col("s_suppkey"))
+    right = rows.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 0, other).otherwise(F.concat_ws(" ", F.replace("s_name", F.lit("00000"), F.lit("0")), F.col("n_name"))).alias("name"))
     return left, right
 
 
@@ -48,15 +49,30 @@ def match_summary(spark, d):
     return M.match_summary(left, right, M.fuzzy_match(left, right, 50.0))
 
 
+VARIANTS = """nm AS (SELECT p_partkey AS id, p_brand || ' ' || p_name || ' ' || p_size AS norm FROM part UNION ALL SELECT p_partkey + 1000000000, replace(p_brand || ' ' || p_name || ' ' || p_size, 'e', '') FROM part),
+  names AS (SELECT id, lower(norm) AS norm FROM nm)"""
+
+
+def _variants(spark, d):
+    """Names of products by brand, name and size, and each once more with letters lost, under ids of their own."""
+    name = F.concat_ws(" ", "p_brand", "p_name", F.col("p_size").cast("string"))
+    rows = C.read(spark, d, "part")
+    return rows.select(F.col("p_partkey").alias("id"), name.alias("name")).union(rows.select((F.col("p_partkey") + 1_000_000_000).alias("id"), F.replace(name, F.lit("e"), F.lit("")).alias("name")))
+
+
+@query(sql(VARIANTS, "forms AS (SELECT norm, min(id) AS id FROM names GROUP BY 1)",
+           "pairs AS (SELECT x.id AS a, y.id AS b, round((1 - levenshtein(x.norm, y.norm) / greatest(length(x.norm), length(y.norm))::DOUBLE) * 100, 2) AS similarity FROM forms x JOIN forms y ON x.id < y.id AND abs(length(x.norm) - length(y.norm)) <= 0.15 * greatest(length(x.norm), length(y.norm)))",
+           select="SELECT a, b, similarity FROM pairs WHERE similarity >= 85 UNION ALL SELECT f.id, n.id, 100 FROM names n JOIN forms f USING (norm) WHERE n.id <> f.id"))
+def duplicate_names(spark, d):
+    """Pairs of like names among all."""
+    return M.duplicate_pairs(_variants(spark, d))
+
+
 @query()
 def consolidate_duplicates(spark, d):
-    """Groups of variants of names, each under its least id; every supplier has a variant made with a suffix."""
-    rows = C.read(spark, d, "supplier")
-    names = rows.select(F.col("s_suppkey").alias("id"), F.concat(F.col("s_name"), F.lit(" works")).alias("name")).union(
-        rows.select((F.col("s_suppkey") + 1_000_000_000).alias("id"), F.concat(F.col("s_name"), F.lit(" work GmbH")).alias("name")))
-    own = names.withColumn("word", F.split("name", " ")[0])
-    pairs = own.alias("x").join(own.alias("y"), F.col("x.word") == F.col("y.word")).filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    return M.groups(pairs, names, checkpoint=lambda df: df.persist())
+    """Groups of like names, each under its least id."""
+    names = _variants(spark, d)
+    return M.groups(M.duplicate_pairs(names), names)
 
 
 ZSQL = ", ".join(f"abs((coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM risk)) - a_{c}) / nullif(s_{c}, 0)) AS z_{c}" for c in A.ANOMALY_FEATURES)
@@ -97,15 +113,15 @@ def anomaly_report(spark, d):
 def isolation_forest(spark, d):
     """M13."""
     rows = C.read(spark, d, "orders").select(F.col("o_orderkey").alias("vendor_id"), "o_totalprice", F.month("o_orderdate").alias("m"))
-    return A.isolation_forest(rows, ["o_totalprice", "m"], trees=50)
+    return A.isolation_forest(rows, ["o_totalprice", "m"])
 
 
 ALT = [c for c in A.SIMILARITY_FEATURES]
 ALT_SQL = ("st AS (SELECT " + ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in ALT) + " FROM risk)",
            "z AS (SELECT risk.*, [" + ", ".join(f"CASE WHEN s_{c} > 1e-12 THEN ({c} - a_{c}) / s_{c} ELSE 0 END" for c in ALT) + "]::DOUBLE[] AS v FROM risk, st)",
            """p AS (SELECT s.vendor_id, a.vendor_id AS alt_vendor_id, round(list_cosine_similarity(s.v, a.v), 6) AS similarity, a.composite_risk_score < s.composite_risk_score AS lower, a.country_code <> s.country_code AS abroad
-      FROM z s JOIN z a ON s.industry_category = a.industry_category AND s.vendor_id <> a.vendor_id WHERE s.composite_risk_score >= 0.25)""",
-           "q AS (SELECT *, round(similarity * 1.2::DOUBLE * CASE WHEN abroad THEN 1.1 ELSE 1 END::DOUBLE * CASE WHEN lower THEN 1.15 ELSE 1 END::DOUBLE, 6) AS adjusted FROM p)",
+      , s.industry_category = a.industry_category AS alike FROM z s JOIN z a ON s.vendor_id <> a.vendor_id WHERE s.composite_risk_score >= 0.25)""",
+           "q AS (SELECT *, round(similarity * CASE WHEN alike THEN 1.2 ELSE 0.8 END::DOUBLE * CASE WHEN abroad THEN 1.1 ELSE 1 END::DOUBLE * CASE WHEN lower THEN 1.15 ELSE 1 END::DOUBLE, 6) AS adjusted FROM p)",
            "t AS (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY adjusted DESC, alt_vendor_id) AS alternative_rank FROM q WHERE adjusted > 0)")
 
 
@@ -122,14 +138,14 @@ def best_alternative(spark, d):
     return A.alternatives(matrix(spark, d), ALT, n=1).select("vendor_id", "alt_vendor_id")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 20),
-p AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS similarity FROM embeddings, q WHERE label < 5)
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+p AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS similarity FROM embeddings, q)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 10""")
 def vector_topk(spark, d):
-    """The ten nearest of the labelled vectors to each of twenty query vectors; ten and twenty are the feature."""
+    """The ten nearest of all vectors to each query vector, which are those of ids divisible by 100."""
     e = C.read(spark, d, "embeddings")
-    queries = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    out = V.top_k(e.select("vec_id", F.col("embedding").alias("v"), "label"), queries, 10, F.col("label") < 5)
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    out = V.top_k(e.select("vec_id", F.col("embedding").alias("v")), queries, 10)
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -140,7 +156,9 @@ def context_pack(spark, d):
     from pyspark.sql.window import Window
 
     docs = C.read(spark, d, "documents").select(F.col("source").alias("query_id"), "doc_id", "text")
-    return V.pack_context(docs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))), 3000).select("query_id", "doc_id", "cost")
+    ranks = docs.select(F.col("doc_id").alias("_id"), F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).alias("rank"))  # ids alone
+    ranked = docs.join(ranks, F.col("doc_id") == F.col("_id")).drop("_id")
+    return V.pack_context(ranked, 3000).select("query_id", "doc_id", "cost")
 
 
 @query()

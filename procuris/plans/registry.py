@@ -18,4 +18,4 @@ def query(text: str | None = None):
     return register
 
 
-from procuris.plans import delivery, features, feeds, matching, models, reports, spend  # noqa: E402, F401  they register themselves
+from procuris.plans import delivery, extracts, features, feeds, matching, models, reports, spend  # noqa: E402, F401  they register themselves

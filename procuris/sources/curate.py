@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procuris.functions import params as P
-from procuris.functions.columns import binned, country_tier, mapped, money, normal_id, total, year_quarter
+from procuris.functions.columns import binned, country_tier, decoded, money, normal_id, total, year_quarter
 from procuris.operators.relational import keep_first
 
 AS_OF = "2001-08-02"
@@ -28,11 +28,10 @@ def usable(c: str | Column) -> Column:
 def build_vendors(lfa1: DataFrame, industries: dict[str, tuple[str, str]]) -> DataFrame:
     """Vendors not marked deleted and with a name of two signs or more, one for each id (the first by name)."""
     rows = lfa1.filter(F.coalesce(F.trim("LOEVM"), F.lit("")) != "X")
-    code = F.trim("BRSCH")
+    code, known = F.trim("BRSCH"), decoded("BRSCH", industries)
     rows = rows.select(
         normal_id("LIFNR").alias("vendor_id"), F.trim("NAME1").alias("supplier_name"), F.upper(F.trim("LAND1")).alias("country_code"),
-        F.trim("ORT01").alias("city"), code.alias("industry_code"), mapped(code, {k: v[0] for k, v in industries.items()}, "Other").alias("industry"),
-        mapped(code, {k: v[1] for k, v in industries.items()}, "Other").alias("industry_category"), country_tier("LAND1").alias("geo_risk"))
+        F.trim("ORT01").alias("city"), code.alias("industry_code"), known["label"].alias("industry"), known["category"].alias("industry_category"), country_tier("LAND1").alias("geo_risk"))
     rows = rows.filter(usable("vendor_id") & usable("supplier_name") & (F.length("supplier_name") > 1))
     return keep_first(rows, ["vendor_id"], [F.asc("supplier_name"), F.asc_nulls_last("city")])
 

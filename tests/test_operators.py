@@ -126,7 +126,7 @@ def test_matching(spark):
     assert values(got, "left_id", "right_id", "confidence") == [(1, 10, "Exact")]
     assert values(matching.unmatched(left, got), "id") == [(2,)]
     names = spark.createDataFrame([(1, "acme metal works"), (2, "acme metal work"), (3, "acme metl work"), (4, "other")], "id long, name string")
-    groups = matching.groups(matching.duplicate_pairs(names, 90.0), names, checkpoint=lambda df: df.persist())
+    groups = matching.groups(matching.duplicate_pairs(names, 90.0), names)
     assert values(groups, "id", "master") == [(1, 1), (2, 1), (3, 1), (4, 4)]
 
 
