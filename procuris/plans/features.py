@@ -145,9 +145,9 @@ FORECAST = (NEWS, *[x for x in FEATURES if x != NEWS], """yearly AS (SELECT vend
             "forecasts AS (SELECT *, CASE WHEN disruption_prob_30d <= 0.2::DOUBLE THEN 'Low' WHEN disruption_prob_30d <= 0.5::DOUBLE THEN 'Medium' ELSE 'High' END AS forecast_risk_30d, CAST(disruption_prob_30d >= 0.5 AS INT) AS early_warning_flag FROM forecast)")
 
 
-def forecasts(spark, d):
+def forecasts(spark, d, rows=None):
     yearly = C.news(spark, d).groupBy("vendor_id").agg((F.count_if("disruption_flag") / 12).alias("disruption_frequency"))
-    rows = matrix(spark, d).select("vendor_id", "composite_risk_score").join(yearly, "vendor_id", "left")
+    rows = (rows or matrix(spark, d)).select("vendor_id", "composite_risk_score").join(yearly, "vendor_id", "left")
     return X.disruption_forecast(rows).drop("composite_risk_score", "disruption_frequency")
 
 

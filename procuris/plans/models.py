@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from procuris.operators import models as M
 from procuris.plans.features import matrix
 from procuris.plans.registry import query
 from procuris.sources import curate as C
+from procuris.sources.shared import at_exit, shared_dir
 from procuris.streaming import feeds
 
 LINES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -95,8 +95,9 @@ def local_surrogate(spark, d):
 # --- streams
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="procuris-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/procuris/stream-{uuid.uuid4().hex}"
+    at_exit(spark, path)
+    return path
 
 
 def _feed(spark, d):
@@ -120,6 +121,13 @@ def stream_rolling_signals(spark, d):
     return feeds.drained(feeds.rolling_signals(_feed(spark, d)), _folder(spark), "complete").withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
 
 
+@query(f"WITH {EVENTS}, w AS (SELECT *, date_trunc('day', ts) + INTERVAL (k) DAY AS window_end FROM f, range(1, 31) t(k)), s AS (SELECT window_end, vendor_id, count(*) AS articles, count(CASE WHEN disruption_flag THEN 1 END) AS disruptions FROM w GROUP BY 1, 2) SELECT CAST(max(window_end) AS TIMESTAMP) AS window_end, vendor_id, max_by(disruptions, window_end) AS disruptions FROM s WHERE disruptions >= 2 GROUP BY vendor_id")
+def stream_alerts(spark, d):
+    """E5: of each vendor the latest window with two disruptions or more, upserted batch by batch."""
+    rows = feeds.kept(feeds.alerts(feeds.rolling_signals(_feed(spark, d)), 2), _folder(spark), ["vendor_id"], ["window_end", "disruptions"])
+    return rows.select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "vendor_id", "disruptions")
+
+
 @query(f"WITH {EVENTS} SELECT DISTINCT vendor_id, url FROM f")
 def stream_dedup(spark, d):
     """E1."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procuris.operators.relational import upsert
+from procuris.operators.relational import latest_per_key
 
 
 def as_stream(spark: SparkSession, folder: str, pattern: str, like: DataFrame, per_trigger: int = 1) -> DataFrame:
@@ -42,19 +42,39 @@ def alerts(signals: DataFrame, least: int) -> DataFrame:
     return signals.filter(F.col("disruptions") >= least)
 
 
-def upsert_into(path: str, key: str):
-    """E5: a foreachBatch function that keeps the newest row of each key in a Parquet folder, a new version for every batch."""
+def upsert_into(path: str, keys: list[str], order: list[str]):
+    """E5: a foreachBatch function that keeps the newest row of each key, by `order`, in a Parquet folder: a new version for every batch.
+
+    A batch that runs again after a failure writes its own version anew, from the one before.
+    """
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n - 1}")
-        exists = n > 0 and hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        latest = batch.dropDuplicates([key])
-        (upsert(spark.read.parquet(f"{path}/v{n - 1}"), latest, key) if exists else latest).write.mode("overwrite").parquet(f"{path}/v{n}")
+        before = None
+        for k in range(n - 1, -1, -1):
+            where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{k}")
+            if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+                before = spark.read.schema(batch.schema).parquet(f"{path}/v{k}")
+                break
+        rows = batch if before is None else before.unionByName(batch)
+        latest_per_key(rows, keys, [F.desc_nulls_last(c) for c in order]).write.mode("overwrite").parquet(f"{path}/v{n}")
 
     return write
 
 
+def kept(stream: DataFrame, folder: str, keys: list[str], order: list[str]) -> DataFrame:
+    """E5: run a stream of updates over what there is and read the newest row of each key; folder as in drained."""
+    done: list[int] = []
+    write = upsert_into(f"{folder}/out", keys, order)
+
+    def note(batch: DataFrame, n: int) -> None:
+        write(batch, n)
+        done.append(n)
+
+    stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("update").foreachBatch(note).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out/v{max(done)}") if done else stream.sparkSession.createDataFrame([], stream.schema)
+
+
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over what there is and read its result back; folder is shared by driver and executors."""
     sink = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)

@@ -11,7 +11,7 @@ os.environ["PYTHONPATH"] = ROOT + ":" + os.environ.get("PYTHONPATH", "")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    session = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     session.sparkContext.setLogLevel("OFF")
     yield session

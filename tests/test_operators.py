@@ -1,6 +1,8 @@
 """Small tables with results worked out by hand."""
 
 import datetime as dt
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +165,45 @@ def test_sampled_shapley_adds_up(spark):
     weights = explain.local_surrogate(rows, "vendor_id", ["a", "b"], lambda df: df.withColumn("prediction", 2 * F.col("a") + F.col("b")), samples=50)
     means = {r["feature"]: r["m"] for r in weights.groupBy("feature").agg(F.avg("weight").alias("m")).collect()}
     assert means["a"] > means["b"] > 0
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """Behind the watermark a row no longer counts; in front of it, it does."""
+    from procuris.streaming import feeds
+
+    def rows(*days):
+        return spark.createDataFrame([(f"2024-01-{d:02d} 10:00:00", 1, True, str(d)) for d in days], "t string, vendor_id long, disruption_flag boolean, url string").selectExpr("CAST(t AS timestamp) AS ts", "vendor_id", "disruption_flag", "url")
+
+    for days in ((1, 2), (20, 21), (22,), (3, 20)):  # the third of January comes far too late, the twentieth in time; the mark counts a batch later
+        rows(*days).coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed")
+        time.sleep(1.1)
+    stream = feeds.as_stream(spark, f"{tmp_path}/feed", "*.parquet", rows(1))
+    got = feeds.kept(feeds.daily_counts(stream), f"file://{tmp_path}/out", ["day"], ["disruptions"])
+    assert sorted((r["day"].day, r["disruptions"]) for r in got.collect()) == [(1, 1), (2, 1), (20, 2), (21, 1), (22, 1)]
+
+
+def test_names_of_like_spelling_are_all_found(spark):
+    from itertools import combinations
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abc ") for _ in range(r.randint(4, 26))).strip() or "a" for _ in range(120)]
+    words += [w[:k] + r.choice(["", "x"]) + w[k + 1:] for w in words[:60] for k in [r.randrange(len(w))]]
+    names = spark.createDataFrame(list(enumerate(words)), "id long, name string").repartition(3)
+    got = {(p["a"], p["b"]) for p in matching.duplicate_pairs(names, 80.0).collect()}
+    norm = {i: " ".join(w.split()) for i, w in enumerate(words)}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    first = {}
+    for i, n in norm.items():
+        first.setdefault(n, i)
+    want = {(first[n], i) for i, n in norm.items() if n and first[n] != i}
+    want |= {(min(i, j), max(i, j)) for (a, i), (b, j) in combinations([(n, i) for n, i in first.items() if n], 2) if round((1 - edits(a, b) / max(len(a), len(b))) * 100, 2) >= 80}
+    assert got == want

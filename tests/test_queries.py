@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from procuris.plans import registry
+from procuris.plans import features, matching, models, registry, served
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -27,8 +27,17 @@ def plain(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", ["abc_classification", "concentration_vendor", "maverick_spend", "qoq_trend", "spend_rollup", "delivery_events", "contracts_status", "base_supply_risk", "composite_risk", "news_signals",
-                                  "lexicon_sentiment", "alias_index", "standardize_validate", "fuzzy_match", "vector_topk", "stream_daily", "upsert_vendors"])
+@pytest.fixture(scope="module", autouse=True)
+def one_matrix():
+    """The vendor matrix is made once for all queries here."""
+    made, first = {}, features.matrix
+    with pytest.MonkeyPatch.context() as patch:
+        for module in (features, matching, models, served):
+            patch.setattr(module, "matrix", lambda spark, d: made.setdefault(d, None) or made.update({d: first(spark, d)}) or made[d])
+        yield
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_and_sql_agree(spark, duck, name):
     rows = registry.QUERIES[name](spark, FOLDER)
     names = sorted(rows.columns)
