@@ -92,16 +92,21 @@ def bucketed(docs: DataFrame, id_col: str, rows: int = BUCKET_ROWS) -> tuple[Dat
     def place(lows: Column) -> Column:
         return F.greatest(F.lit(0), F.size(F.filter(lows, lambda c: c <= F.col(id_col))) - 1)
 
+    def literal(values: list[int]) -> str:
+        return "array(" + ", ".join(f"{v}L" if v > -(1 << 63) else "-9223372036854775807L" for v in values) + ")"
+
     one = docs.agg(quantiles(first)).first()[0] or [0]
-    docs = docs.withColumn("_one", place(F.array(*(F.lit(c).cast("long") for c in one))))
-    two = docs.groupBy("_one").agg(F.coalesce(quantiles(second), F.array(F.lit(0).cast("long"))).alias("_lows"))  # a row for each of the first ranges
-    docs = docs.join(F.broadcast(two), "_one").withColumn("_two", place(F.col("_lows")))
-    low = F.get("_lows", F.col("_two"))
-    high = F.coalesce(F.get("_lows", F.col("_two") + 1), low + 1)
+    docs = docs.withColumn("_one", place(F.expr(literal(one))))
+    found = {r["_one"]: r["lows"] for r in docs.groupBy("_one").agg(quantiles(second).alias("lows")).collect()} if n else {}  # a row for each range
+    lows = F.get(F.expr("array(" + ", ".join(literal(found.get(i) or [0]) for i in range(len(one))) + ")"), F.col("_one"))
+    docs = docs.withColumn("_two", place(lows))
+    low = F.get(lows, F.col("_two"))
+    high = F.coalesce(F.get(lows, F.col("_two") + 1), low + 1)
     step = F.floor((F.col(id_col) - low).cast("double") / (high - low).cast("double") * steps)
     step = F.least(F.lit(steps - 1), F.greatest(F.lit(0), F.coalesce(step, F.lit(0))))
     bucket = (F.col("_one").cast("long") * (second + 1) + F.col("_two")) * steps + step
-    return docs.withColumn("bucket", bucket.cast("long")).drop("_one", "_two", "_lows"), parts
+    # never null, by type too: a filter for it would keep the shuffles of texts apart that are one
+    return docs.withColumn("bucket", F.coalesce(bucket.cast("long"), F.lit(0).cast("long"))).drop("_one", "_two"), parts
 
 
 def following_heads(heads: DataFrame) -> DataFrame:
@@ -109,7 +114,7 @@ def following_heads(heads: DataFrame) -> DataFrame:
 
     Windows run over FAN bucket numbers, and over one row for each FAN of them.
     """
-    up = heads.withColumn("_up", F.floor(F.col("bucket") / FAN))
+    up = heads.withColumn("_up", F.coalesce(F.floor(F.col("bucket") / FAN), F.lit(0).cast("long")))
     tops = up.groupBy("_up").agg(F.min_by(F.struct("_first"), "bucket").alias("_top"))
     order = Window.orderBy("_up")
     after = F.coalesce(F.lead("_top").over(order), F.first("_top").over(order))
