@@ -20,6 +20,8 @@ LONGEST = 32
 #: Words of each language in the lexicon, and training steps of so many word sequences.
 LEXICON, STEPS, SEQUENCES, SPAN = 400, 150, 96, 24
 CACHED = 400_000
+#: Words of a single long text whose messages are held at once.
+STRETCH = 1 << 18
 UNKNOWN = "und"
 
 
@@ -143,6 +145,39 @@ def marginals(score: np.ndarray, offsets: np.ndarray, step: np.ndarray, first: n
     return (out[place], forward[place], after[place]) if sides else out[place]
 
 
+def stretch(score: np.ndarray, before: np.ndarray | None, after: np.ndarray, step: np.ndarray, first: np.ndarray):
+    """Marginals of a stretch of one sequence, by the forward message that enters it (None: it begins) and the backward one
+    that comes from behind it; and the messages that leave it on either side."""
+    bloom, t_step = np.exp(score - score.max(1, keepdims=True)), np.exp(step - step.max())
+    forward, out = np.empty_like(bloom), np.empty_like(bloom)
+    now = before
+    for t in range(len(bloom)):
+        now = (np.exp(first - first.max()) if now is None else now @ t_step) * bloom[t]
+        now = forward[t] = now / now.sum()
+    for t in range(len(bloom) - 1, -1, -1):
+        both = forward[t] * after
+        out[t] = both / both.sum()
+        after = t_step @ (after * bloom[t])
+        after /= after.sum()
+    return out, now, after
+
+
+def long_chain(rows: np.ndarray, at: np.ndarray, step: np.ndarray, first: np.ndarray, size: int):
+    """Yields the marginals of one sequence (forms `at` of rows), a stretch of `size` words at a time, from the last to the first.
+
+    The forward messages between stretches are kept from a pass of their own, so that only one stretch is in memory.
+    """
+    begins = range(0, len(at), size)
+    heads, now = [], None
+    for s in begins:
+        heads.append(now)
+        now = stretch(rows[at[s:s + size]].astype(np.float64), now, np.ones(rows.shape[1]), step, first)[1]
+    after = np.ones(rows.shape[1])
+    for s, before in zip(reversed(begins), reversed(heads)):
+        p, _, after = stretch(rows[at[s:s + size]].astype(np.float64), before, after, step, first)
+        yield p
+
+
 def forms_of(vocabulary: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Of each distinct word its forms (pieces of LONGEST letters), as (forms, first form, number); 0 where no letter is."""
     forms, first, number = [], np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
@@ -313,14 +348,22 @@ def label(docs: DataFrame, model: Field, text_col: str = "text", by_word: bool =
                     used += len(forms)
                     own = np.fromiter(map(known.__getitem__, vocabulary), np.int64, len(vocabulary))
                     at, ends = spread(index, offsets, own >> 24, own & ((1 << 24) - 1))
-                    p = marginals(rows[at].astype(np.float64), ends, field.step, field.first)
                     size = np.diff(ends)
                     full = np.flatnonzero(size)
-                    mass = np.add.reduceat(p, ends[:-1][full], axis=0) if len(full) else np.zeros((0, k))
+                    if n == 1 and len(at) > STRETCH:
+                        mass, tagged = np.zeros((1, k)), []
+                        for p in long_chain(rows, at, field.step, field.first, STRETCH):
+                            mass += p.sum(0)
+                            tagged.append(p.argmax(1).astype(np.int16))
+                        tagged = np.concatenate(tagged[::-1])
+                    else:
+                        p = marginals(rows[at].astype(np.float64), ends, field.step, field.first)
+                        mass = np.add.reduceat(p, ends[:-1][full], axis=0) if len(full) else np.zeros((0, k))
+                        tagged = p.argmax(1) if by_word else None
                     best[full] = mass.argmax(1)
                     score[full] = np.clip(mass.max(1) / size[full], 0, 1)
                     if by_word:
-                        likely = choice[p.argmax(1)]
+                        likely = choice[tagged]
                         tags = [likely[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
                 more = [pa.array(choice[best].tolist(), pa.string()), pa.array(score)]
                 more += [pa.array(tags, pa.list_(pa.string()))] * by_word

@@ -364,14 +364,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null text stays null. Rows with one id lose the same places.
     """
     names = docs.columns
-    gone = repeated_lines(docs, id_col, text_col, tau, least).groupBy(id_col).agg(F.collect_set("at").alias("_gone"))
-    joined = docs.join(gone, id_col, "left").select(*names, "_gone")
+    lost_col = "_gone" + "_" * max(map(len, names))  # no column of docs
+    gone = repeated_lines(docs, id_col, text_col, tau, least).groupBy(id_col).agg(F.collect_set("at").alias(lost_col))
+    joined = docs.join(gone, id_col, "left").select(*names, lost_col)
     place = names.index(text_col)
 
     def cut(batches):
         for batch in batches:
             out = []
-            for text, lost in zip(batch.column(text_col).to_pylist(), batch.column("_gone").to_pylist()):
+            for text, lost in zip(batch.column(text_col).to_pylist(), batch.column(lost_col).to_pylist()):
                 if text and lost:
                     lost = set(lost)
                     text = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in lost)

@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, total_share: float = 1.0, epochs: int = EPO
 
 
 def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with size: the number of words of the whole text, 0 for a null one."""
+    """docs with size: the number of words of the whole text, 0 for a null one. A column size is replaced."""
     return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
 
 
@@ -58,13 +58,13 @@ def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id",
     -ln(u) / quality (Efraimidis and Spirakis 2006: an exponential of rate quality), and documents go by rising key as
     long as their sizes' sum stays within the rest, the one that crosses it only if that comes nearer. u comes from the
     id, so that reruns agree. Quality has to be positive; null counts as 1. Ties go by id, then size. Rows without an
-    id have no key and go behind all others of their source, by size.
+    id have no key and go behind all others of their source, by size. Columns of docs named as the new ones are replaced.
 
     A large source's sums run in parts: keys are cut into ranges, each range's sum is taken first and then added to
     the running sums of the later ones. Sizes of 0 are taken with the whole source only. An empty table gives no rows.
     """
     rate = F.coalesce(quality, F.lit(1.0)) if quality is not None else F.lit(1.0)
-    rows = docs.withColumn("_key", -F.log(uniform(id_col)) / rate)
+    rows = docs.drop("source_size", "target", "times", "taken", "n").withColumn("_key", -F.log(uniform(id_col)) / rate)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(sizes, epochs=epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")

@@ -299,8 +299,9 @@ def pack(items: DataFrame, order: list[str], length_col: str = "length", capacit
 
     items: rows with a length from 1 to the capacity; it should be cheap to read twice (a saved table). Only the
     histogram comes to the driver and only configurations over it go out, both of a size that the capacity bounds.
-    Rows of equal `order` values are alike and may change places.
+    Rows of equal `order` values are alike and may change places. Columns sequence_id and offset of items are replaced.
     """
+    items = items.drop("sequence_id", "offset")
     rows = items.withColumn("_class", F.col(length_col).cast("int"))
     count = {r["_class"]: r["count"] for r in rows.groupBy("_class").count().collect()}
     if not count:

@@ -131,9 +131,12 @@ def test_packing_stage(spark, docs):
     assert len(by) == -(-sum(n for rows in by.values() for _, n in rows) // 4096)  # no packing needs fewer
 
 
-def test_language_scores(spark, docs):
+@pytest.mark.parametrize("size", [1 << 18, 50])
+def test_language_scores(spark, docs, size, monkeypatch):
     model = langid.fit(docs)
     k = len(model.langs)
+    monkeypatch.setattr(langid, "STRETCH", size)
+    monkeypatch.setattr(common, "SLICE_BYTES", common.SLICE_BYTES if size > 50 else 1)
     for r in langid.label(docs, model).collect():
         index, offsets, vocabulary = common.words(pa.array([r["text"]], pa.string()))
         forms, first, number = langid.forms_of(vocabulary)

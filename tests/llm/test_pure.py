@@ -112,6 +112,16 @@ def test_forward_backward():
         assert np.allclose(want / z, got[begin:end])
 
 
+def test_long_chain_is_the_whole_one():
+    r = np.random.default_rng(6)
+    rows, step, first = r.normal(size=(20, 3)).astype(np.float32), r.normal(size=(3, 3)), r.normal(size=3)
+    at = r.integers(0, 20, 101)
+    want = langid.marginals(rows[at].astype(np.float64), np.array([0, 101]), step, first)
+    for size in (1, 7, 101, 500):
+        got = np.concatenate(list(langid.long_chain(rows, at, step, first, size))[::-1])
+        assert np.allclose(got, want)
+
+
 def test_language_model_learns_two_alphabets():
     r = random.Random(1)
     texts = [" ".join("".join(r.choice(abc) for _ in range(5)) for _ in range(30)) for abc in ("abcd", "wxyz") for _ in range(20)]

@@ -259,6 +259,22 @@ def test_packing(docs, rows, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_clashing_columns(spark, docs, rows):
+    clash = docs.withColumns({c: F.lit("?") for c in ("size", "target", "times", "taken", "source_size", "n", "sequence_id", "offset", "length", "_gone", "at", "class", "piece", "fp", "component_id", "root", "bucket", "no", "sha1")})
+    count = len(rows)
+    mixed = mixing.mix(mixing.sized(clash)).collect()
+    assert len(mixed) == count and all(r["taken"] == r["times"] * r["size"] and r["_gone"] == "?" for r in mixed)
+    cut = linededup.without_repeats(clash)
+    assert cut.columns == clash.columns and cut.count() == count
+    assert simhash.keep_one(clash).columns == clash.columns
+    assert simhash.near_duplicates(clash).count() == omh.fingerprint_documents(clash).count() == count
+    packed = packing.pack_documents(clash).collect()
+    assert {r["doc_id"] for r in packed} == {i for i, *_ in rows}
+    items = spark.createDataFrame([(1, 5, "?", "?"), (2, 7, "?", "?")], "doc_id long, length long, sequence_id string, offset string")
+    assert sorted(r["offset"] for r in packing.pack(items, ["doc_id"]).collect()) in ([0, 5], [0, 7])
+    assert mixing.mixed_documents(clash, spark.createDataFrame([], "doc_id long, quality int, toxic int")).columns == clash.columns
+
+
 def test_rotation(spark):
     turns = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (2, 0, "system", "alone"), (3, 0, None, "?"), (3, 1, "cy", "!")]
     df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, speaker string")
