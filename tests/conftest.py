@@ -11,8 +11,9 @@ os.environ["PYTHONPATH"] = ROOT + ":" + os.environ.get("PYTHONPATH", "")
 
 @pytest.fixture(scope="session")
 def spark():
+    # few rows: plans are interpreted, as to compile them takes longer than to run them
     session = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-               .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+               .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
