@@ -207,3 +207,20 @@ def test_names_of_like_spelling_are_all_found(spark):
     want = {(first[n], i) for i, n in norm.items() if n and first[n] != i}
     want |= {(min(i, j), max(i, j)) for (a, i), (b, j) in combinations([(n, i) for n, i in first.items() if n], 2) if round((1 - edits(a, b) / max(len(a), len(b))) * 100, 2) >= 80}
     assert got == want
+
+
+def test_groups_are_components(spark):
+    r = random.Random(9)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(n, n + 1) for n in range(400, 440)]
+    root = {i: i for i in range(500)}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    got = matching.groups(spark.createDataFrame(pairs, "a long, b long"), spark.range(500)).collect()
+    assert {g["id"]: g["master"] for g in got} == {i: top(i) for i in root}
