@@ -19,6 +19,8 @@ HOT = 4096
 #: Bits of the filter that spares lines without a candidate the shuffle of texts.
 FILTER_BITS = 1 << 26
 PRIME = 0x9E3779B97F4A7C15
+#: Bits of a sign: the line looks here for others; others find it here.
+PROBES, INDEXED = 1, 1 << 29
 #: Cells of padded code points that one verification step holds; pairs of longer lines lose what they begin and end with alike.
 STEP_CELLS, LONG = 2 << 20, 1000
 #: Line hashes that a task remembers, so that it hands on the segments of a line that recurs once.
@@ -47,11 +49,11 @@ def segments(length: np.ndarray, parts: int) -> tuple[list[np.ndarray], list[np.
 
 
 def segment_rows(lines: list[str], tau: int, least: int):
-    """(key, line, sign) of distinct lines: index keys (even sign) of a line's own tau + 1 segments, and probe keys (odd).
+    """(key, line, sign) of distinct lines: index keys (sign has INDEXED) of a line's own tau + 1 segments, and probe keys (sign has PROBES).
 
     A probe key stands for a substring that a line shorter by 0 to tau may have as its segment: those starts only that
-    leave enough edits on both sides (multi-match-aware selection, Li et al. 2011). sign holds counts of code points
-    in 7 classes, modulo 16, above its lowest bit.
+    leave enough edits on both sides (multi-match-aware selection, Li et al. 2011). A line's own segments are index and
+    probe keys at once. sign also holds counts of code points in 7 classes, modulo 16, above its lowest bit.
     """
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -69,10 +71,6 @@ def segment_rows(lines: list[str], tau: int, least: int):
         h = mixed((total[at + length] - total[at]) * inverse[start])
         return mixed(h + whole.astype(np.uint64) * np.uint64(2 * tau + 3) + np.uint64(part)).view(np.int64)
 
-    every = np.arange(len(lines))
-    starts, sizes = segments(size, tau + 1)
-    for i in range(tau + 1):
-        yield key(every, starts[i], sizes[i], size, i), every, sign
     for less in range(tau + 1):
         rows = np.flatnonzero(size - less >= least)
         whole = size[rows] - less
@@ -81,16 +79,16 @@ def segment_rows(lines: list[str], tau: int, least: int):
             for move in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
                 start = starts[i] + move
                 fits = (start >= 0) & (start + sizes[i] <= size[rows])
-                yield key(rows[fits], start[fits], sizes[i][fits], whole[fits], i), rows[fits], sign[rows[fits]] | 1
+                yield key(rows[fits], start[fits], sizes[i][fits], whole[fits], i), rows[fits], sign[rows[fits]] | (PROBES if less or move else PROBES | INDEXED)
 
 
 def alike(a: np.ndarray, b: np.ndarray, tau: int) -> np.ndarray:
-    """False where the class counts of two signs differ by more than tau edits can make; and for two of one side."""
+    """False where the class counts of two signs differ by more than tau edits can make; and where neither probes the other's index key."""
     apart = np.zeros(len(a), np.int32)
     for n in range(7):
         d = ((a >> (4 * n + 1)) - (b >> (4 * n + 1))) & 15
         apart += np.minimum(d, 16 - d)
-    return (apart <= 2 * tau) & ((a ^ b) & 1 == 1)
+    return (apart <= 2 * tau) & (((a & b >> 29) | (b & a >> 29)) & PROBES == PROBES)
 
 
 def edits_within(a: list[str], b: list[str], tau: int) -> np.ndarray:
@@ -308,10 +306,10 @@ def near_lines(docs: DataFrame, text_col: str = "text", tau: int = TAU, least: i
 
     texts = docs.select(text_col)
     keyed = texts.mapInArrow(index, "key long, line long, sign int")
-    found = saved(candidate_sets(keyed.repartition("key").sortWithinPartitions("key", "line", "sign"), ["key"], tau, HOT))
+    found = saved(candidate_sets(keyed.repartition("key").sortWithinPartitions("key"), ["key"], tau, HOT))
     # segments of very many lines: their rows are parted anew into pairs of blocks
     hot = found.filter("sign is not null").select(F.col("gid").alias("key"), "line", "sign").distinct()
-    hot = blocked_pairs(hot, "key", F.col("line"), HOT // 2).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "line")
+    hot = blocked_pairs(hot, "key", F.col("line"), HOT // 2).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     sets = found.filter("sign is null").select("gid", "line").union(candidate_sets(hot, ["key", "bi", "bj"], tau, None).select("gid", "line"))
     sets = saved(sets.distinct())
 
