@@ -24,6 +24,37 @@ def crc32_of_id(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string"))
 
 
+def free(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has (names differ by more than their case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def told_apart(docs: DataFrame, id_col: str, text_col: str, key: str, copy: str) -> tuple[DataFrame, list[str]]:
+    """docs and the columns that name its rows: the id where no id repeats, else also key, a hash of the text, and copy.
+
+    copy is 0 for one row of those alike in id and text, and 1 for all others of them; only such rows are numbered, by
+    a saved table of them. A null id counts as an id.
+    """
+    if docs.groupBy(id_col).count().filter("count > 1").isEmpty():
+        return docs, [id_col]
+    hashed = docs.withColumn(key, F.xxhash64(F.coalesce(text_col, F.lit("")), F.col(text_col).isNull()))
+    twice = saved(hashed.groupBy(F.col(id_col).alias("i"), F.col(key).alias("k")).count().filter("count > 1").drop("count"))
+    same = hashed[id_col].eqNullSafe(twice["i"]) & (hashed[key] == twice["k"])
+    (number,) = free(hashed, "number")
+    some = saved(hashed.join(twice, same, "left_semi").withColumn(number, F.monotonically_increasing_id()))
+    first = some.groupBy(F.col(id_col).alias("i"), F.col(key).alias("k")).agg(F.min(number).alias("f"))
+    some = some.join(first, some[id_col].eqNullSafe(first["i"]) & (some[key] == first["k"])).withColumn(copy, (F.col(number) != F.col("f")).cast("int"))
+    names = [*hashed.columns, copy]
+    return hashed.join(twice, same, "left_anti").withColumn(copy, F.lit(0)).select(names).union(some.select(names)), [id_col, key, copy]
+
+
 def slices(batch: pa.RecordBatch, column: str):
     """Parts of a batch whose texts hold about SLICE_BYTES; a single long document stays whole."""
     texts = batch.column(column)

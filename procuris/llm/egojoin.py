@@ -181,21 +181,22 @@ def near_duplicates(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     """(id, n_links, component_id, kept) for every row: links are pairs of cosine >= least, in double precision.
 
     Rows of equal vectors are compared once and count each. Null vectors, zero ones and those with a null or
-    non-finite component link with nothing; vectors of different lengths never link. An empty table gives no rows.
+    non-finite component link with nothing; vectors of different lengths never link. Rows without an id link and count
+    like others and are never kept; where no row of a component has an id, component_id is null. Rows of one id have a row each. An empty table gives no rows.
     """
     plain = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = plain.filter(usable(F.col("v")))
-    groups = saved(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
+    groups = saved(good.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("weight")).withColumn("rep", F.monotonically_increasing_id()))
     found = saved(cosine_links(groups.select("rep", "weight", "v"), least))
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    state = groups.select("rep", "weight", F.col("v").alias("_v")).join(degree, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    state = state.select("_v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("root", "rep").alias("c"))
+    state = groups.join(degree, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+    state = state.select("least", F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("root", "rep").alias("r"))
+    state = state.join(state.groupBy("r").agg(F.min("least").alias("c")), "r")
     out = good.join(state, F.col("v") == F.col("_v")).select("id", "n", "c")
-    alone = plain.filter(~usable(F.col("v"))).select("id", F.lit(0).alias("n"), F.lit(None).cast("long").alias("c"))  # no join: they may be many
-    out = out.union(alone)
-    component = F.coalesce("c", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    alone = plain.filter(~usable(F.col("v"))).select("id", F.lit(0).alias("n"), F.col("id").alias("c"))  # no join: they may be many
+    out, component = out.union(alone), F.col("c")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

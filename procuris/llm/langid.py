@@ -280,16 +280,18 @@ def fit_texts(texts: list[str], langs: list[str]) -> Field:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Field:
-    """The chain learned from rows with a language; of each about `sample` at most are used, chosen by a hash of the id.
+    """The chain learned from rows with a language; of each about `sample` at most are used, chosen by a hash of id and text.
 
     The sample goes through one task, and the weights (a fixed number for each language) come back. Null languages
     and texts are left out; no language at all gives a model that knows none.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = rows.groupBy(lang_col).agg(F.count("*").alias("_n"))
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.withColumn("_u", chance).join(F.broadcast(sizes), lang_col).filter(F.col("_u") < sample / F.col("_n"))
-    chosen = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("_o"))
+    own = F.xxhash64(F.col(id_col), F.col(text_col), F.lit("langid"))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), own.alias("_o"))
+    sizes = sizes.withColumnRenamed(lang_col, "lang")
+    chosen = rows.join(F.broadcast(sizes), "lang").filter(F.pmod("_o", F.lit(1 << 20)) / float(1 << 20) < sample / F.col("_n"))
+    chosen = chosen.select("lang", "text", "_o").dropDuplicates(["_o", "lang"])  # a row that is repeated without end is learned once
     one = chosen.repartition(1).sortWithinPartitions("_o", "lang", "text")
 
     def train(batches):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procuris.llm.common import blocked_pairs, components, local_components, runs, saved, slices, table
+from procuris.llm.common import blocked_pairs, components, free, local_components, runs, saved, slices, table, told_apart
 
 #: Lines link at so many edits or fewer; only lines of LEAST code points on are compared so, shorter ones by equality.
 TAU, LEAST = 2, 20
@@ -335,36 +335,60 @@ def near_lines(docs: DataFrame, text_col: str = "text", tau: int = TAU, least: i
     return components(verified_links(groups, tau))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
-    """(id, at, class): places of lines that an earlier line equals or nearly equals; class names the line's class.
+def places(rows: DataFrame, who: list[str], text_col: str, tau: int, least: int) -> DataFrame:
+    """(w0.., at, class): places of lines that an earlier line equals or nearly equals; class names the line's class.
 
-    Lines are parted by line feeds; a line without a word (spaces alone) is none. Two lines are of one class if they
-    are equal, or if links of tau edits or fewer connect them (both of at least `least` code points). Of a class the line
-    of the smallest id, then of the first place, is no repeat. Lines are told apart by 64-bit hashes and lengths.
+    who: columns that name a row (see common.told_apart), as w0 and so on in the result, and order rows.
     """
-    lines = docs.select(F.col(id_col), F.posexplode(F.split(text_col, "\n")).alias("at", "_line")).filter(F.col("_line").rlike(r"[^\x20\x09-\x0D]"))
-    lines = lines.select(id_col, "at", F.xxhash64("_line").alias("_h"), F.length("_line").alias("_n"))
-    roots = near_lines(docs, text_col, tau, least)
+    own = [f"w{i}" for i in range(len(who))]
+    lines = rows.select(*(F.col(c).alias(w) for c, w in zip(who, own)), F.posexplode(F.split(text_col, "\n")).alias("at", "_line")).filter(F.col("_line").rlike(r"[^\x20\x09-\x0D]"))
+    lines = lines.select(*own, "at", F.xxhash64("_line").alias("_h"), F.length("_line").alias("_n"))
+    roots = near_lines(rows, text_col, tau, least)
     # a class is a hash and a length; lengths of linked lines differ, so theirs is 0
     lines = saved(lines.join(roots, lines["_h"] == roots["node"], "left").select(
-        id_col, "at", F.coalesce("root", "_h").alias("class"), F.when(F.col("root").isNull(), F.col("_n")).otherwise(0).alias("_n")))
-    first = lines.groupBy("class", "_n").agg(F.min(F.struct(id_col, "at")).alias("_first"), F.count("*").alias("_many")).filter("_many > 1")
-    repeats = F.struct(id_col, "at") != F.col("_first")
+        *own, "at", F.coalesce("root", "_h").alias("class"), F.when(F.col("root").isNull(), F.col("_n")).otherwise(0).alias("_n")))
+    place = F.struct(*own, "at")
+    first = lines.groupBy("class", "_n").agg(F.min(place).alias("_first"), F.count("*").alias("_many")).filter("_many > 1")
     common = first.filter(F.col("_many") > max(COMMON, lines.count() // 1000)).drop("_many")  # under a thousand rows
     marked = lines.join(F.broadcast(common), ["class", "_n"], "left")
     other = marked.filter("_first IS NULL").drop("_first").join(first.drop("_many"), ["class", "_n"])
-    return marked.filter(repeats).select(id_col, "at", "class").union(other.filter(repeats).select(id_col, "at", "class"))
+    return marked.filter(place != F.col("_first")).select(*own, "at", "class").union(other.filter(place != F.col("_first")).select(*own, "at", "class"))
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
+    """(id, key, copy, at, class): places of lines that an earlier line equals or nearly equals; class names the line's class.
+
+    Lines are parted by line feeds; a line without a word (spaces alone) is none. Two lines are of one class if they
+    are equal, or if links of tau edits or fewer connect them (both of at least `least` code points). Of a class the line
+    of the smallest id (null first), then of the first place, is no repeat. Lines are told apart by 64-bit hashes and lengths.
+    Where ids repeat, rows of one id are told apart by a hash of their texts (key) and follow each other by it; of rows
+    alike in both one has copy 0, and every line of the others, which have copy 1, is a repeat. Elsewhere both are 0.
+    """
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows, who = told_apart(plain, "id", "text", "key", "copy")
+    found = places(rows, who, "text", tau, least).distinct()
+    more = ["w1", "w2"] if len(who) > 1 else [F.lit(0).cast("long"), F.lit(0)]
+    return found.select("w0", *more, "at", "class").toDF(id_col, "key", "copy", "at", "class")
+
+
+def with_repeats(docs: DataFrame, id_col: str, text_col: str, tau: int, least: int, lost: str) -> DataFrame:
+    """docs with a column lost: the places of each row's repeated lines, null if it has none."""
+    key, copy = free(docs, "key", "copy")
+    rows, who = told_apart(docs, id_col, text_col, key, copy)
+    own = [f"w{i}" for i in range(len(who))]
+    gone = places(rows.select(*dict.fromkeys([*who, text_col])), who, text_col, tau, least).groupBy(*own).agg(F.collect_set("at").alias("_gone"))
+    same = [rows[c].eqNullSafe(gone[w]) for c, w in zip(who, own)]
+    return rows.join(gone, same, "left").select(*(rows[c] for c in docs.columns), gone["_gone"].alias(lost))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
     """docs with repeated lines cut out of text_col; columns and rows stay, a text of repeats alone is left empty.
 
-    A null text stays null. Rows with one id lose the same places.
+    A null text stays null. Rows of one id, or of none, are cut each by its own lines; of repeated rows all but one are left empty.
     """
     names = docs.columns
-    lost_col = "_gone" + "_" * max(map(len, names))  # no column of docs
-    gone = repeated_lines(docs, id_col, text_col, tau, least).groupBy(id_col).agg(F.collect_set("at").alias(lost_col))
-    joined = docs.join(gone, id_col, "left").select(*names, lost_col)
+    (lost_col,) = free(docs, "gone")
+    joined = with_repeats(docs, id_col, text_col, tau, least, lost_col)
     place = names.index(text_col)
 
     def cut(batches):
@@ -385,11 +409,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def line_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_repeated, repeated): for every document its lines with a word, and the places of repeats, rising."""
     whole = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = docs.select("doc_id", F.size(whole).cast("long").alias("n_lines"))
-    gone = repeated_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("repeated"))
-    out = counted.join(gone, "doc_id", "left")
-    none = F.array().cast("array<int>")
-    return out.select("doc_id", "n_lines", F.size(F.coalesce("repeated", none)).cast("long").alias("n_repeated"), F.coalesce("repeated", none).alias("repeated"))
+    found = with_repeats(docs.select("doc_id", "text"), "doc_id", "text", TAU, LEAST, "gone")
+    repeated = F.coalesce(F.array_sort("gone"), F.array().cast("array<int>"))
+    return found.select("doc_id", F.size(whole).cast("long").alias("n_lines"), F.size(repeated).cast("long").alias("n_repeated"), repeated.alias("repeated"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

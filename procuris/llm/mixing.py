@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from procuris.llm.common import WORD, saved, table
+from procuris.llm.common import WORD, free, saved, table
 
 #: No document is taken more often, nor a source beyond so many times its size.
 EPOCHS = 3
@@ -64,26 +64,28 @@ def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id",
     the running sums of the later ones. Sizes of 0 are taken with the whole source only. An empty table gives no rows.
     """
     rate = F.coalesce(quality, F.lit(1.0)) if quality is not None else F.lit(1.0)
-    rows = docs.drop("source_size", "target", "times", "taken", "n").withColumn("_key", -F.log(uniform(id_col)) / rate)
+    rows = docs.drop("source_size", "target", "times", "taken")
+    key, part, ahead, upto, rank, source, whole, rest, n = free(rows, "key", "part", "ahead", "upto", "rank", "of_source", "whole", "rest", "n_source")
+    rows = rows.withColumn(key, -F.log(uniform(id_col)) / rate)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(sizes, epochs=epochs)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    targets = targets.withColumn("_whole", whole).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    targets = targets.withColumnRenamed("source", "_source")
-    rows = rows.join(targets, rows["source"].eqNullSafe(targets["_source"])).drop("_source")
-    cuts = F.ceil(F.col("n") / GROUP)
-    part = F.coalesce(F.floor((1 - F.exp(-F.col("_key"))) * cuts), cuts + F.length(F.bin("size")))  # without a key: by the size's bits
-    rows = rows.withColumn("_part", part.cast("int"))
-    sums = rows.groupBy("_rank", "_part").agg(F.sum("size").alias("_sum"))
-    ahead = F.sum("_sum").over(Window.partitionBy("_rank").orderBy("_part")) - F.col("_sum")
-    rows = rows.join(sums.select("_rank", "_part", ahead.alias("_ahead")), ["_rank", "_part"])
-    by_key = Window.partitionBy("_rank", "_part").orderBy(F.asc_nulls_last("_key"), id_col, "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_upto", F.col("_ahead") + F.sum("size").over(by_key))
-    over, under = F.col("_upto") - F.col("_rest"), F.col("_rest") - (F.col("_upto") - F.col("size"))
+    times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+    targets = targets.select(F.col("source").alias(source), "source_size", "target", F.col("_rank").alias(rank), F.col("n").alias(n), times.alias(whole))
+    targets = targets.withColumn(rest, F.col("target") - F.col(whole) * F.col("source_size"))
+    rows = rows.join(targets, rows["source"].eqNullSafe(targets[source]))
+    cuts = F.ceil(F.col(n) / GROUP)
+    own = F.coalesce(F.floor((1 - F.exp(-F.col(key))) * cuts), cuts + F.length(F.bin("size")))  # without a key: by the size's bits
+    rows = rows.withColumn(part, own.cast("int"))
+    sums = rows.groupBy(rank, part).agg(F.sum("size").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(rank).orderBy(part)) - F.col("_sum")
+    rows = rows.join(sums.select(rank, part, before.alias(ahead)), [rank, part])
+    by_key = Window.partitionBy(rank, part).orderBy(F.asc_nulls_last(key), id_col, "size").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn(upto, F.col(ahead) + F.sum("size").over(by_key))
+    over, under = F.col(upto) - F.col(rest), F.col(rest) - (F.col(upto) - F.col("size"))
     chosen = (F.col("size") > 0) & ((over <= 0) | ((under > 0) & (over <= under)))
-    rows = rows.withColumn("times", F.col("_whole") + F.when(chosen, 1).otherwise(0))
+    rows = rows.withColumn("times", F.col(whole) + F.when(chosen, 1).otherwise(0))
     rows = rows.withColumn("taken", F.col("size") * F.col("times"))
-    return rows.drop("_rank", "_part", "_ahead", "_upto", "_key", "_whole", "_rest", "n")
+    return rows.drop(rank, part, ahead, upto, key, whole, rest, n, source)
 
 
 def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -98,14 +100,15 @@ def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows meet their places in the mix by a hash of id, source and text. Rows alike in these are numbered, and as many
     of them are taken once, twice and so on as the mix says.
     """
-    names, key = docs.columns, F.xxhash64("doc_id", "source", "text")
-    marked = sized(docs.select("doc_id", "source", "text")).withColumn("_hash", key).drop("text")
+    key = F.xxhash64("doc_id", "source", "text")
+    marked = sized(docs.select("doc_id", "source", "text")).withColumn("hash", key).drop("text")
     plan = mix(saved(with_quality(marked, labels)), F.col("_quality")).filter("times > 0")
-    plan = saved(plan.groupBy("_hash").agg(*(F.count_if(F.col("times") >= n).alias(f"_at{n}") for n in range(1, EPOCHS + 1))))
-    number = F.row_number().over(Window.partitionBy("_hash").orderBy("source"))
-    rows = docs.withColumn("_hash", key).join(plan, "_hash").withColumn("_no", number)
-    times = sum((F.col("_no") <= F.col(f"_at{n}")).cast("int") for n in range(1, EPOCHS + 1))
-    return rows.withColumn("_times", times).filter("_times > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    name, number, times, each = free(docs, "hash", "number", "times", "each")
+    at = [f"{times}at{n}" for n in range(1, EPOCHS + 1)]
+    plan = saved(plan.groupBy(F.col("hash").alias(name)).agg(*(F.count_if(F.col("times") >= n).alias(a) for n, a in enumerate(at, 1))))
+    rows = docs.withColumn(name, key).join(plan, name).withColumn(number, F.row_number().over(Window.partitionBy(name).orderBy("source")))
+    rows = rows.withColumn(times, sum((F.col(number) <= F.col(a)).cast("int") for a in at)).filter(F.col(times) > 0)
+    return rows.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ from procuris.llm.common import saved, table
 K, TUPLES = 3, 32
 #: Documents that one bucket of neighbours holds, about.
 BUCKET_ROWS = 1000
+#: Bytes of text that one task signs, about.
+TASK_BYTES = 4 << 20
 #: Ranges that one level of quantiles parts ids into at most, and buckets that one window over bucket numbers holds.
 RANGES, FAN = 128, 1024
 #: Low bits of a packed long that hold the place in the text (a string of Spark has under 2^31 bytes, so under 2^30
@@ -74,11 +76,11 @@ def printed(signature: str) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
-def bucketed(docs: DataFrame, id_col: str, rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
+def bucketed(docs: DataFrame, id_col: str, text_col: str = "text", rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
     """docs with bucket, a number that rises with the id, for about `rows` documents each; and how many there are.
 
     Quantiles part the ids into ranges, quantiles of each range part it once more, and where that is too coarse still,
-    even steps part what lies between two of them. Null ids are in the first bucket.
+    even steps part what lies between two of them. Null ids are in the first bucket. An id of more rows is parted by the hash of its texts.
     """
     n = docs.count()
     parts = max(1, -(-n // rows))
@@ -106,7 +108,32 @@ def bucketed(docs: DataFrame, id_col: str, rows: int = BUCKET_ROWS) -> tuple[Dat
     step = F.least(F.lit(steps - 1), F.greatest(F.lit(0), F.coalesce(step, F.lit(0))))
     bucket = (F.col("_one").cast("long") * (second + 1) + F.col("_two")) * steps + step
     # never null, by type too: a filter for it would keep the shuffles of texts apart that are one
-    return docs.withColumn("bucket", F.coalesce(bucket.cast("long"), F.lit(0).cast("long"))).drop("_one", "_two"), parts
+    docs = docs.withColumn("bucket", F.coalesce(bucket.cast("long"), F.lit(0).cast("long"))).drop("_one", "_two")
+    return split_hot(docs, id_col, text_col, rows), parts
+
+
+def split_hot(docs: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
+    """docs whose buckets (see bucketed) are parted further where one id, or null, has over `rows` rows: by ranges of the hash of the text.
+
+    Buckets still rise with id and hash. Nothing changes where no id is so frequent.
+    """
+    hot = docs.groupBy("bucket", id_col).count().filter(F.col("count") > rows)
+    if hot.isEmpty():
+        return docs
+    hot = saved(hot)
+    most, width = hot.agg(F.max("count")).first()[0], hot.groupBy("bucket").count().agg(F.max("count")).first()[0]
+    splits, regions = -(-most // rows), 2 * width + 2
+    found = hot.groupBy("bucket").agg(F.array_sort(F.collect_list(id_col)).alias("_ids"), F.max(F.col(id_col).isNull()).alias("_null"))
+    docs = docs.join(found, "bucket", "left")
+    own, ids = F.col(id_col), F.coalesce("_ids", F.array().cast(f"array<{docs.schema[id_col].dataType.simpleString()}>"))
+    # region 0: null; then ids below the first hot one, the first hot one, ids up to the second and so on
+    upto = F.size(F.filter(ids, lambda x: x <= own))
+    is_hot = F.coalesce(F.array_contains(ids, own), own.isNull() & F.col("_null"), F.lit(False))
+    region = F.when(own.isNull(), 0).otherwise(1 + 2 * upto - F.array_contains(ids, own).cast("int"))
+    share = (F.xxhash64(text_col).cast("double") / 2.0**64 + 0.5) * splits
+    sub = F.when(is_hot, F.least(F.lit(splits - 1), F.greatest(F.lit(0), F.floor(share)))).otherwise(0)
+    number = (F.col("bucket") * regions + region) * splits + sub
+    return docs.withColumn("bucket", F.coalesce(number.cast("long"), F.lit(0).cast("long"))).drop("_ids", "_null")
 
 
 def following_heads(heads: DataFrame) -> DataFrame:
@@ -149,8 +176,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fingerprints; an empty table gives no rows. Columns that docs has besides are not read.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows, parts = bucketed(plain, "doc_id")
-    rows = rows.repartition(2 * parts, "bucket").withColumn("_hash", F.xxhash64("text"))
+    rows, _ = bucketed(plain, "doc_id")
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.repartition(max(1, -(-size // TASK_BYTES)), "bucket").withColumn("_hash", F.xxhash64("text"))
     rows = with_next(rows, ["doc_id", "_hash"], "text", "following")
     rows = rows.select("bucket", "no", "doc_id", "text", edited("text", "following").alias("changed"))
     both = rows.select("bucket", "no", "doc_id", F.explode(F.array(

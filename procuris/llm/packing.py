@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from procuris.llm.common import saved, slices, table, words
+from procuris.llm.common import free, saved, slices, table, words
 
 CAPACITY, END_ID = 4096, 1
 #: Classes of lengths that the program has at most, steepness of its weights, the gap at which it ends, and the most rounds.
@@ -302,8 +302,9 @@ def pack(items: DataFrame, order: list[str], length_col: str = "length", capacit
     Rows of equal `order` values are alike and may change places. Columns sequence_id and offset of items are replaced.
     """
     items = items.drop("sequence_id", "offset")
-    rows = items.withColumn("_class", F.col(length_col).cast("int"))
-    count = {r["_class"]: r["count"] for r in rows.groupBy("_class").count().collect()}
+    kind, part, base, key, turn, number = free(items, "kind", "part", "base", "key", "slot", "number")
+    rows = items.withColumn(kind, F.col(length_col).cast("int"))
+    count = {r[kind]: r["count"] for r in rows.groupBy(kind).count().collect()}
     if not count:
         return items.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     # an interval: pieces of a class with numbers from lo on go to sequences from `first` on, `each` to a sequence
@@ -316,27 +317,27 @@ def pack(items: DataFrame, order: list[str], length_col: str = "length", capacit
     spans = np.array(sorted(table_rows), np.int64)
     keys = spans[:, 0] << 40 | spans[:, 1]
     deal = max(1, -(-max(count.values()) // GROUP))
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(deal)).cast("int"))
-    parts = rows.groupBy("_class", "_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_class").orderBy("_part")) - F.col("_n")
-    rows = rows.join(parts.select("_class", "_part", before.alias("_base")), ["_class", "_part"])
-    number = F.row_number().over(Window.partitionBy("_class", "_part").orderBy(*order)) - 1 + F.col("_base")
-    rows = rows.withColumn("_key", F.col("_class").cast("long") * F.lit(1 << 40) + number).drop("_class", "_part", "_base")
-    names = [c for c in rows.columns if c != "_key"]
+    rows = rows.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(deal)).cast("int"))
+    parts = rows.groupBy(kind, part).agg(F.count("*").alias(number))
+    before = F.sum(number).over(Window.partitionBy(kind).orderBy(part)) - F.col(number)
+    rows = rows.join(parts.select(kind, part, before.alias(base)), [kind, part])
+    place_in_class = F.row_number().over(Window.partitionBy(kind, part).orderBy(*order)) - 1 + F.col(base)
+    rows = rows.withColumn(key, F.col(kind).cast("long") * F.lit(1 << 40) + place_in_class).drop(kind, part, base)
+    names = items.columns
 
     def place(batches):
         for batch in batches:
-            key = batch.column("_key").to_numpy()
-            at = np.searchsorted(keys, key, side="right") - 1
-            rank = key - keys[at]
+            own = batch.column(key).to_numpy()
+            at = np.searchsorted(keys, own, side="right") - 1
+            rank = own - keys[at]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(spans[at, 2] + rank // spans[at, 3]), pa.array(spans[at, 4] * 8192 + rank % spans[at, 3])],
-                names=[*names, "sequence_id", "_slot"])
+                names=[*names, "sequence_id", turn])
 
-    schema = rows.drop("_key").withColumns({"sequence_id": F.lit(0).cast("long"), "_slot": F.lit(0).cast("long")}).schema
-    placed = rows.mapInArrow(place, schema)
-    upto = F.sum(length_col).over(Window.partitionBy("sequence_id").orderBy("_slot"))
-    return placed.withColumn("offset", (upto - F.col(length_col)).cast("long")).drop("_slot")
+    schema = items.withColumns({"sequence_id": F.lit(0).cast("long"), turn: F.lit(0).cast("long")}).schema
+    placed = rows.select(*names, key).mapInArrow(place, schema)
+    upto = F.sum(length_col).over(Window.partitionBy("sequence_id").orderBy(turn))
+    return placed.withColumn("offset", (upto - F.col(length_col)).cast("long")).drop(turn)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procuris.llm.common import blocked_pairs, components, local_components, runs, saved
+from procuris.llm.common import blocked_pairs, components, free, local_components, runs, saved, told_apart
 
 #: Rows of a bucket that one block may hold.
 BLOCK = 2048
@@ -177,8 +177,15 @@ def near_links(fps: DataFrame, radius: int = 4, agree: int | None = None, block:
     return dealt.select("key", "bi", "bj", "blk", "fp", "rep").mapInArrow(compare, "a long, b long")
 
 
-def classed(docs: DataFrame, id_col: str, text_col: str, radius: int, k: int = 4, agree: int | None = None) -> tuple[DataFrame, bool]:
-    """(id, fp, root, component_id), where root names a component even if none of its rows has an id; and whether any row has none."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, k: int = 4,
+                    agree: int | None = None) -> DataFrame:
+    """(id, fp, component_id): component_id is the smallest id reachable over fingerprints within the radius.
+
+    Equal fingerprints are one node, so exact copies cost nothing. Null, empty and blank texts have fingerprint 0
+    and link like any other. An empty table gives no rows. Rows with one id twice give a row each. Rows without an id
+    link too; where no row of a component has an id, component_id is null. Other columns of docs are not read. More `agree` makes buckets smaller and keys more (5 at 1, 15 at 2, 35 at 3)
+    without changing the result; by default the number of fingerprints decides.
+    """
     marked = saved(fingerprints(docs.select(id_col, text_col), id_col, text_col, k))
     reps = marked.groupBy("fp").agg(F.min(id_col).alias("id"))
     nulls = not marked.filter(F.col(id_col).isNull()).isEmpty()
@@ -189,19 +196,7 @@ def classed(docs: DataFrame, id_col: str, text_col: str, radius: int, k: int = 4
         classes = classes.join(classes.groupBy("root").agg(F.min("id").alias("component_id")), "root")
     else:
         classes = classes.withColumn("component_id", F.col("root"))
-    return marked.join(classes.drop("id"), "fp").select(id_col, "fp", "root", "component_id"), nulls
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, k: int = 4,
-                    agree: int | None = None) -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id reachable over fingerprints within the radius.
-
-    Equal fingerprints are one node, so exact copies cost nothing. Null, empty and blank texts have fingerprint 0
-    and link like any other. An empty table gives no rows. Rows with one id twice give a row each. Rows without an id
-    link too; where no row of a component has an id, component_id is null. Other columns of docs are not read. More `agree` makes buckets smaller and keys more (5 at 1, 15 at 2, 35 at 3)
-    without changing the result; by default the number of fingerprints decides.
-    """
-    return classed(docs, id_col, text_col, radius, k, agree)[0].drop("root")
+    return marked.join(classes.drop("id"), "fp").select(id_col, "fp", "component_id")
 
 
 def hex_fp(fp: str = "fp") -> Column:
@@ -209,19 +204,21 @@ def hex_fp(fp: str = "fp") -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """docs without near copies: of each component only rows of the smallest id stay; columns are as they were.
+    """docs without near copies: of each component one row stays, that of the smallest id; columns are as they were.
 
-    Of a component without any id one row stays.
+    Rows are told apart by id and text, then by number: of repeated rows, and of rows of one id with near texts, one
+    stays too. Rows without an id go behind all others; of rows of one id the one with the smallest hash of its text stays.
     """
-    groups, nulls = classed(docs, id_col, text_col, radius)
-    kept = docs.join(groups.filter(F.col("component_id") == F.col(id_col)).select(F.col(id_col)).distinct(), id_col, "left_semi")
-    if not nulls:
-        return kept
-    first = groups.filter(F.col("component_id").isNull()).groupBy("root").agg(F.min("fp").alias("fp"))
-    other = docs.filter(F.col(id_col).isNull()).withColumn("_hash", F.xxhash64(text_col))
-    chosen = fingerprints(other, "_hash", text_col).join(first, "fp").groupBy("root").agg(F.min("_hash").alias("_hash"))
-    other = other.join(chosen.select("_hash"), "_hash", "left_semi").dropDuplicates(["_hash"])
-    return kept.select(*docs.columns).union(other.select(*docs.columns))
+    key, copy = free(docs, "key", "copy")
+    rows, who = told_apart(docs, id_col, text_col, key, copy)
+    (name,) = free(rows, "name")
+    parts = [F.col(id_col).isNull().alias("none"), *(F.col(c).alias(f"n{i}") for i, c in enumerate(who))]
+    marked = saved(fingerprints(rows.select(F.struct(*parts).alias(name), text_col), name, text_col))
+    reps = saved(marked.groupBy("fp").agg(F.min(name).alias("first")))
+    roots = components(near_links(reps.select("fp", F.col("fp").alias("rep")), radius))
+    kept = reps.join(roots, reps["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("f")).select("f.*")
+    same = [rows[c].eqNullSafe(kept[f"n{i}"]) for i, c in enumerate(who)]
+    return rows.join(kept, same, "left_semi").select(*docs.columns)  # a row with copy 1 is never the first, as its like with copy 0 is before it
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from procuris.llm.common import crc32_of_id, saved, slices, table, words
+from procuris.llm.common import crc32_of_id, free, saved, slices, table, words
 
 BITS = 20
 #: At most about so many labelled rows (a sample by hash of the id) fit the weights.
@@ -82,13 +82,13 @@ def fit_rows(rows: list[tuple[np.ndarray, int]]) -> Weights:
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", order_col: str = "doc_id",
         sample: int = SAMPLE) -> Weights:
-    """Weights learned from labelled rows, of which about `sample` at most are used, chosen by a hash of order_col.
+    """Weights learned from labelled rows, of which about `sample` at most are used, chosen by a hash of order_col, then of the text.
 
     Rows without a label are left out; a null text is an empty one. The fit is one task over the bounded sample, in
     the order of the hash, so that reruns agree; what comes back are the nonzero weights only.
     """
-    labelled = labelled.filter(F.col(label_col).isNotNull()).withColumn("_h", F.xxhash64(F.col(order_col)))
-    cut = labelled.select("_h").orderBy("_h").limit(sample).agg(F.max("_h")).first()[0]
+    labelled = labelled.filter(F.col(label_col).isNotNull()).withColumns({"_h": F.xxhash64(F.col(order_col)), "_t": F.xxhash64(F.col(text_col))})
+    cut = labelled.select("_h", "_t").orderBy("_h", "_t").limit(sample).agg(F.max(F.struct("_h", "_t"))).first()[0]
     if cut is None:
         return fit_rows([])
 
@@ -108,7 +108,9 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", o
         got = fit_rows(rows)
         yield pa.RecordBatch.from_arrays([pa.array([got.bias], pa.float64()), pa.array([got.index.tolist()], pa.list_(pa.int32())), pa.array([got.value.tolist()], pa.list_(pa.float64()))], names=["bias", "at", "value"])
 
-    chosen = labelled.filter(F.col("_h") <= cut).select("_h", F.col(label_col).cast("int").alias("_y"), text_col)
+    within = (F.col("_h") < cut["_h"]) | ((F.col("_h") == cut["_h"]) & (F.col("_t") <= cut["_t"]))
+    chosen = labelled.filter(within).select("_h", "_t", F.col(label_col).cast("int").alias("_y"), text_col)
+    chosen = chosen.dropDuplicates(["_h", "_t", "_y"]).drop("_t")  # a row that is repeated without end is learned once
     rows = chosen.mapInArrow(extract, "_h long, _y int, at array<int>")
     one = rows.repartition(1).sortWithinPartitions("_h", "_y", F.xxhash64("at"))
     got = one.mapInArrow(train, "bias double, at array<int>, value array<double>").first()
@@ -146,7 +148,8 @@ def score(docs: DataFrame, model: Weights, text_col: str = "text", out_col: str
 def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, text, toxic) of rows whose crc32(doc_id) mod 4 is not 2; several labels of one id count as their largest.
 
-    Ids are chosen before texts are read: about `sample` by a hash, so few that they go to every task.
+    Ids are chosen before texts are read: about `sample` by a hash, so few that they go to every task. fit bounds the
+    rows of an id that has very many.
     """
     truth = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     truth = truth.filter(F.pmod(crc32_of_id(), F.lit(4)) != 2)
@@ -158,8 +161,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold; columns as they were."""
-    scored = score(docs, fit(labelled_rows(docs, labels)), out_col="_toxicity")
-    return scored.filter(F.col("_toxicity") < threshold).select(*docs.columns)
+    (name,) = free(docs, "toxicity")
+    scored = score(docs, fit(labelled_rows(docs, labels)), out_col=name)
+    return scored.filter(F.col(name) < threshold).select(*docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

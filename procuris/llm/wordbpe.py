@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from itertools import chain
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from procuris.llm.common import saved, slices, table, words
+from procuris.llm.common import runs, saved, slices, table, words
 
-#: Bytes of text whose words are numbered together; a single longer text has a group of its own.
-GROUP_BYTES = 16 << 20
+#: Bytes of text whose words are numbered together; a single longer text has a group of its own. Bytes of text for each
+#: bucket of words, so that a bucket holds the words of some groups at most.
+GROUP_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
 #: Words that the tokenizer takes at a time; ids that a batch of results holds, besides its last text's.
 WORDS_AT_ONCE, IDS_AT_ONCE = 4096, 1 << 20
+LEVEL = 9
 _loaded: dict = {}
 
 
@@ -39,166 +45,188 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-def packed(codes: np.ndarray) -> bytes:
-    """Codes as compressed planes of bytes: the higher ones are nearly all zero."""
-    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 as compressed planes of bytes: the higher ones are nearly all zero."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return squeezed(planes.tobytes())
 
 
-def unpacked(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(loosened(raw), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def split(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Texts as numbers of words, saved: for each text a row (grp, row, n, codes), for each word of a group a row (grp, code, word).
+def squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
+
+
+def loosened(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
+def split(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
+    """Texts as numbers of words, saved: rows (grp, row, n, codes) for texts, some in a row, and (grp, bucket, n, codes, words) for their words.
 
     Words are what ASCII white space parts, as they stand. A group is texts of about GROUP_BYTES of one task, and numbers its
-    distinct words; row holds the other columns of docs.
+    distinct words, the most frequent first, so that numbers pack well. A text row has the other columns of docs as a
+    list of structs (row), the number of words of each text and the codes of all of them; a word row has the words of a
+    group that fall into one bucket by their hash, by rising code.
     """
     rest = [c for c in docs.columns if c != text_col]
     base = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), F.col(text_col).cast("string").alias("text"))
-    kind = StructType([StructField("grp", LongType()), StructField("code", IntegerType()), StructField("word", StringType()),
-                       StructField("row", base.schema["row"].dataType), StructField("n", LongType()), StructField("codes", BinaryType())])
+    kind = StructType([StructField("grp", LongType()), StructField("bucket", IntegerType()), StructField("row", ArrayType(base.schema["row"].dataType)),
+                       StructField("n", BinaryType()), StructField("codes", BinaryType()), StructField("words", BinaryType())])
 
     def each(batches):
-        known, size, group = {}, 0, TaskContext.get().partitionId() << 32
-        row_type = None
-
-        def listed():
-            for start in range(0, len(known), 1 << 16):
-                some = list(known)[start:start + (1 << 16)]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, group)), pa.array(np.arange(start, start + n, dtype=np.int32)), pa.array(some, pa.string()),
-                                                  pa.nulls(n, row_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=kind.names)
+        group = TaskContext.get().partitionId() << 32
+        known, size, held = {}, 0, []
+
+        def done():
+            if not held:
+                return
+            row_type = pa.list_(held[0][0].type)
+            names = np.array(list(known), object)
+            count = np.zeros(len(names), np.int64)
+            for _, _, codes in held:
+                count += np.bincount(codes, minlength=len(names))
+            order = sorted(range(len(names)), key=lambda i: (-count[i], names[i]))
+            rank = np.empty(len(names), np.int64)
+            rank[order] = np.arange(len(names))
+            for rows, n, codes in held:
+                yield pa.RecordBatch.from_arrays([pa.array([group]), pa.nulls(1, pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows).cast(row_type),
+                                                  pa.array([packed(n)]), pa.array([packed(rank[codes])]), pa.nulls(1, pa.binary())], names=kind.names)
+            names = names[order]
+            where = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in names), np.int64, len(names))
+            for bucket in np.unique(where).tolist():
+                at = np.flatnonzero(where == bucket)
+                words_of = "\n".join(names[at].tolist()).encode("utf-8", "surrogatepass")
+                yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([bucket], pa.int32()), pa.nulls(1, row_type), pa.nulls(1, pa.binary()),
+                                                  pa.array([packed(np.diff(at, prepend=0))]), pa.array([squeezed(words_of)])], names=kind.names)
 
         for batch in batches:
-            row_type = batch.column("row").type
             for part in slices(batch, "text"):
                 nbytes = part.column("text").nbytes
-                if known and size + nbytes > GROUP_BYTES:
-                    yield from listed()
-                    known, size, group = {}, 0, group + 1
+                if held and size + nbytes > GROUP_BYTES:
+                    yield from done()
+                    known, size, held, group = {}, 0, [], group + 1
                 size += nbytes
                 index, offsets, vocabulary = words(part.column("text"), lower=False)
                 own = np.fromiter((known.setdefault(w, len(known)) for w in vocabulary), np.int64, len(vocabulary))
-                codes = own[index] if len(vocabulary) else np.zeros(0, np.int64)
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, group)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), part.column("row"), pa.array(np.diff(offsets).astype(np.int64)),
-                    pa.array([packed(codes[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=kind.names)
-        if known:
-            yield from listed()
+                held.append((part.column("row"), np.diff(offsets), own[index].astype(np.uint32) if len(vocabulary) else np.zeros(0, np.uint32)))
+        yield from done()
 
     return saved(base.mapInArrow(each, kind))
 
 
-def encoded_words(some: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of distinct words; the tokenizer sees each once."""
+def encoded_words(parts: DataFrame, path: str) -> DataFrame:
+    """(grp, codes, n, ids) of word rows: how many ids each word has, and all of them. The tokenizer sees each distinct word once.
+
+    All rows of a bucket meet; a word is in one row for each group that has it, however frequent it is.
+    """
+    dealt = parts.filter(F.col("bucket").isNotNull()).select("bucket", "grp", "codes", "words").repartition("bucket").sortWithinPartitions("bucket")
 
     def each(batches):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores
         made = tokenizer(path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, WORDS_AT_ONCE):
-                part = batch.slice(start, WORDS_AT_ONCE)
-                ids = [e.ids for e in made.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return some.select("word").distinct().mapInArrow(each, "word string, ids array<int>")
-
-
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(id, piece): the vocabulary of a tokenizer file, special tokens included; a fixed number of rows."""
-    return spark.createDataFrame([(i, t) for t, i in tokenizer(path).get_vocab(with_added_tokens=True).items()], "id int, piece string")
-
-
-def decode(rows: DataFrame, path: str, key: str, ids_col: str = "ids") -> DataFrame:
-    """(key, text): ids of each row joined with their pieces, which are put together in the order of the ids, a blank between.
-
-    Keys are distinct. Ids that the vocabulary lacks are left out, as the tokenizer does; null or empty ids give an
-    empty text. The vocabulary goes to every task, whose size the tokenizer file bounds.
-    """
-    each = rows.select(F.col(key).alias("k"), F.posexplode_outer(ids_col).alias("at", "id"))
-    named = each.join(F.broadcast(pieces(rows.sparkSession, path)), "id", "left")
-    whole = named.groupBy("k").agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece")))).alias("all"))
-    return whole.select(F.col("k").alias(key), F.array_join(F.col("all.piece"), " ").alias("text"))
-
-
-def encode(docs: DataFrame, path: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """docs with ids (array<int>) in place of the text; decoded adds decoded, what the tokenizer makes of the ids.
+        for part in runs(batches, ["bucket"]):
+            cuts = np.flatnonzero(np.diff(part["bucket"].to_numpy())) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), part.num_rows]):
+                lists = [loosened(x.as_py()).decode("utf-8", "surrogatepass").split("\n") for x in part["words"].slice(a, b - a)]
+                distinct = list(dict.fromkeys(w for some in lists for w in some))
+                found = {}
+                for start in range(0, len(distinct), WORDS_AT_ONCE):
+                    some = distinct[start:start + WORDS_AT_ONCE]
+                    found.update((w, e.ids) for w, e in zip(some, made.encode_batch_fast(some, add_special_tokens=False)))
+                for some, grp, codes in zip(lists, part["grp"].slice(a, b - a), part["codes"].slice(a, b - a)):
+                    ids = [found[w] for w in some]
+                    n, flat = np.fromiter(map(len, ids), np.uint32, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32)
+                    yield pa.RecordBatch.from_arrays([pa.array([grp.as_py()]), pa.array([codes.as_py()]), pa.array([packed(n)]), pa.array([packed(flat)])], names=["grp", "codes", "n", "ids"])
+
+    return dealt.mapInArrow(each, "grp long, codes binary, n binary, ids binary")
+
+
+def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """docs with ids (array<int>) in place of the text.
 
     The ids are those of the tokenizer for the whole text without special tokens added; strings of special tokens in a
-    text count as such. Every distinct word of the table is encoded (and decoded) once and joined back to the numbered
-    words of the texts. Null, empty and blank texts have no ids and decode as ''. Rows of equal id or text are rows of
-    their own; other columns stay, but columns named ids or decoded are replaced; an empty table gives no rows.
+    text count as such. Every distinct word of the table is encoded once, and its ids are joined back to the numbered
+    words of the texts. Null, empty and blank texts have no ids. Rows of equal id or text are rows of their own; other
+    columns stay, but a column named ids is replaced; an empty table gives no rows.
     """
-    docs = docs.drop("ids", *["decoded"] * decoded)
-    parts = split(docs, text_col)
-    met = parts.filter(F.col("word").isNotNull())
-    known = saved(encoded_words(met, path))
-    if decoded:
-        known = known.join(decode(known, path, "word"), "word")
-    listed = met.select("grp", "code", "word").join(known, "word")
-    listed = listed.select("grp", "code", F.lit(None).cast(parts.schema["row"].dataType).alias("row"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("codes"), "ids", (F.col("text") if decoded else F.lit(None).cast("string")).alias("text"))
-    texts = parts.filter(F.col("word").isNull()).select("grp", "code", "row", "n", "codes", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("string").alias("text"))
-    dealt = listed.union(texts).repartition("grp").sortWithinPartitions("grp", F.col("code").asc_nulls_last())
+    docs = docs.drop("ids")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = split(docs, text_col, max(8, -(-size // BUCKET_BYTES)))
+    texts = parts.filter(F.col("bucket").isNull()).select("grp", F.lit(1).alias("side"), "row", "n", "codes", F.lit(None).cast("binary").alias("ids"))
+    listed = encoded_words(parts, path).select("grp", F.lit(0).alias("side"), F.lit(None).cast(parts.schema["row"].dataType).alias("row"), "n", "codes", "ids")
+    dealt = listed.union(texts).repartition("grp").sortWithinPartitions("grp", "side")
 
     def each(batches):
-        group, held, lengths, first, flat, shown = None, [], None, None, None, None
-
-        def joined(part):
-            """ids and decoded texts of rows of texts, some at a time"""
-            rows, counts, ids, out = 0, [], [], []
-            for raw, n in zip(part.column("codes"), part.column("n").to_numpy()):
-                codes = unpacked(raw.as_py(), int(n)) if n else np.zeros(0, np.uint32)
-                size = lengths[codes]
-                ends = np.cumsum(size)
-                total = int(ends[-1]) if len(ends) else 0
-                ids.append(flat[np.repeat(first[codes] - (ends - size), size) + np.arange(total)])
-                counts.append(total)
-                if decoded:
-                    out.append(" ".join([shown[c] for c in codes[size > 0].tolist()]))
-                if sum(counts) > IDS_AT_ONCE:
-                    yield rows, len(counts), counts, ids, out
-                    rows, counts, ids, out = rows + len(counts), [], [], []
-            if counts:
-                yield rows, len(counts), counts, ids, out
-
+        group, held, lengths, first, flat = None, [], None, None, None
         for batch in batches:
-            groups = batch.column("grp").to_numpy()
-            edges = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), batch.num_rows] if batch.num_rows else []
-            for a, b in zip(edges[:-1], edges[1:]):
-                part = batch.slice(a, b - a)
-                if groups[a] != group:
-                    group, held, lengths = groups[a], [], None
-                number = part.num_rows - part.column("code").null_count
-                if number:
-                    held.append((part.column("ids").slice(0, number), part.column("text").slice(0, number)))
-                if number == part.num_rows:
+            groups, sides = batch.column("grp").to_numpy(), batch.column("side").to_numpy()
+            for k in range(batch.num_rows):
+                if groups[k] != group:
+                    group, held, lengths = groups[k], [], None
+                n, codes = (unpacked(batch.column(c)[k].as_py()) for c in ("n", "codes"))
+                if sides[k] == 0:
+                    held.append((np.cumsum(codes), n, unpacked(batch.column("ids")[k].as_py())))
                     continue
                 if lengths is None:  # all words of the group have come
-                    lists = [x for x, _ in held]
-                    lengths = np.concatenate([np.zeros(0, np.int64), *(np.diff(x.offsets.to_numpy()) for x in lists)]).astype(np.int64)
-                    flat = np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in lists)])
-                    first = np.cumsum(lengths) - lengths
-                    shown = [t for _, x in held for t in x.to_pylist()] if decoded else None
+                    code, size, flat = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (zip(*held) if held else ([], [], [])))
+                    lengths, first = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+                    lengths[code], first[code] = size, np.cumsum(size) - size
                     held = []
-                part = part.slice(number)
-                for start, n, counts, ids, out in joined(part):
-                    made = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                    yield pa.RecordBatch.from_arrays([part.column("row").slice(start, n), made, *[pa.array(out, pa.string())] * decoded], names=["row", "ids", *["decoded"] * decoded])
-
-    kind = StructType([StructField("row", parts.schema["row"].dataType), *StructType.fromDDL("ids array<int>" + ", decoded string" * decoded)])
+                rows, ends = batch.column("row")[k].values, np.append(0, np.cumsum(n, dtype=np.int64))
+                upto = np.append(0, np.cumsum(lengths[codes]))[ends]  # ids before each text
+                start = 0
+                while start < len(n):
+                    stop = max(start + 1, int(np.searchsorted(upto, upto[start] + IDS_AT_ONCE, side="right")) - 1)
+                    own = codes[ends[start]:ends[stop]]
+                    size, before = lengths[own], np.cumsum(lengths[own]) - lengths[own]
+                    ids = flat[np.repeat(first[own] - before, size) + np.arange(size.sum())].astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(upto[start:stop + 1] - upto[start], pa.int32()), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([rows.slice(start, stop - start), lists], names=["row", "ids"])
+                    start = stop
+
+    kind = StructType([StructField("row", parts.schema["row"].dataType.elementType), StructField("ids", ArrayType(IntegerType()))])
     done = dealt.mapInArrow(each, kind)
-    return done.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != text_col), "ids", *["decoded"] * decoded)
+    return done.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != text_col), "ids")
+
+
+def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """rows with out_col: the ids joined with their pieces, a blank between. A column of that name is replaced.
+
+    Ids that the vocabulary lacks are left out, as the tokenizer does; null or empty ids give an empty text. The table of
+    pieces by id, of a size that the tokenizer file fixes, goes to every task, where ids meet it.
+    """
+    base = rows.drop(out_col)
+    names, vocabulary = base.columns, tokenizer(path).get_vocab(with_added_tokens=True)
+    pieces = [None] * (max(vocabulary.values()) + 1)
+    for piece, i in vocabulary.items():
+        pieces[i] = piece
+    shared = base.sparkSession.sparkContext.broadcast(pieces)
+
+    def each(batches):
+        named = pa.array(shared.value, pa.string())
+        there = named.is_valid().to_numpy(zero_copy_only=False)
+        for batch in batches:
+            lists = batch.column(ids_col)
+            size, ids = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64), pc.fill_null(lists.flatten(), -1).to_numpy().astype(np.int64)
+            known = (ids >= 0) & (ids < len(there))
+            known[known] = there[ids[known]]
+            upto = np.append(0, np.cumsum(known))[np.append(0, np.cumsum(size))]
+            found = pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), named.take(pa.array(ids[known])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.binary_join(found, " ").cast(pa.string())], names=[*names, out_col])
+
+    return base.mapInArrow(each, StructType([*base.schema.fields, StructField(out_col, StringType())]))
 
 
 def op13(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
     shown = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), shown.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -58,6 +58,18 @@ def test_simhash(docs, rows, none):
     assert simhash.keep_one(docs).columns == docs.columns
 
 
+def test_keep_one_of_repeated_and_null_ids(spark):
+    r = random.Random(8)
+    a, b, c, d = (" ".join(r.choice("abcdefgh") * r.randint(1, 9) for _ in range(80)) for _ in range(4))
+    rows = [(2, a), (5, b), (5, a), (9, c), (9, c), (None, d), (None, d), (None, a), (None, None), (None, ""), (7, c)]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, key string, copy string").repartition(3)
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(2, a), (5, b), (7, c), (0, d), (0, "")])
+    unique = spark.createDataFrame([(2, a), (5, b), (4, a), (None, a)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(unique).collect()) == [2, 5]
+
+
 def test_hot_bucket_links(spark):
     base = 0x0123456789ABCDEF
     fps = [(base ^ (1 << a) ^ (1 << b), 64 * a + b) for a in range(40) for b in range(a)]
@@ -77,25 +89,62 @@ def test_near_links_are_all_links(spark, agree):
     assert [got.get(i, i) for i in range(len(fps))] == root.tolist()
 
 
-def test_lines(docs, rows, none):
-    got = {(r["doc_id"], r["at"]) for r in linededup.repeated_lines(docs).collect()}
-    lines = sorted({(i, n, x) for i, t, *_ in rows for n, x in enumerate((t or "").split("\n")) if x.strip(" \n\t")})
+def kept_texts(rows, tau=linededup.TAU, least=linededup.LEAST):
+    """(id, text) of rows after the removal of repeated lines, word for word."""
+    import xxhash
+
     from tests.llm.test_pure import edits
 
-    first, want = [], set()
-    for i, n, x in lines:
-        near = any(x == y or (min(len(x), len(y)) >= 20 and abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2) for y in first)
-        if near:
-            want.add((i, n))
-        first.append(x)
-    assert {g for g in got if g[0] != 10} == {w for w in want if w[0] != 10}
+    def signed_hash(text):  # the engine's hash of the text, and of whether it is null; null ids stand first
+        one = xxhash.xxh64_intdigest((text or "").encode(), 42)
+        two = xxhash.xxh64_intdigest((1 if text is None else 0).to_bytes(4, "little"), one)
+        return two - ((two >> 63) << 64)
+
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, signed_hash(rows[i][1])))
+    spoken = [x for _, t in rows for x in (t or "").split("\n") if x.strip(" \n\t")]
+    classes = list(dict.fromkeys(spoken))
+    a, b = zip(*[(i, j) for i in range(len(classes)) for j in range(i) if min(len(classes[i]), len(classes[j])) >= least and abs(len(classes[i]) - len(classes[j])) <= tau and edits(classes[i], classes[j]) <= tau] or [(0, 0)])
+    root = dict(zip(classes, common.local_components(len(classes), np.array(a), np.array(b)).tolist()))
+    seen, out = set(), {}
+    for i in order:
+        lines = []
+        for x in (rows[i][1] or "").split("\n"):
+            if not x.strip(" \n\t") or root[x] not in seen:
+                lines.append(x)
+            if x.strip(" \n\t"):
+                seen.add(root[x])
+        out[i] = None if rows[i][1] is None else "\n".join(lines)
+    return [(rows[i][0], out[i]) for i in range(len(rows))]
+
+
+def told(rows):
+    return sorted((str(i), str(t)) for i, t in rows)
+
+
+def test_lines(docs, rows, none):
     cut = linededup.without_repeats(docs)
-    assert cut.columns == docs.columns and cut.count() == len(rows)
-    assert cut.filter("doc_id = 2").first()["text"] == ""
-    assert cut.filter("doc_id = 4").first()["text"] is None
+    assert cut.columns == docs.columns
+    assert told((r["doc_id"], r["text"]) for r in cut.collect()) == told(kept_texts([(i, t) for i, t, *_ in rows]))
+    got = {(r["doc_id"], r["at"]) for r in linededup.repeated_lines(docs).collect()}
+    assert (2, 0) in got and (1, 0) not in got
     assert linededup.without_repeats(none).count() == 0
 
 
+def test_lines_of_repeated_and_null_ids(spark):
+    line, other = "a line of more than twenty letters", "a second line that is quite another"
+    rows = [(1, line), (10, line + "\n" + other), (10, "a wholly unique first line of its own\n" + other + "!"), (20, "one more line that is copied whole"), (20, "one more line that is copied whole"),
+            (None, "what stands under no id at all, twice"), (None, "what stands under no id at all, twice"), (None, "a line under no id that is its own"), (None, None), (30, None), (31, "")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, gone string").repartition(4)
+    cut = linededup.without_repeats(df)
+    assert cut.columns == df.columns
+    got = told((r["doc_id"], r["text"]) for r in cut.collect())
+    assert got == told(kept_texts(rows))
+    assert ("10", "a wholly unique first line of its own\n") in [(i, t[:len("a wholly unique first line of its own\n")]) for i, t in got] or ("10", "a wholly unique first line of its own") in got
+    report = linededup.line_report(df)
+    assert report.count() == len(rows)
+    assert sorted(r["n_repeated"] for r in report.filter("doc_id = 20").collect()) == [0, 1]
+
+
 def test_order_minhash(docs, rows, none):
     every = omh.fingerprint_documents(docs).collect()
     assert len(every) == len(rows)
@@ -164,6 +213,17 @@ def test_order_minhash_is_the_plain_one(docs, rows, none):
     assert got == sorted((i, plain_signature(t)) for i, t, *_ in rows)
 
 
+def test_hot_ids_are_parted(spark):
+    rows = [(i, f"text {i}") for i in range(300)] + [(150, f"hot {i}") for i in range(4000)] + [(None, f"none {i}") for i in range(3000)] + [(151, f"warm {i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, _ = omh.bucketed(df, "doc_id", rows=200)
+    number = {(x["doc_id"], x["bucket"]): x["count"] for x in got.groupBy("doc_id", "bucket").count().collect()}
+    assert len({b for i, b in number if i == 150}) >= 10 and max(number.values()) < 400
+    order = [(x["doc_id"] is not None, x["doc_id"] or 0, x["h"], x["bucket"]) for x in got.withColumn("h", F.xxhash64("text")).collect()]
+    buckets = [x[-1] for x in sorted(order)]
+    assert buckets == sorted(buckets) and len(order) == len(rows)
+
+
 def test_following_row_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(omh, "FAN", 3)
     ids = [n * n * n for n in range(200)]
@@ -222,6 +282,9 @@ def test_embeddings(spark):
     for i in range(300):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (near[i].sum(), root[i], root[i] == i)
     assert [got[i]["n_links"] for i in range(300, 306)] == [0, 0, 0, 0, 1, 1] and got[305]["component_id"] == 304
+    near = [(None, [1.0, 0.0]), (4, [1.0, 0.01]), (3, [1.0, 0.02]), (3, [1.0, 0.02]), (None, [0.0, -1.0]), (None, None)]
+    got = egojoin.near_duplicates(spark.createDataFrame(near, "vec_id long, embedding array<double>")).collect()
+    assert sorted((x["vec_id"] or 0, x["n_links"], x["component_id"] or 0, x["kept"]) for x in got) == [(0, 0, 0, False), (0, 0, 0, False), (0, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True), (4, 3, 3, False)]
     assert egojoin.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
@@ -376,3 +439,29 @@ def test_pipeline_stages(spark, docs):
         out = common.saved(stage(spark, out, folder))
         assert name == pipe.STAGES[-1][0] or out.columns == names
     assert out.count() > 100
+
+
+def test_columns_of_like_names_stay(spark):
+    names = ["_hash", "_no", "_times", "_n", "_quality", "_good", "n", "_key", "_part", "_rank", "_class", "_base", "_slot", "key", "hash", "number", "toxicity", "_toxicity", "part", "kind", "gone"]
+    rows = [(i, f"text number {i} with some words " * 3, f"s{i % 2}", *(f"{n}{i}" for n in names)) for i in range(12)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    by_id = {r[0]: r for r in rows}
+    for made in (mixing.mixed_documents(df, labels), toxicity.drop_toxic(df, labels), simhash.keep_one(df), linededup.without_repeats(df.drop("text").withColumn("text", F.concat(F.lit("own line of this row: "), F.md5("_hash"))))):
+        assert made.columns and set(made.columns) == set(df.columns)
+        for r in made.collect():
+            assert all(r[n] == by_id[r["doc_id"]][3 + k] for k, n in enumerate(names))
+    packed = packing.pack(df.withColumn("length", F.lit(7)), ["doc_id"])
+    assert all(r[n] == by_id[r["doc_id"]][3 + k] for r in packed.collect() for k, n in enumerate(names))
+    mixed = mixing.mix(mixing.sized(df))
+    assert set(df.columns) <= set(mixed.columns) and all(r["_key"] == f"_key{r['doc_id']}" and r["n"] == f"n{r['doc_id']}" for r in mixed.collect())
+
+
+def test_fits_are_bounded_by_rows(spark):
+    rows = [(None, f"das ist der text nummer {i} und noch mehr", "de") for i in range(900)] + [(None, f"this is the text number {i} and some more", "en") for i in range(900)]
+    rows += [(1, "one row that is there again and again", "en")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, sample=60)
+    assert sorted(model.langs) == ["de", "en"]
+    got = {r["lang_pred"] for r in langid.label(df.filter("lang = 'de'"), model).collect()}
+    assert got == {"de"}
