@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import chain
+import uuid
 from zlib import crc32
 
 import numpy as np
@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from procuris.llm.common import runs, saved, slices, table, words
+from procuris.llm.common import at_exit, runs, shared_dir, slices, table, words
 
 #: Bytes of text whose words are numbered together; a single longer text has a group of its own. Bytes of text for each
 #: bucket of words, so that a bucket holds the words of some groups at most.
-GROUP_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
-#: Words that the tokenizer takes at a time; ids that a batch of results holds, besides its last text's.
-WORDS_AT_ONCE, IDS_AT_ONCE = 4096, 1 << 20
+GROUP_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+#: Words that the tokenizer takes at a time; the most buckets of groups that a table has.
+WORDS_AT_ONCE, MOST_PARTS = 4096, 100_000
+#: How hard codes and words are squeezed, as they are written and shuffled.
 LEVEL = 9
 _loaded: dict = {}
 
@@ -64,8 +65,19 @@ def loosened(raw: bytes) -> bytes:
     return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
 
 
-def split(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
-    """Texts as numbers of words, saved: rows (grp, row, n, codes) for texts, some in a row, and (grp, bucket, n, codes, words) for their words.
+def saved_by(df: DataFrame, column: str, n: int) -> DataFrame:
+    """df written to the shared folder and read again, its rows dealt into n files' worth of buckets by a hash of the column, so that a join on it need not shuffle them."""
+    spark, name = df.sparkSession, f"procuris_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/procuris/{name}"
+    df.write.bucketBy(n, column).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    at_exit(spark, path)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay, and out knows them
+    return out
+
+
+def split(docs: DataFrame, text_col: str, buckets: int, parts: int) -> DataFrame:
+    """Texts as numbers of words, saved in `parts` buckets of grp: rows (grp, row, n, codes) for texts, some in a row, and (grp, bucket, n, codes, words) for their words.
 
     Words are what ASCII white space parts, as they stand. A group is texts of about GROUP_BYTES of one task, and numbers its
     distinct words, the most frequent first, so that numbers pack well. A text row has the other columns of docs as a
@@ -115,7 +127,7 @@ def split(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
                 held.append((part.column("row"), np.diff(offsets), own[index].astype(np.uint32) if len(vocabulary) else np.zeros(0, np.uint32)))
         yield from done()
 
-    return saved(base.mapInArrow(each, kind))
+    return saved_by(base.mapInArrow(each, kind), "grp", parts)
 
 
 def encoded_words(parts: DataFrame, path: str) -> DataFrame:
@@ -138,10 +150,10 @@ def encoded_words(parts: DataFrame, path: str) -> DataFrame:
                 found = {}
                 for start in range(0, len(distinct), WORDS_AT_ONCE):
                     some = distinct[start:start + WORDS_AT_ONCE]
-                    found.update((w, e.ids) for w, e in zip(some, made.encode_batch_fast(some, add_special_tokens=False)))
+                    found.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(some, made.encode_batch_fast(some, add_special_tokens=False)))
                 for some, grp, codes in zip(lists, part["grp"].slice(a, b - a), part["codes"].slice(a, b - a)):
                     ids = [found[w] for w in some]
-                    n, flat = np.fromiter(map(len, ids), np.uint32, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32)
+                    n, flat = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4, np.frombuffer(b"".join(ids), np.uint32)
                     yield pa.RecordBatch.from_arrays([pa.array([grp.as_py()]), pa.array([codes.as_py()]), pa.array([packed(n)]), pa.array([packed(flat)])], names=["grp", "codes", "n", "ids"])
 
     return dealt.mapInArrow(each, "grp long, codes binary, n binary, ids binary")
@@ -157,41 +169,30 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """
     docs = docs.drop("ids")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = split(docs, text_col, max(8, -(-size // BUCKET_BYTES)))
-    texts = parts.filter(F.col("bucket").isNull()).select("grp", F.lit(1).alias("side"), "row", "n", "codes", F.lit(None).cast("binary").alias("ids"))
-    listed = encoded_words(parts, path).select("grp", F.lit(0).alias("side"), F.lit(None).cast(parts.schema["row"].dataType).alias("row"), "n", "codes", "ids")
-    dealt = listed.union(texts).repartition("grp").sortWithinPartitions("grp", "side")
-
-    def each(batches):
-        group, held, lengths, first, flat = None, [], None, None, None
-        for batch in batches:
-            groups, sides = batch.column("grp").to_numpy(), batch.column("side").to_numpy()
-            for k in range(batch.num_rows):
-                if groups[k] != group:
-                    group, held, lengths = groups[k], [], None
-                n, codes = (unpacked(batch.column(c)[k].as_py()) for c in ("n", "codes"))
-                if sides[k] == 0:
-                    held.append((np.cumsum(codes), n, unpacked(batch.column("ids")[k].as_py())))
-                    continue
-                if lengths is None:  # all words of the group have come
-                    code, size, flat = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (zip(*held) if held else ([], [], [])))
-                    lengths, first = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-                    lengths[code], first[code] = size, np.cumsum(size) - size
-                    held = []
-                rows, ends = batch.column("row")[k].values, np.append(0, np.cumsum(n, dtype=np.int64))
-                upto = np.append(0, np.cumsum(lengths[codes]))[ends]  # ids before each text
-                start = 0
-                while start < len(n):
-                    stop = max(start + 1, int(np.searchsorted(upto, upto[start] + IDS_AT_ONCE, side="right")) - 1)
-                    own = codes[ends[start]:ends[stop]]
-                    size, before = lengths[own], np.cumsum(lengths[own]) - lengths[own]
-                    ids = flat[np.repeat(first[own] - before, size) + np.arange(size.sum())].astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(upto[start:stop + 1] - upto[start], pa.int32()), pa.array(ids))
-                    yield pa.RecordBatch.from_arrays([rows.slice(start, stop - start), lists], names=["row", "ids"])
-                    start = stop
-
-    kind = StructType([StructField("row", parts.schema["row"].dataType.elementType), StructField("ids", ArrayType(IntegerType()))])
-    done = dealt.mapInArrow(each, kind)
+    parts = split(docs, text_col, max(8, -(-size // BUCKET_BYTES)), min(MOST_PARTS, max(8, -(-size // GROUP_BYTES))))
+    texts = parts.filter(F.col("bucket").isNull()).select("grp", "row", "n", "codes")
+    row = parts.schema["row"].dataType.elementType
+
+    def joined(words_of: pa.Table, texts_of: pa.Table) -> pa.Table:
+        """The texts of one group with the ids of its words in the places of their codes."""
+        code = [np.cumsum(unpacked(x.as_py()), dtype=np.int64) for x in words_of["codes"]]
+        size = [unpacked(x.as_py()).astype(np.int64) for x in words_of["n"]]
+        flat = np.concatenate([np.zeros(0, np.uint32), *(unpacked(x.as_py()) for x in words_of["ids"])]).astype(np.int32)
+        code, size = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (code, size))
+        lengths, first = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        lengths[code], first[code] = size, np.cumsum(size) - size
+        out = []
+        for rows, n, codes in zip(texts_of["row"], texts_of["n"], texts_of["codes"]):
+            n, codes = unpacked(n.as_py()).astype(np.int64), unpacked(codes.as_py())
+            own = lengths[codes]
+            before = np.cumsum(own) - own
+            ids = flat[np.repeat(first[codes] - before, own) + np.arange(own.sum())]
+            upto = np.append(0, np.cumsum(own))[np.append(0, np.cumsum(n))]
+            out.append(pa.table({"row": rows.values, "ids": pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids))}))
+        return pa.concat_tables(out) if out else pa.table({"row": pa.nulls(0, texts_of["row"].type.value_type), "ids": pa.nulls(0, pa.list_(pa.int32()))})
+
+    kind = StructType([StructField("row", row), StructField("ids", ArrayType(IntegerType()))])
+    done = encoded_words(parts, path).groupBy("grp").cogroup(texts.groupBy("grp")).applyInArrow(joined, kind)
     return done.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != text_col), "ids")
 
 

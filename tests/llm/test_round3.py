@@ -137,9 +137,8 @@ def test_word_table(spark, monkeypatch):
     df = spark.createDataFrame([(i % 90, t, "row", "ids", i) for i, t in enumerate(texts)], "doc_id long, text string, row string, ids string, n int").repartition(3)
     whole = Tokenizer.from_file(PATH)
     want = sorted((i % 90, i, "row", ids := whole.encode(t or "", add_special_tokens=False).ids, whole.decode(ids, skip_special_tokens=False)) for i, t in enumerate(texts))
-    for group, at_once in ((wordbpe.GROUP_BYTES, wordbpe.IDS_AT_ONCE), (2000, 50)):
+    for group in (wordbpe.GROUP_BYTES, 2000):
         monkeypatch.setattr(wordbpe, "GROUP_BYTES", group)
-        monkeypatch.setattr(wordbpe, "IDS_AT_ONCE", at_once)
         got = wordbpe.decode(wordbpe.encode(df, PATH), PATH)
         monkeypatch.setattr(wordbpe, "BUCKET_BYTES", group * 2)
         assert got.columns == ["doc_id", "row", "n", "ids", "decoded"]
