@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procuris.functions.columns import dot
+from procuris.operators.quantiles import exact_quantiles, with_quantiles
 from procuris.operators.relational import top_n, with_totals
 from procuris.sources.shared import saved
 
@@ -19,12 +20,12 @@ SIMILARITY_FEATURES = ["financial_stability", "delivery_performance", "performan
 
 def standard(rows: DataFrame, features: list[str], null_as: float | None = None) -> DataFrame:
     """Rows with z_<feature>: missing values become the median (or null_as), then distance from the mean by the population deviation; 0 where all are equal."""
-    middle = rows.agg(*((F.lit(null_as) if null_as is not None else F.percentile(c, 0.5)).cast("double").alias(f"_m_{c}") for c in features))
-    filled = rows.crossJoin(F.broadcast(middle)).withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in features})
+    middle = dict.fromkeys(features, [null_as]) if null_as is not None else exact_quantiles(rows, {c: [0.5] for c in features})
+    filled = rows.withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(middle[c][0]).cast("double")) for c in features})
     totals = {f"_{n}_{c}": f(f"_f_{c}") for c in features for n, f in (("a", F.avg), ("s", F.stddev_pop))}
     filled = with_totals(filled, **totals)
     filled = filled.withColumns({f"z_{c}": F.when(F.col(f"_s_{c}") > 1e-12, (F.col(f"_f_{c}") - F.col(f"_a_{c}")) / F.col(f"_s_{c}")).otherwise(0.0) for c in features})
-    return filled.drop(*middle.columns, *totals, *(f"_f_{c}" for c in features))
+    return filled.drop(*totals, *(f"_f_{c}" for c in features))
 
 
 def zscores(rows: DataFrame, features: list[str], edge: float = 3.5) -> DataFrame:
@@ -37,7 +38,8 @@ def zscores(rows: DataFrame, features: list[str], edge: float = 3.5) -> DataFram
 
 def rules(rows: DataFrame) -> DataFrame:
     """Five business rules, with percentiles of the whole table; reasons joined by semicolons."""
-    r = with_totals(rows, r75=F.percentile("composite_risk_score", 0.75), s90=F.percentile("spend_share", 0.9), f10=F.percentile("financial_stability", 0.1), d95=F.percentile("delivery_performance", 0.95), n=F.sum("disruption_count_30d"))
+    r = with_quantiles(rows, r75=("composite_risk_score", 0.75), s90=("spend_share", 0.9), f10=("financial_stability", 0.1), d95=("delivery_performance", 0.95))
+    r = with_totals(r, n=F.sum("disruption_count_30d"))
     risk, news = F.col("composite_risk_score"), F.coalesce("disruption_count_30d", F.lit(0))
     high = risk >= F.col("r75")
     reasons = [
@@ -125,7 +127,7 @@ def isolation_forest(rows: DataFrame, features: list[str], trees: int = 200, sam
             yield pd.DataFrame({key: pdf[key], "anomaly_score": 2.0 ** (-total / len(by_tree) / usual)})
 
     scored = clean.mapInPandas(score, f"{key} {rows.schema[key].dataType.simpleString()}, anomaly_score double")
-    return with_totals(scored, _cut=F.percentile("anomaly_score", 1 - contamination)).select(key, "anomaly_score", (F.col("anomaly_score") > F.col("_cut")).alias("anomaly_flag"))
+    return with_quantiles(saved(scored), _cut=("anomaly_score", 1 - contamination)).select(key, "anomaly_score", (F.col("anomaly_score") > F.col("_cut")).alias("anomaly_flag"))
 
 
 def alternatives(rows: DataFrame, features: list[str], least_risk: float = 0.25, n: int = 3, most: int = 1000) -> DataFrame:

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procuris.functions.columns import edit_ratio, normal_name, token_score, tokens
+from procuris.functions.columns import edit_ratio, normal_name, token_score
 from procuris.operators.relational import top_n
+from procuris.operators.setjoin import set_pairs
 from procuris.sources.shared import saved
 
 
@@ -18,16 +19,17 @@ def score(a: str | Column, b: str | Column) -> Column:
     return F.round(F.when(F.col(a) == F.col(b), 100.0).otherwise(0.6 * token_score(a, b) + 0.4 * edit_ratio(a, b)), 2)
 
 
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of names (id, name) that share a word, each once. Names without a common word score 40 at most, under any useful threshold."""
-    l, r = (df.select(F.col("id").alias(f"{s}_id"), F.col("norm").alias(f"{s}_norm"), F.explode(tokens("norm")).alias("word")) for df, s in ((left, "left"), (right, "right")))
-    return l.join(r, "word").select("left_id", "left_norm", "right_id", "right_norm").distinct()
-
-
 def fuzzy_match(left: DataFrame, right: DataFrame, threshold: float = 60.0) -> DataFrame:
-    """For each left name the best right name of at least the threshold; (left_id, right_id, score, confidence). Ties to the least id."""
+    """For each left name the best right name of at least the threshold; (left_id, right_id, score, confidence). Ties to the least id.
+
+    A name without a common word scores 40 at most, so the threshold has to be above. From it follow the shares of words
+    that two names need to have in common, or one to hold of the other, and with these they are joined (setjoin.set_pairs).
+    """
+    if threshold <= 40:
+        raise ValueError("names without a common word can score 40: ask for more")
     left, right = (df.withColumn("norm", normal_name("name")) for df in (left, right))
-    rows = candidates(left, right).withColumn("score", score("left_norm", "right_norm")).filter(F.col("score") >= threshold)
+    share = (threshold - 0.005 - 40) / 60  # scores are rounded to two places
+    rows = set_pairs(left, right, share, share - 0.2).withColumn("score", score("left_norm", "right_norm")).filter(F.col("score") >= threshold)
     best = top_n(rows, ["left_id"], [F.desc("score"), F.asc("right_id")], 1)
     return best.select("left_id", "right_id", "score", F.when(F.col("score") >= 100, "Exact").when(F.col("score") >= 85, "High").when(F.col("score") >= 70, "Medium").otherwise("Low").alias("confidence"))
 
@@ -98,6 +100,22 @@ def duplicate_pairs(names: DataFrame, least: float = 85.0) -> DataFrame:
     return pairs.select("a", "b", "similarity").union(same)
 
 
+def near_names(left: DataFrame, right: DataFrame, least: float = 85.0) -> DataFrame:
+    """(left_id, right_id, similarity): names (id, name) of two tables with an edit ratio of at least `least`, case aside, by segment keys.
+
+    Names that are equal but for case meet by a join of their own. Null and empty names meet nothing; repeated rows count once.
+    """
+    rows = [df.select(F.col("id").alias(f"{s}_id"), F.lower("name").alias(f"{s}_norm")).filter(F.col(f"{s}_norm") != "").distinct() for s, df in (("left", left), ("right", right))]
+    same = rows[0].join(rows[1], F.col("left_norm") == F.col("right_norm"))
+    met = []
+    for probing in (0, 1):
+        one, two = (rows[i].withColumn("key", F.explode(segment_keys(f"{s}_norm", least, i == probing))) for i, s in enumerate(("left", "right")))
+        met.append(one.join(two, "key"))
+    names = ["left_id", "left_norm", "right_id", "right_norm"]
+    pairs = same.select(names).union(met[0].select(names)).union(met[1].select(names)).distinct()
+    return pairs.withColumn("similarity", F.round(edit_ratio("left_norm", "right_norm"), 2)).filter(F.col("similarity") >= least).select("left_id", "right_id", "similarity")
+
+
 def groups(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, master): the least id that pairs connect an id with.
 

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procuris.operators.quantiles import exact_quantiles
 from procuris.operators.relational import with_totals
 from procuris.sources.shared import saved
 
@@ -19,9 +20,9 @@ LEAKY = "composite_risk_score"
 
 
 def imputed(rows: DataFrame, features: list[str]) -> DataFrame:
-    """M1: medians for missing values, as doubles."""
-    rows = with_totals(rows, **{f"_m_{f}": F.percentile(f, 0.5) for f in features})
-    return rows.withColumns({f: F.coalesce(F.col(f).cast("double"), F.col(f"_m_{f}"), F.lit(0.0)) for f in features}).drop(*(f"_m_{f}" for f in features))
+    """M1: exact medians for missing values, as doubles; 0 where a column has no value."""
+    middle = exact_quantiles(rows, {f: [0.5] for f in features})
+    return rows.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(middle[f][0]), F.lit(0.0)) for f in features})
 
 
 def stratified_split(rows: DataFrame, key: str, label: str, test: float = 0.2) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from procuris.functions import params as P
 from procuris.functions.columns import alias_keys, first_category, mapped
+from procuris.operators.automaton import occurrences
+from procuris.operators.matching import near_names
 from procuris.operators.relational import keep_first, top_n
+from procuris.sources.shared import saved
 
 #: What parts words: anything but letters, digits, & and #.
 SIGNS = r"[^\p{L}\p{N}&#]+"
@@ -69,11 +72,19 @@ def match_articles(articles: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def contains_pairs(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(text_id, name_id) where either contains the other, case aside. names is checked to be small and goes to every task."""
-    if names.count() > 10_000:
-        raise ValueError("a contains join needs a small side; use match_articles for long lists of names")
-    t, n = F.lower("text"), F.lower("name")
-    return texts.join(F.broadcast(names), F.contains(t, n) | F.contains(n, t)).select("text_id", "name_id")
+    """(text_id, name_id) where either of (text_id, text) and (name_id, name) contains the other, case aside, each pair once.
+
+    Both ways are walked by an automaton: texts for the names, and names for those texts that are no longer than the
+    longest name. An empty text or name is contained in everything; null ones are in nothing.
+    """
+    found = occurrences(texts, names.select(F.col("name_id").alias("pattern_id"), F.col("name").alias("pattern"))).select("text_id", F.col("pattern_id").alias("name_id"))
+    longest = names.agg(F.max(F.length("name"))).first()[0] or 0
+    short = texts.filter(F.length("text") <= longest).select(F.col("text_id").alias("pattern_id"), F.col("text").alias("pattern"))
+    back = occurrences(names.select(F.col("name_id").alias("text_id"), F.col("name").alias("text")), short).select(F.col("pattern_id").alias("text_id"), F.col("text_id").alias("name_id"))
+    t, n = texts.select("text_id", "text").filter("text IS NOT NULL"), names.select("name_id", "name").filter("name IS NOT NULL")
+    # what is empty pairs with everything: these pairs are the result itself
+    empty = t.filter("text = ''").crossJoin(n).union(t.crossJoin(n.filter("name = ''"))).select("text_id", "name_id")
+    return found.union(back).union(empty).distinct()
 
 
 def disruption_events(articles: DataFrame, categories: dict[str, list[str]] = P.DISRUPTIONS) -> DataFrame:
@@ -88,10 +99,18 @@ def capped(events: DataFrame, most: int = 3) -> DataFrame:
     return top_n(events, ["vendor_id"], [F.desc("published_at"), F.asc("article_id")], most)
 
 
-def new_companies(texts: DataFrame, known: DataFrame, candidates: list[str]) -> DataFrame:
-    """Candidates named in texts that no known vendor bears, with mentions and a confidence from the name's length."""
-    found = texts.select(F.explode(F.filter(F.array(*map(F.lit, candidates)), lambda c: F.contains(F.lower("text"), F.lower(c)))).alias("company"))
-    rows = found.groupBy("company").agg(F.count("*").alias("mentions")).join(known.select(F.lower("supplier_name").alias("_n")), F.lower("company") == F.col("_n"), "left_anti")
+def new_companies(texts: DataFrame, known: DataFrame, candidates: DataFrame | list[str], least: float = 85.0) -> DataFrame:
+    """(company, mentions, confidence): candidates named in texts that no known vendor bears, with a confidence from the name's length.
+
+    candidates is a list or a table (company) of any length, which an automaton finds. A candidate is known if its name
+    has an edit ratio of at least `least` with a vendor's, case aside. mentions counts texts.
+    """
+    spark = texts.sparkSession
+    named = (candidates if isinstance(candidates, DataFrame) else spark.createDataFrame([(c,) for c in candidates], "company string")).select("company").filter("company <> ''").distinct()
+    hits = occurrences(texts.select(F.monotonically_increasing_id().alias("text_id"), "text"), named.select(F.col("company").alias("pattern_id"), F.col("company").alias("pattern")))
+    found = saved(hits.groupBy(F.col("pattern_id").alias("company")).agg(F.count("*").alias("mentions")))
+    like = near_names(found.select(F.col("company").alias("id"), F.col("company").alias("name")), known.select(F.col("supplier_name").alias("id"), F.col("supplier_name").alias("name")), least)
+    rows = found.join(like.select(F.col("left_id").alias("company")).distinct(), "company", "left_anti")
     return rows.withColumn("confidence", F.least(F.lit(0.95), 0.5 + F.length("company") / 50))
 
 

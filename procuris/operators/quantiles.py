@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -53,10 +54,13 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], few: int = FE
         number = typed.agg(*(F.approx_count_distinct(F.when(s.inside(), F.col(s.column))) for s in open_)).first()
         near = [s for s, n in zip(open_, number) if n <= few]
         if near:
+            counts: dict = {}  # ranks of one bracket share its values
             for s in near:
-                counts = typed.filter(s.inside()).groupBy(s.column).count().orderBy(s.column).collect()
+                bracket = (s.column, s.low, s.high)
+                if bracket not in counts:
+                    counts[bracket] = sorted((tuple(r) for r in typed.filter(s.inside()).groupBy(s.column).count().collect()), key=lambda r: (math.isnan(r[0]), r[0]))
                 upto = s.below
-                for value, n in counts:
+                for value, n in counts[bracket]:
                     upto += n
                     if s.rank < upto:
                         s.value = value
@@ -102,3 +106,17 @@ def with_quantiles(df: DataFrame, **wanted: tuple[str, float]) -> DataFrame:
         columns.setdefault(c, []).append(q)
     found = exact_quantiles(df, columns)
     return df.withColumns({n: F.lit(found[c][columns[c].index(q)]).cast("double") for n, (c, q) in new.items()})
+
+
+def grouped_quantiles(df: DataFrame, group: str, column: str, wanted: dict[str, float], most: int = 1000) -> DataFrame:
+    """(group, ...): exact quantiles of a column for each of at most `most` groups, by name; null for a group without a value.
+
+    A group's values are a column of their own, so that a group of any size goes through the same passes.
+    """
+    names = [r[0] for r in df.select(group).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"over {most} groups: their percentiles fit into tasks, take F.percentile")
+    own = df.select(*(F.when(F.col(group).eqNullSafe(F.lit(g)), F.col(column).cast("double")).alias(f"g{i}") for i, g in enumerate(names)))
+    found = exact_quantiles(own, {f"g{i}": list(wanted.values()) for i in range(len(names))}) if names else {}
+    kind = df.select(group).schema.fields[0].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(g, *found[f"g{i}"]) for i, g in enumerate(names)], ", ".join([f"{group} {kind}", *(f"{n} double" for n in wanted)]))

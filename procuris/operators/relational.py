@@ -10,9 +10,6 @@ from pyspark.sql.window import Window
 
 from procuris.sources.shared import saved
 
-#: Ranges that a global order is parted into, so that no task holds all rows.
-RANGES = 64
-
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order, which should be total."""
@@ -77,28 +74,27 @@ def id_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
                     F.count_if(F.col("_r").isNull()).alias("only_left"), F.count_if(F.col("_l").isNull()).alias("only_right"))
 
 
-def running(df: DataFrame, value: str, tie: str, amount: Column | None = None, ranges: int = RANGES) -> DataFrame:
-    """Df with row_rank and running, rank and inclusive sum of amount by falling value, then rising tie.
+def running(df: DataFrame, value: str, tie: str, amount: Column | None = None, ranges: int | None = None) -> DataFrame:
+    """Df with row_rank and running, rank and inclusive sum of amount by falling value, then rising tie. Nulls come last.
 
-    The order is global but no task sorts all rows: approximate quantiles of the value part them into ranges, the
-    ranges' counts and sums are added up (a row for each range), and rows are ranked inside their range. Equal values
-    share a range, so the result is exact whatever the quantiles are. Null values come last. df is saved first, as it
-    is read three times.
+    The order is global but no task sorts all rows: sampled splitters of (value, tie) part the rows into ranges, so that
+    rows of one value, or without one, are parted too; the ranges' counts and sums are added up (a row for each range),
+    and rows are ranked inside their range. Only rows alike in both stay together. df and its ranges are saved, as they
+    are read more than once; ranges are as many as shuffles have, or as asked.
     """
     df = saved(df)
+    names, order = df.columns, [F.desc_nulls_last(value), F.asc_nulls_first(tie)]
     amount = F.col(value).cast("decimal(38,2)") if amount is None else amount
-    cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
-    bounds = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    part = F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col(value))))
-    rows = df.withColumn("_part", part).withColumn("_amount", amount)
+    dealt = df.withColumn("_amount", amount)
+    dealt = dealt.repartitionByRange(ranges, *order) if ranges else dealt.repartitionByRange(*order)
+    rows = saved(dealt.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), df)
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
     sums = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.coalesce(F.sum("_amount"), F.lit(0)).alias("_sum"))
-    ahead = Window.orderBy(F.desc("_part"))  # one row a range
+    ahead = Window.orderBy("_part")  # one row a range
     sums = sums.select("_part", (F.sum("_n").over(ahead) - F.col("_n")).alias("_before"), (F.sum("_sum").over(ahead) - F.col("_sum")).alias("_base"))
-    inside = Window.partitionBy("_part").orderBy(F.desc_nulls_last(value), F.asc(tie))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(F.broadcast(sums), "_part")
-    return rows.withColumns({"row_rank": F.col("_before") + F.row_number().over(inside),
-                             "running": F.col("_base") + F.coalesce(F.sum("_amount").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))}).drop(
-        "_part", "_amount", "_before", "_base")
+    return rows.select(*names, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias("row_rank"), (F.col("_base") + F.coalesce(F.sum("_amount").over(inside), F.lit(0))).alias("running"))
 
 
 def with_totals(df: DataFrame, **totals: Column) -> DataFrame:

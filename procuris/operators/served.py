@@ -6,18 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procuris.functions.columns import tokens, total
+from procuris.operators.automaton import occurrences
 from procuris.operators.relational import top_n, with_totals
 
 
 def find_names(names: DataFrame, asked: DataFrame, order: str = "id") -> DataFrame:
-    """(question, id): for each asked part of a name (question, part) the first of names (id, name) that holds it, case aside.
+    """(question, id): for each asked part of a name (question, part) the first of names (id, name) by `order` that holds it, case aside.
 
-    asked is checked to be small and goes to every task.
+    Any number of parts is found, by an automaton. An empty part is held by every name that is not null.
     """
-    if asked.count() > 10_000:
-        raise ValueError("more than 10,000 parts of names at once")
-    hits = names.join(F.broadcast(asked), F.contains(F.lower("name"), F.lower("part")))
-    return hits.groupBy("question").agg(F.min_by("id", order).alias("id"))
+    ranked = names.filter("name IS NOT NULL").select("id", "name", F.col(order).alias("place"))
+    hits = occurrences(ranked.select(F.struct("id", "place").alias("text_id"), F.col("name").alias("text")), asked.select(F.col("question").alias("pattern_id"), F.col("part").alias("pattern")))
+    first = F.min_by("text_id.id", "text_id.place").alias("id")
+    found = hits.groupBy(F.col("pattern_id").alias("question")).agg(first)
+    whole = ranked.agg(F.min_by("id", "place").alias("id")).filter("id IS NOT NULL")
+    return found.union(asked.filter("part = ''").select("question").distinct().crossJoin(F.broadcast(whole)))
 
 
 def similar_names(names: DataFrame, asked: DataFrame, least: int = 3, most: int = 4) -> DataFrame:

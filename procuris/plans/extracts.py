@@ -9,6 +9,7 @@ from procuris.operators import matching as M
 from procuris.operators import news as N
 from procuris.operators import quality as Q
 from procuris.operators import relational as R
+from procuris.operators.automaton import occurrences
 from procuris.plans.delivery import risk_case
 from procuris.plans.registry import query
 from procuris.plans.tables import listed, sql
@@ -224,3 +225,32 @@ def combined_spend(spark, d):
     own = C.read(spark, d, "supplier").select(F.col("s_suppkey").alias("vendor_id"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_acctbal")).alias("spend"))
     other = C.read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("vendor_id")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("spend"))
     return R.combine_first(own, other, "vendor_id", ["spend"])
+
+
+KEYS = "keys AS (SELECT min(doc_id) AS name_id, regexp_extract(text, '[A-Za-z]{6,}') AS name FROM documents WHERE length(regexp_extract(text, '[A-Za-z]{6,}')) >= 6 GROUP BY 2)"
+
+
+def _keys(docs):
+    """Names to look for: the first long word of each text, under its least document."""
+    word = F.regexp_extract("text", "[A-Za-z]{6,}", 0)
+    return docs.select("doc_id", word.alias("name")).filter(F.length("name") >= 6).groupBy("name").agg(F.min("doc_id").alias("name_id"))
+
+
+@query(sql(KEYS, select="SELECT name_id, count(DISTINCT doc_id) AS texts FROM documents JOIN keys ON contains(lower(text), lower(name)) GROUP BY 1"))
+def name_occurrences(spark, d):
+    """How many whole texts hold each of the names, wherever in a word."""
+    docs = C.read(spark, d, "documents").select("doc_id", "text")
+    hits = occurrences(docs.withColumnRenamed("doc_id", "text_id"), _keys(docs).select(F.col("name_id").alias("pattern_id"), F.col("name").alias("pattern")))
+    return hits.groupBy(F.col("pattern_id").alias("name_id")).agg(F.count("*").alias("texts"))
+
+
+@query(sql(KEYS, """known AS (SELECT CASE WHEN name_id % 2 = 0 THEN name ELSE name || 's' END AS name FROM keys WHERE name_id % 3 = 0)""",
+           "found AS (SELECT name AS company, count(DISTINCT doc_id) AS mentions FROM documents JOIN keys ON contains(lower(text), lower(name)) GROUP BY 1)",
+           """fresh AS (SELECT * FROM found WHERE NOT EXISTS (SELECT 1 FROM known k WHERE round((1 - levenshtein(lower(company), lower(k.name)) / greatest(length(company), length(k.name))::DOUBLE) * 100, 2) >= 85))""",
+           select="SELECT company, mentions, least(0.95::DOUBLE, 0.5::DOUBLE + length(company) / 50.0::DOUBLE) AS confidence FROM fresh"))
+def unknown_companies(spark, d):
+    """Names in whole texts, of which those go that a known one nearly equals; of the names a third are known, half of them with a letter more."""
+    docs = C.read(spark, d, "documents").select("doc_id", "text")
+    names = _keys(docs)
+    known = names.filter("name_id % 3 = 0").select(F.when(F.col("name_id") % 2 == 0, F.col("name")).otherwise(F.concat("name", F.lit("s"))).alias("supplier_name"))
+    return N.new_companies(docs.select("text"), known, names.select(F.col("name").alias("company")))

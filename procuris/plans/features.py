@@ -9,6 +9,7 @@ from procuris.functions.columns import total
 from procuris.operators import delivery as D
 from procuris.operators import features as X
 from procuris.operators import spend as S
+from procuris.operators.quantiles import grouped_quantiles
 from procuris.operators.relational import missing_share, with_totals
 from procuris.plans.delivery import BASE_RISK, OTIF, STABILITY, base_risk, risk_case
 from procuris.plans.registry import query
@@ -213,7 +214,8 @@ def missing_values(spark, d):
 @query("""SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.1), 4) AS p10, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.95), 4) AS p95 FROM orders GROUP BY 1""")
 def price_percentiles(spark, d):
     """A10, A11."""
-    return C.read(spark, d, "orders").groupBy("o_orderpriority").agg(*(F.round(F.percentile("o_totalprice", q), 4).alias(n) for q, n in ((0.1, "p10"), (0.5, "median"), (0.95, "p95"))))
+    rows = grouped_quantiles(C.read(spark, d, "orders"), "o_orderpriority", "o_totalprice", {"p10": 0.1, "median": 0.5, "p95": 0.95})
+    return rows.select("o_orderpriority", *(F.round(n, 4).alias(n) for n in ("p10", "median", "p95")))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS orders FROM orders GROUP BY 1, 2")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from procuris.operators import explain as E
 from procuris.operators import models as M
+from procuris.operators import shapley as S
 from procuris.plans.features import matrix
 from procuris.plans.registry import query
 from procuris.sources import curate as C
@@ -38,6 +40,26 @@ def feature_importance(spark, d):
     return M.importances(M.classifier("forest", LINES, "risk_label_3class", trees=200).fit(rows), LINES, spark)
 
 
+@query("SELECT count(*) AS rows, count(*) AS additive, count(*) AS as_predicted FROM lineitem")
+def forest_shapley(spark, d):
+    """M17 for a fitted forest: lines whose contributions add up to their chance less the mean, and whose chance is the model's own."""
+    rows = _lines(spark, d)
+    model = M.classifier("forest", LINES, "risk_label_3class", trees=20).fit(M.balanced(M.imputed(rows, LINES), "risk_label_3class"))
+    explained = S.forest_shapley(model.stages[-1], rows, LINES)
+    told = model.transform(rows.withColumn("weight", F.lit(1.0))).select("vendor_id", F.array_max(vector_to_array("probability")).alias("chance"))
+    total = F.aggregate("contributions", F.lit(0.0), lambda s, x: s + x)
+    return explained.join(told, "vendor_id").agg(F.count("*").alias("rows"), F.count_if(F.abs(total + F.col("expected") - F.col("prediction")) < 1e-9).alias("additive"), F.count_if(F.abs(F.col("chance") - F.col("prediction")) < 1e-9).alias("as_predicted"))
+
+
+@query()
+def shapley_drivers(spark, d):
+    """Mean size of each feature's contribution to the chance of a high price, and of how many lines it is the first driver."""
+    rows = _lines(spark, d)
+    model = M.classifier("forest", LINES, "risk_label_3class", trees=20).fit(M.balanced(M.imputed(rows, LINES), "risk_label_3class"))
+    long = S.contributions_long(S.forest_shapley(model.stages[-1], rows, LINES, of=0), LINES)
+    return long.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_size"), F.count_if(F.col("driver") == 1).alias("first_of"))
+
+
 @query()
 def text_classifier(spark, d):
     """M6: languages of documents from words and pairs of words, learned from four fifths of them and told of the rest."""

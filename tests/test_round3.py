@@ -11,7 +11,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
-from procuris.operators import automaton, quantiles, shapley
+from procuris.functions.columns import edit_ratio
+from procuris.operators import automaton, matching, news, quantiles, relational, served, setjoin, shapley
 
 FEATURES = ["a", "b", "c", "d"]
 
@@ -96,3 +97,81 @@ def test_quantiles_are_exact(spark, few):
     assert quantiles.exact_quantiles(df.limit(0), {"x": [0.5]}) == {"x": [None]}
     one = quantiles.with_quantiles(df, m=("x", 0.5), n=("x", 0.9)).first()
     assert one["m"] == want["x"][3] and one["n"] == rows[0][4] or one["n"] in [x[4] for x in rows]
+
+
+def names_of(n, seed):
+    r = random.Random(seed)
+    words = ["acme", "global", "steel", "trade", "north", "delta", "omega", "parts", "labs", "works"]
+    return [(i, " ".join(["germany"] * (i % 2) + r.sample(words, r.randint(1, 4))) + r.choice(["", "x", f" {i}"])) for i in range(n)]
+
+
+@pytest.mark.parametrize("least, contained", [(0.75, 0.55), (0.4, 0.2), (0.1667, -0.03)])
+def test_set_pairs_miss_none(spark, least, contained):
+    left, right = (spark.createDataFrame(names_of(90, s) + [(200, ""), (201, None)], "id long, norm string") for s in (1, 2))
+    got = [tuple(r) for r in setjoin.set_pairs(left, right, least, contained).select("left_id", "right_id", "left_norm", "right_norm").collect()]
+    assert len(got) == len(set(got))
+    found, shared = {(a, b) for a, b, *_ in got}, 0
+    for i, x in names_of(90, 1):
+        for j, y in names_of(90, 2):
+            a, b = set(x.split()), set(y.split())
+            shared += bool(a & b)
+            likeness = len(a & b) / len(a | b)
+            if a & b and (likeness >= least or ((a <= b or b <= a) and min(len(a), len(b)) / max(len(a), len(b)) >= contained)):
+                assert (i, j) in found
+    assert len(found) < shared and (least < 0.5 or len(found) < shared / 10)  # half of the names hold one common word
+
+
+@pytest.mark.parametrize("threshold", [45.0, 60.0, 85.0])
+def test_fuzzy_match_is_the_nested_loop(spark, threshold):
+    left, right = (spark.createDataFrame(names_of(60, s), "id long, name string") for s in (3, 4))
+    got = {(r["left_id"], r["right_id"], r["score"]) for r in matching.fuzzy_match(left, right, threshold).collect()}
+    pairs = left.select(F.col("id").alias("l"), F.col("name").alias("ln")).crossJoin(right.select(F.col("id").alias("r"), F.col("name").alias("rn")))
+    best = {}
+    for r in pairs.withColumns({"ln": matching.normal_name("ln"), "rn": matching.normal_name("rn")}).withColumn("score", matching.score("ln", "rn")).filter(F.col("score") >= threshold).collect():
+        best[r["l"]] = min(best.get(r["l"], (0, 0)), (-r["score"], r["r"]))
+    assert got == {(i, j, -s) for i, (s, j) in best.items()}
+    with pytest.raises(ValueError):
+        matching.fuzzy_match(left, right, 40)
+
+
+def test_near_names(spark):
+    left, right = (spark.createDataFrame(names_of(50, s) + [(99, None), (98, ""), (97, "Acme Steel"), (97, "Acme Steel")], "id long, name string") for s in (5, 6))
+    got = {(r["left_id"], r["right_id"], r["similarity"]) for r in matching.near_names(left, right, 80).collect()}
+    pairs = left.select(F.col("id").alias("l"), F.lower("name").alias("a")).crossJoin(right.select(F.col("id").alias("r"), F.lower("name").alias("b"))).filter("a <> '' AND b <> ''")
+    want = {(r["l"], r["r"], r["s"]) for r in pairs.withColumn("s", F.round(edit_ratio("a", "b"), 2)).filter("s >= 80").collect()}
+    assert got == want and (97, 97, 100.0) in got
+
+
+def test_names_either_way(spark):
+    texts = spark.createDataFrame([(1, "all about acme ltd"), (2, "acm"), (3, ""), (4, None), (5, "Acme"), (5, "Acme")], "text_id long, text string")
+    names = spark.createDataFrame([(10, "ACME"), (11, "acme ltd"), (12, ""), (13, None)], "name_id long, name string")
+    got = sorted((r["text_id"], r["name_id"]) for r in news.contains_pairs(texts, names).collect())
+    assert got == [(1, 10), (1, 11), (1, 12), (2, 10), (2, 11), (2, 12), (3, 10), (3, 11), (3, 12), (5, 10), (5, 11), (5, 12)]
+    people = spark.createDataFrame([(3, "Acme Steel"), (1, "acme works"), (2, "Delta"), (4, None)], "id long, name string")
+    asked = spark.createDataFrame([("q", "ACME"), ("r", "none"), ("s", ""), ("t", None)], "question string, part string")
+    assert sorted((r["question"], r["id"]) for r in served.find_names(people, asked).collect()) == [("q", 1), ("s", 1)]
+    found = news.new_companies(texts.select("text"), spark.createDataFrame([("Acme Ltda",)], "supplier_name string"), ["Acme Ltd", "about", "gone"]).collect()
+    assert [(r["company"], r["mentions"]) for r in found] == [("about", 1)]
+
+
+def test_running_parts_ties(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, 5.0 if i % 10 else float(r.integers(100)), int(r.integers(50))) for i in range(4000)] + [(i, None, 1) for i in range(4000, 5000)]
+    df = spark.createDataFrame(rows, "id long, v double, m long").repartition(4)
+    got = relational.running(df, "v", "id", F.col("m"), ranges=8)
+    assert got.columns == ["id", "v", "m", "row_rank", "running"]
+    have = {x["id"]: (x["row_rank"], x["running"]) for x in got.collect()}
+    total = 0
+    for n, (i, _, m) in enumerate(sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0])), 1):
+        total += m
+        assert have[i] == (n, total)
+    sizes = [x["count"] for x in df.repartitionByRange(8, F.desc_nulls_last("v"), F.asc_nulls_first("id")).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * len(rows) / 8
+
+
+def test_grouped_quantiles(spark):
+    rows = [("a" if i % 3 else None, float(i * i % 101)) for i in range(200)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {r["g"]: (r["lo"], r["hi"]) for r in df.groupBy("g").agg(F.percentile("v", 0.25).alias("lo"), F.percentile("v", 0.9).alias("hi")).collect()}
+    assert {r["g"]: (r["lo"], r["hi"]) for r in quantiles.grouped_quantiles(df, "g", "v", {"lo": 0.25, "hi": 0.9}).collect()} == want
+    assert not math.isnan(want["a"][0])
