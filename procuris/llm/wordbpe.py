@@ -18,8 +18,8 @@ from procuris.llm.common import at_exit, runs, shared_dir, slices, table, words
 #: Bytes of text whose words are numbered together; a single longer text has a group of its own. Bytes of text for each
 #: bucket of words, so that a bucket holds the words of some groups at most.
 GROUP_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
-#: Words that the tokenizer takes at a time; the most buckets of groups that a table has.
-WORDS_AT_ONCE, MOST_PARTS = 4096, 100_000
+#: Words that the tokenizer takes at a time; ids whose pieces are put together at a time, besides a longer text's; the most buckets of groups that a table has.
+WORDS_AT_ONCE, IDS_AT_ONCE, MOST_PARTS = 4096, 1 << 18, 100_000
 #: How hard codes and words are squeezed, as they are written and shuffled.
 LEVEL = 9
 _loaded: dict = {}
@@ -97,21 +97,22 @@ def split(docs: DataFrame, text_col: str, buckets: int, parts: int) -> DataFrame
             if not held:
                 return
             row_type = pa.list_(held[0][0].type)
-            names = np.array(list(known), object)
+            names = pa.array(list(known), pa.string())
+            known.clear()
             count = np.zeros(len(names), np.int64)
             for _, _, codes in held:
                 count += np.bincount(codes, minlength=len(names))
-            order = sorted(range(len(names)), key=lambda i: (-count[i], names[i]))
-            rank = np.empty(len(names), np.int64)
-            rank[order] = np.arange(len(names))
+            order = pc.sort_indices(pa.table({"n": count, "w": names}), [("n", "descending"), ("w", "ascending")]).to_numpy()
+            rank = np.empty(len(names), np.uint32)
+            rank[order] = np.arange(len(names), dtype=np.uint32)
             for rows, n, codes in held:
                 yield pa.RecordBatch.from_arrays([pa.array([group]), pa.nulls(1, pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows).cast(row_type),
                                                   pa.array([packed(n)]), pa.array([packed(rank[codes])]), pa.nulls(1, pa.binary())], names=kind.names)
-            names = names[order]
-            where = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in names), np.int64, len(names))
+            names = names.take(pa.array(order)).cast(pa.binary())
+            where = np.fromiter((crc32(w.as_py()) % buckets for w in names), np.int64, len(names))
             for bucket in np.unique(where).tolist():
                 at = np.flatnonzero(where == bucket)
-                words_of = "\n".join(names[at].tolist()).encode("utf-8", "surrogatepass")
+                words_of = b"\n".join(names.take(pa.array(at)).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([bucket], pa.int32()), pa.nulls(1, row_type), pa.nulls(1, pa.binary()),
                                                   pa.array([packed(np.diff(at, prepend=0))]), pa.array([squeezed(words_of)])], names=kind.names)
 
@@ -213,13 +214,19 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
         named = pa.array(shared.value, pa.string())
         there = named.is_valid().to_numpy(zero_copy_only=False)
         for batch in batches:
-            lists = batch.column(ids_col)
-            size, ids = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64), pc.fill_null(lists.flatten(), -1).to_numpy().astype(np.int64)
-            known = (ids >= 0) & (ids < len(there))
-            known[known] = there[ids[known]]
-            upto = np.append(0, np.cumsum(known))[np.append(0, np.cumsum(size))]
-            found = pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), named.take(pa.array(ids[known])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pc.binary_join(found, " ").cast(pa.string())], names=[*names, out_col])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(ids_col)), 0).to_numpy(), dtype=np.int64)
+            start = 0
+            while start < batch.num_rows:  # some rows at a time: pieces take more room than ids
+                before = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + IDS_AT_ONCE, side="right")))
+                part = batch.slice(start, stop - start)
+                ids = pc.fill_null(part.column(ids_col).flatten(), -1).to_numpy()
+                known = (ids >= 0) & (ids < len(there))
+                known[known] = there[ids[known]]
+                upto = np.append(0, np.cumsum(known))[np.append(0, ends[start:stop] - before)]
+                found = pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), named.take(pa.array(ids[known])))
+                yield pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(found, " ").cast(pa.string())], names=[*names, out_col])
+                start = stop
 
     return base.mapInArrow(each, StructType([*base.schema.fields, StructField(out_col, StringType())]))
 

@@ -139,6 +139,7 @@ def test_word_table(spark, monkeypatch):
     want = sorted((i % 90, i, "row", ids := whole.encode(t or "", add_special_tokens=False).ids, whole.decode(ids, skip_special_tokens=False)) for i, t in enumerate(texts))
     for group in (wordbpe.GROUP_BYTES, 2000):
         monkeypatch.setattr(wordbpe, "GROUP_BYTES", group)
+        monkeypatch.setattr(wordbpe, "IDS_AT_ONCE", max(50, group >> 4))
         got = wordbpe.decode(wordbpe.encode(df, PATH), PATH)
         monkeypatch.setattr(wordbpe, "BUCKET_BYTES", group * 2)
         assert got.columns == ["doc_id", "row", "n", "ids", "decoded"]
