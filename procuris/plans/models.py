@@ -140,13 +140,14 @@ def stream_daily(spark, d):
 @query(f"WITH {EVENTS}, w AS (SELECT *, date_trunc('day', ts) + INTERVAL (k) DAY AS window_end FROM f, range(1, 31) t(k)) SELECT CAST(window_end AS TIMESTAMP) AS window_end, vendor_id, count(*) AS articles, count(CASE WHEN disruption_flag THEN 1 END) AS disruptions FROM w GROUP BY 1, 2")
 def stream_rolling_signals(spark, d):
     """E2."""
-    return feeds.drained(feeds.rolling_signals(_feed(spark, d)), _folder(spark), "complete").withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+    rows = feeds.kept(feeds.rolling_panes(_feed(spark, d)), _folder(spark), ["window_end", "vendor_id"], ["articles"])
+    return rows.withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
 
 
 @query(f"WITH {EVENTS}, w AS (SELECT *, date_trunc('day', ts) + INTERVAL (k) DAY AS window_end FROM f, range(1, 31) t(k)), s AS (SELECT window_end, vendor_id, count(*) AS articles, count(CASE WHEN disruption_flag THEN 1 END) AS disruptions FROM w GROUP BY 1, 2) SELECT CAST(max(window_end) AS TIMESTAMP) AS window_end, vendor_id, max_by(disruptions, window_end) AS disruptions FROM s WHERE disruptions >= 2 GROUP BY vendor_id")
 def stream_alerts(spark, d):
     """E5: of each vendor the latest window with two disruptions or more, upserted batch by batch."""
-    rows = feeds.kept(feeds.alerts(feeds.rolling_signals(_feed(spark, d)), 2), _folder(spark), ["vendor_id"], ["window_end", "disruptions"])
+    rows = feeds.kept(feeds.alerts(feeds.rolling_panes(_feed(spark, d)), 2), _folder(spark), ["vendor_id"], ["window_end", "disruptions"])
     return rows.select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "vendor_id", "disruptions")
 
 
@@ -162,3 +163,33 @@ def stream_sessions(spark, d):
     """E4."""
     rows = feeds.drained(feeds.episodes(_feed(spark, d)), _folder(spark), "complete")
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("begins", "ends")})
+
+
+#: The feed in three deliveries, of which the last ones bring events of all days once more.
+PARTS = 3
+
+
+def _delivered(spark, d, take):
+    """Run take(feed, folder) after each of the deliveries, which a folder gathers, and return what the last run gives."""
+    like, folder, out = C.read(spark, d, "events"), _folder(spark), None
+    for n in range(PARTS):
+        like.filter(F.pmod("event_id", F.lit(PARTS)) == n).write.mode("append").parquet(f"{folder}/in")
+        rows = feeds.as_stream(spark, f"{folder}/in", "*.parquet", like, None)
+        out = take(rows.select("ts", (F.col("user_id") % 100).alias("vendor_id"), (F.col("event_type") == "error").alias("disruption_flag"), F.col("event_id").cast("string").alias("url")), folder)
+    return out
+
+
+DELIVERIES_IN = f"e AS (SELECT ts, event_id % {PARTS} AS batch, event_type = 'error' AS disruption_flag FROM events), marks AS (SELECT batch, count(*) AS rows, max(ts) AS latest FROM e GROUP BY 1), w AS (SELECT batch, rows, max(latest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS watermark FROM marks)"
+
+
+@query(f"WITH {DELIVERIES_IN} SELECT CAST(w.batch AS BIGINT) AS batch, any_value(w.rows) AS rows, count(CASE WHEN date_trunc('day', ts) + INTERVAL 1 DAY <= watermark THEN 1 END) AS late_rows, CAST(any_value(watermark) AS TIMESTAMP) AS watermark FROM w JOIN e ON e.batch = w.batch GROUP BY 1")
+def stream_late_rows(spark, d):
+    """Rows behind the watermark in each of three deliveries of the feed, counted across runs that go on from one checkpoint."""
+    return _delivered(spark, d, feeds.late_account).withColumn("watermark", F.col("watermark").cast("timestamp_ntz"))
+
+
+@query(f"WITH {DELIVERIES_IN}, day AS (SELECT date_trunc('day', ts) AS day, count(*) AS disruptions FROM e JOIN w USING (batch) WHERE disruption_flag AND (watermark IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > watermark) GROUP BY 1) SELECT CAST(day AS TIMESTAMP) AS day, disruptions FROM day WHERE day + INTERVAL 1 DAY <= (SELECT max(latest) - INTERVAL 1 DAY FROM marks)")
+def stream_closed_days(spark, d):
+    """Disruptions of days that the watermark has closed, each put out once; late rows are left out and closed days leave the state."""
+    rows = _delivered(spark, d, lambda feed, folder: feeds.drained(feeds.daily_counts(feed), folder))
+    return rows.withColumn("day", F.col("day").cast("timestamp_ntz"))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from procuris.operators.relational import latest_per_key
 
+DAY_MS = 86_400_000
 
-def as_stream(spark: SparkSession, folder: str, pattern: str, like: DataFrame, per_trigger: int = 1) -> DataFrame:
-    """Parquet files of a folder as a stream, with ts cast to a timestamp, which watermarks need."""
-    rows = spark.readStream.schema(like.schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+
+def as_stream(spark: SparkSession, folder: str, pattern: str, like: DataFrame, per_trigger: int | None = 1) -> DataFrame:
+    """Parquet files of a folder as a stream, with ts cast to a timestamp, which watermarks need; per_trigger None takes all new files at once."""
+    reader = spark.readStream.schema(like.schema).option("pathGlobFilter", pattern)
+    rows = (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -25,6 +31,71 @@ def rolling_signals(feed: DataFrame, length: str = "30 days", step: str = "1 day
     return rows.agg(F.count("*").alias("articles"), F.count_if("disruption_flag").alias("disruptions")).select(F.col("window.end").alias("window_end"), "vendor_id", "articles", "disruptions")
 
 
+class Panes(StatefulProcessor):
+    """Articles and disruptions of one vendor by day, from which all windows that a day is in are summed.
+
+    A pane is one day's counts. Panes that no open window holds any more go as the watermark moves, by a timer too where
+    a vendor falls silent, so a vendor has about `days` of them and those that the feed may still be late by.
+    """
+
+    def __init__(self, days: int):
+        self.days = days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.panes = handle.getMapState("panes", "day long", "articles long, disruptions long")
+
+    def forget(self, watermark_ms: int) -> None:
+        """Drop panes of days that only closed windows hold."""
+        oldest = watermark_ms // DAY_MS - self.days
+        for (day,) in list(self.panes.keys()):
+            if day < oldest:
+                self.panes.removeKey((day,))
+
+    def handleInputRows(self, key, rows, timers):
+        added: dict[int, list[int]] = {}
+        for pdf in rows:
+            day = pdf["ts"].astype("datetime64[s]").astype("int64") // 86_400
+            sums = pdf.assign(day=day).groupby("day")["disruption_flag"].agg(["size", "sum"])
+            for d, n, m in sums.itertuples():
+                own = added.setdefault(int(d), [0, 0])
+                own[0] += int(n)
+                own[1] += int(m)
+        for d, (n, m) in added.items():
+            old = self.panes.getValue((d,)) if self.panes.containsKey((d,)) else (0, 0)
+            self.panes.updateValue((d,), (old[0] + n, old[1] + m))
+        known = {k[0]: v for k, v in self.panes.iterator()}
+        ends = sorted({d + k for d in added for k in range(1, self.days + 1)})
+        inside = [[known[d] for d in range(e - self.days, e) if d in known] for e in ends]
+        out = pd.DataFrame({"window_end": pd.to_datetime(np.array(ends, "int64"), unit="D").astype("datetime64[ns]"), "vendor_id": key[0], "articles": [sum(n for n, _ in x) for x in inside], "disruptions": [sum(m for _, m in x) for x in inside]})
+        watermark = timers.getCurrentWatermarkInMs()
+        if watermark > 0:
+            self.forget(watermark)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+        self.handle.registerTimer((max(known) + self.days + 1) * DAY_MS)  # by then no open window holds any of them
+        yield out
+
+    def handleExpiredTimer(self, key, timers, expired):
+        self.panes.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def rolling_panes(feed: DataFrame, days: int = 30, late: str = "1 day") -> DataFrame:
+    """Articles and disruptions of each vendor in windows of `days` that end at each midnight, as updates: of one window and vendor the row of most articles is the newest.
+
+    An event is shuffled and kept once, in the pane of its day, and not once for each window. The session takes the
+    RocksDB state store, which keyed processors need.
+    """
+    feed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = feed.withWatermark("ts", late).select("vendor_id", "ts", F.coalesce("disruption_flag", F.lit(False)).alias("disruption_flag")).groupBy("vendor_id")
+    kind = f"window_end timestamp, vendor_id {feed.schema['vendor_id'].dataType.simpleString()}, articles long, disruptions long"
+    return rows.transformWithStateInPandas(Panes(days), kind, "Update", "EventTime")
+
+
 def daily_counts(feed: DataFrame, late: str = "1 day") -> DataFrame:
     """Disruptions of each day."""
     rows = feed.withWatermark("ts", late).filter("disruption_flag").groupBy(F.window("ts", "1 day"))
@@ -75,6 +146,34 @@ def kept(stream: DataFrame, folder: str, keys: list[str], order: list[str]) -> D
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out/v{max(done)}") if done else stream.sparkSession.createDataFrame([], stream.schema)
 
 
+def late_account(feed: DataFrame, folder: str, late: str = "1 day", window: str = "1 day") -> DataFrame:
+    """(batch, rows, late_rows, watermark): for each batch of a feed how many of its rows are behind the watermark, that is of a window that had closed before.
+
+    The watermark of a batch is the newest time of the batches before less `late`, as the engine has it; it is read from
+    the account itself, so a run that goes on from the checkpoint, or a batch that runs again, counts the same.
+    """
+    spark, path = feed.sparkSession, f"{folder}/account"
+    kind = "batch long, rows long, late_rows long, watermark timestamp, latest timestamp"
+
+    def write(batch: DataFrame, n: int) -> None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+        before = spark.read.schema(kind).parquet(f"{path}/batch-*").filter(F.col("batch") < n) if there else spark.createDataFrame([], kind)
+        mark = before.agg((F.max("latest") - F.expr(f"INTERVAL {late}")).alias("watermark"))  # one row
+        closed = F.window("ts", window)["end"] <= F.col("watermark")
+        rows = batch.select("ts").crossJoin(F.broadcast(mark))
+        one = rows.agg(F.count("*").alias("rows"), F.count_if(closed).alias("late_rows"), F.max("watermark").alias("watermark"), F.max("ts").alias("latest"))
+        one.select(F.lit(n).cast("long").alias("batch"), "rows", "late_rows", "watermark", "latest").write.mode("overwrite").parquet(f"{path}/batch-{n}")
+
+    feed.writeStream.option("checkpointLocation", f"{folder}/account-state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(kind).parquet(f"{path}/batch-*").drop("latest") if _exists(spark, path) else spark.createDataFrame([], kind).drop("latest")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over what there is and read its result back; folder is shared by driver and executors."""
     sink = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)

@@ -175,3 +175,41 @@ def test_grouped_quantiles(spark):
     want = {r["g"]: (r["lo"], r["hi"]) for r in df.groupBy("g").agg(F.percentile("v", 0.25).alias("lo"), F.percentile("v", 0.9).alias("hi")).collect()}
     assert {r["g"]: (r["lo"], r["hi"]) for r in quantiles.grouped_quantiles(df, "g", "v", {"lo": 0.25, "hi": 0.9}).collect()} == want
     assert not math.isnan(want["a"][0])
+
+
+def test_panes_over_deliveries_are_the_batch_windows(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from procuris.streaming import feeds
+
+    r = np.random.default_rng(4)
+    begin = datetime(2024, 1, 1)
+    rows = [(begin + timedelta(hours=float(h)), int(v), bool(f), str(i)) for i, (h, v, f) in enumerate(zip(np.sort(r.uniform(0, 24 * 20, 400)), r.integers(0, 4, 400), r.integers(0, 2, 400)))]
+    kind = "ts timestamp, vendor_id long, disruption_flag boolean, url string"
+    like, folder = spark.createDataFrame([], kind), str(tmp_path)
+    for part in (rows[:150], rows[150:300], rows[300:]):
+        spark.createDataFrame(part, kind).write.mode("append").parquet(f"{folder}/in")
+        feed = feeds.as_stream(spark, f"{folder}/in", "*.parquet", like, None)
+        got = feeds.kept(feeds.rolling_panes(feed, days=3), folder, ["window_end", "vendor_id"], ["articles"])
+    want = {}
+    for ts, v, f, _ in rows:
+        for k in range(1, 4):
+            own = want.setdefault((datetime(ts.year, ts.month, ts.day) + timedelta(days=k), v), [0, 0])
+            own[0] += 1
+            own[1] += f
+    assert {(x["window_end"], x["vendor_id"]): [x["articles"], x["disruptions"]] for x in got.collect()} == want
+
+
+def test_late_rows_are_accounted_and_a_batch_that_runs_twice_counts_once(spark, tmp_path):
+    from datetime import datetime
+
+    from procuris.streaming import feeds
+
+    kind, folder = "ts timestamp, vendor_id long", str(tmp_path)
+    days = [[(datetime(2024, 1, d), 1) for d in part] for part in ([1, 2, 9], [3, 8, 9, 10], [1, 9, 12])]
+    for part in days:
+        spark.createDataFrame(part, kind).write.mode("append").parquet(f"{folder}/in")
+        feed = feeds.as_stream(spark, f"{folder}/in", "*.parquet", spark.createDataFrame([], kind), None)
+        got = feeds.late_account(feed, folder, "2 days")
+    got = feeds.late_account(feed, folder, "2 days")  # nothing new
+    assert [(r["batch"], r["rows"], r["late_rows"]) for r in got.orderBy("batch").collect()] == [(0, 3, 0), (1, 4, 1), (2, 3, 1)]
