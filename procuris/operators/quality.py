@@ -64,12 +64,12 @@ def ingest(df: DataFrame, fields: dict[str, list[str]], types: dict[str, str], r
 
 
 def match_table(found: DataFrame, catalogue: dict[str, list[str]], least: int = 2) -> DataFrame:
-    """(file, table, score): files (file, columns) by the known table of most key columns, of `least` at least; ties by name."""
+    """(file, table, score): files (file, columns) by the known table of most key columns, of `least` at least; ties go to the first name. The catalogue is the caller's list."""
     known = found.sparkSession.createDataFrame([(t, [c.upper() for c in cols]) for t, cols in catalogue.items()], "table string, keys array<string>")
     columns = F.transform("columns", lambda c: F.upper(F.trim(c)))
     rows = found.crossJoin(F.broadcast(known)).withColumn("score", F.size(F.array_intersect(columns, "keys"))).filter(F.col("score") >= least)
-    best = rows.groupBy("file").agg(F.max(F.struct("score", F.struct((-F.ascii("table")).alias("o"), "table").alias("t"))).alias("b"))
-    return best.select("file", F.col("b.t.table").alias("table"), F.col("b.score").alias("score"))
+    best = rows.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("less"), "table")).alias("b"))
+    return best.select("file", F.col("b.table").alias("table"), (-F.col("b.less")).alias("score"))
 
 
 def profile_columns(df: DataFrame, hints: dict[str, list[str]]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -109,3 +111,17 @@ def store_vectors(vectors: DataFrame, path: str, reset: bool = False) -> None:
 def log_run(spark: SparkSession, path: str, run_id: str, counts: dict[str, int], seconds: float) -> None:
     """One row for a run."""
     append(spark.createDataFrame([(run_id, counts, seconds, "ready" if counts and all(counts.values()) else "incomplete")], "run_id string, counts map<string,long>, seconds double, state string"), path)
+
+
+def logged_write(rows: DataFrame, path: str, log: str, run_id: str, **figures: Column) -> dict:
+    """Write rows and append what was observed of them on the way to the log: their count and the named figures.
+
+    Nothing is counted a second time. A run without a row is incomplete.
+    """
+    began, seen = time.time(), Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.cast("double").alias(n) for n, c in figures.items())).write.mode("overwrite").parquet(path)
+    found = seen.get
+    spark = rows.sparkSession
+    one = (run_id, {"rows": found["rows"]}, {n: found[n] for n in figures}, time.time() - began, "ready" if found["rows"] else "incomplete")
+    append(spark.createDataFrame([one], "run_id string, counts map<string,long>, figures map<string,double>, seconds double, state string"), log)
+    return found

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from procuris.operators.relational import latest_per_key
+from procuris.sources import store
 
 DAY_MS = 86_400_000
 
@@ -114,36 +114,22 @@ def alerts(signals: DataFrame, least: int) -> DataFrame:
 
 
 def upsert_into(path: str, keys: list[str], order: list[str]):
-    """E5: a foreachBatch function that keeps the newest row of each key, by `order`, in a Parquet folder: a new version for every batch.
+    """E5: a foreachBatch function that keeps the newest row of each key, by `order`, in a keyed store (sources.store): a batch rewrites the buckets that it touches.
 
     A batch that runs again after a failure writes its own version anew, from the one before.
     """
 
     def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        before = None
-        for k in range(n - 1, -1, -1):
-            where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{k}")
-            if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-                before = spark.read.schema(batch.schema).parquet(f"{path}/v{k}")
-                break
-        rows = batch if before is None else before.unionByName(batch)
-        latest_per_key(rows, keys, [F.desc_nulls_last(c) for c in order]).write.mode("overwrite").parquet(f"{path}/v{n}")
+        store.upsert(path, batch, keys, n, [F.desc_nulls_last(c) for c in order])
 
     return write
 
 
 def kept(stream: DataFrame, folder: str, keys: list[str], order: list[str]) -> DataFrame:
     """E5: run a stream of updates over what there is and read the newest row of each key; folder as in drained."""
-    done: list[int] = []
     write = upsert_into(f"{folder}/out", keys, order)
-
-    def note(batch: DataFrame, n: int) -> None:
-        write(batch, n)
-        done.append(n)
-
-    stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("update").foreachBatch(note).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out/v{max(done)}") if done else stream.sparkSession.createDataFrame([], stream.schema)
+    stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("update").foreachBatch(write).start().awaitTermination()
+    return store.stored(stream.sparkSession, f"{folder}/out", stream.schema)
 
 
 def late_account(feed: DataFrame, folder: str, late: str = "1 day", window: str = "1 day") -> DataFrame:

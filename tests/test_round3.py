@@ -213,3 +213,39 @@ def test_late_rows_are_accounted_and_a_batch_that_runs_twice_counts_once(spark,
         got = feeds.late_account(feed, folder, "2 days")
     got = feeds.late_account(feed, folder, "2 days")  # nothing new
     assert [(r["batch"], r["rows"], r["late_rows"]) for r in got.orderBy("batch").collect()] == [(0, 3, 0), (1, 4, 1), (2, 3, 1)]
+
+
+def test_store_rewrites_touched_buckets_only(spark, tmp_path):
+    import os
+
+    from procuris.sources import store
+
+    path, kind = str(tmp_path / "s"), "id long, v string, at long"
+    rows = spark.createDataFrame([(i, f"v{i}", 0) for i in range(400)], kind)
+    assert store.stored(spark, path, kind).count() == 0
+    assert len(store.upsert(path, rows, ["id"], 0, buckets=8)) == 8
+    one = store.manifest(spark, path)
+    change = spark.createDataFrame([(7, "new", 1), (1000, "more", 1), (7, "old", 0)], kind)
+    order = [F.desc("at")]
+    touched = store.upsert(path, change, ["id"], 1, order)
+    two = store.manifest(spark, path)
+    assert 1 <= len(touched) <= 2 and {b for b in two if two[b] != one[b]} == set(touched)
+    assert {n for n in os.listdir(f"{path}/data/v1") if n.startswith("_bucket")} == {f"_bucket={b}" for b in touched}
+    want = {i: f"v{i}" for i in range(400)} | {7: "new", 1000: "more"}
+    have = lambda: {r["id"]: r["v"] for r in store.stored(spark, path, kind).collect()}
+    assert have() == want
+    store.upsert(path, change, ["id"], 1, order)  # the batch runs again
+    assert have() == want and store.versions(spark, path) == [0, 1]
+    store.update(path, spark.createDataFrame([(9, None), (5000, "none")], "id long, v string"), ["id"], ["v"], kind, 2)
+    assert have() == want | {9: None}
+    assert store.upsert(path, change.limit(0), ["id"], 3) == [] and have() == want | {9: None}
+
+
+def test_logged_write_counts_on_the_way(spark, tmp_path):
+    from procuris.sources import io
+
+    rows, log = spark.range(50).select("id", (F.col("id") * 2).alias("x")), str(tmp_path / "log")
+    assert io.logged_write(rows, str(tmp_path / "a"), log, "r1", total=F.sum("x")) == {"rows": 50, "total": 2450.0}
+    io.logged_write(rows.limit(0), str(tmp_path / "b"), log, "r2", total=F.sum("x"))
+    got = {r["run_id"]: (r["counts"]["rows"], r["figures"]["total"], r["state"]) for r in spark.read.parquet(log).collect()}
+    assert got == {"r1": (50, 2450.0, "ready"), "r2": (0, None, "incomplete")}
