@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from procuris.operators import explain as E
 from procuris.operators import models as M
 from procuris.operators import shapley as S
-from procuris.plans.features import matrix
+from procuris.plans.features import FEATURES, matrix
 from procuris.plans.registry import query
+from procuris.plans.tables import sql
 from procuris.sources import curate as C
 from procuris.sources.shared import at_exit, shared_dir
 from procuris.streaming import feeds
@@ -25,14 +26,58 @@ def _lines(spark, d):
     return rows.select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("vendor_id"), *LINES, F.when(F.col("l_extendedprice") > 60000, "High").when(F.col("l_extendedprice") > 20000, "Medium").otherwise("Low").alias("risk_label_3class"))
 
 
+#: The figures that the risk models see.
+RISK_FEATURES = ["financial_stability", "delivery_performance", "profit_impact_score", "total_spend", "tx_count", "spend_share", "geo_risk_numeric", "industry_risk_numeric", "news_sentiment_30d", "disruption_count_30d", "otif_rate", "avg_delay_days",
+                 "performance_composite", "delivery_risk_numeric", "spend_concentration_flag", "news_risk_flag", "historical_risk_numeric", "active_quarters", "spend_trend_numeric", "disruption_freq_norm", "sanctioned_country", "significant_delay_flag"]
+
+
 @query()
 def risk_model(spark, d):
-    """M1 to M4: the better of two models of lines' price classes, without the price, over all lines."""
+    """M1 to M4: risk classes of all vendors by a forest of 200 trees on 22 figures, with its held-out measures over five folds."""
+    rows = matrix(spark, d)
+    folds = M.cross_validated(rows, RISK_FEATURES, "risk_label_3class").agg(F.round(F.avg("accuracy"), 4).alias("accuracy"), F.round(F.avg("f1"), 4).alias("f1"))
+    model = M.classifier("forest", RISK_FEATURES, "risk_label_3class").fit(M.balanced(M.imputed(rows, RISK_FEATURES), "risk_label_3class"))
+    told = M.predictions(model, rows, RISK_FEATURES, "vendor_id", "run-1").groupBy("predicted").agg(F.count("*").alias("rows"))
+    return told.crossJoin(F.broadcast(folds))
+
+
+@query()
+def line_model(spark, d):
+    """M1 to M4: the better of two models of lines' price classes, without the price, over all lines; smaller ones than the vendors', for more rows."""
     rows, features = _lines(spark, d), ["l_quantity", "l_discount", "l_tax"]
-    model, _ = M.best_model(rows, features, "risk_label_3class")
+    model, _ = M.best_model(rows, features, "risk_label_3class", trees=50, rounds=10)
     return M.predictions(model, rows, features, "vendor_id", "run-1").groupBy("predicted").agg(F.count("*").alias("rows"))
 
 
+#: A model that SQL can tell as well: classes of lines by their quantity.
+TOLD = "told AS (SELECT CASE WHEN l_extendedprice > 60000 THEN 'High' WHEN l_extendedprice > 20000 THEN 'Medium' ELSE 'Low' END AS label, CASE WHEN l_quantity > 40 THEN 'High' WHEN l_quantity > 12 THEN 'Medium' ELSE 'Low' END AS predicted, l_quantity / 50::DOUBLE AS high, 1 - l_quantity / 50::DOUBLE AS low, 1 - abs(l_quantity - 25) / 25::DOUBLE AS medium FROM lineitem)"
+
+
+def _told(spark, d):
+    q = F.col("l_quantity")
+    predicted = F.when(q > 40, "High").when(q > 12, "Medium").otherwise("Low")
+    return C.read(spark, d, "lineitem").select(F.when(F.col("l_extendedprice") > 60000, "High").when(F.col("l_extendedprice") > 20000, "Medium").otherwise("Low").alias("label"), predicted.alias("predicted"),
+                                               (q / 50).alias("high"), (1 - q / 50).alias("low"), (1 - F.abs(q - 25) / 25).alias("medium"))
+
+
+@query(f"""WITH {TOLD}, s AS (SELECT x AS label, count(CASE WHEN label = x AND predicted = x THEN 1 END) AS hit, count(CASE WHEN label = x THEN 1 END) AS support, count(CASE WHEN predicted = x THEN 1 END) AS told FROM told, (VALUES ('High'), ('Medium'), ('Low')) t(x) GROUP BY 1),
+r AS (SELECT label, hit / told AS precision, hit / support AS recall, 2 * hit / (told + support) AS f1, support, hit FROM s)
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM r UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(hit) / sum(support), 6), sum(support)::BIGINT FROM r UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::BIGINT FROM r
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support)::BIGINT FROM r""")
+def class_report(spark, d):
+    """M3: precision, recall and F1 of each class."""
+    rows = M.class_report(_told(spark, d), "label", "predicted")
+    return rows.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query(f"""WITH {TOLD}, x AS (SELECT 'High' AS of, high AS s, label = 'High' AS hit FROM told UNION ALL SELECT 'Low', low, label = 'Low' FROM told UNION ALL SELECT 'Medium', medium, label = 'Medium' FROM told),
+r AS (SELECT of, hit, rank() OVER (PARTITION BY of ORDER BY s) + (count(*) OVER (PARTITION BY of, s) - 1) / 2 AS rk FROM x),
+n AS (SELECT of, sum(CASE WHEN hit THEN rk END) AS ranks, count(CASE WHEN hit THEN 1 END) AS p, count(CASE WHEN NOT hit THEN 1 END) AS q FROM r GROUP BY 1) SELECT of AS label, round((ranks - p * (p + 1) / 2) / (p * q), 6) AS auc, p AS positives FROM n""")
+def multiclass_auc(spark, d):
+    """M3: each class against the rest by ranks."""
+    return M.rank_auc(_told(spark, d), "label", {"High": "high", "Low": "low", "Medium": "medium"}).withColumn("auc", F.round("auc", 6))
+
+
 @query()
 def feature_importance(spark, d):
     """M5."""
@@ -73,9 +118,18 @@ def text_classifier(spark, d):
 @query()
 def kmeans_segments(spark, d):
     """M7, M10, A23."""
-    rows = matrix(spark, d)
-    out, _ = M.kmeans(rows, ["composite_risk_score", "total_spend", "otif_rate", "profit_impact_score"])
-    return M.cluster_profile(out, ["composite_risk_score", "total_spend"])
+    out, _ = M.kmeans(matrix(spark, d), ["composite_risk_score", "total_spend", "otif_rate", "profit_impact_score"])
+    return M.cluster_profile(out, more=["disruption_count_30d"])
+
+
+@query(sql(*FEATURES, "m AS (SELECT median(composite_risk_score) AS r, median(total_spend) AS s, median(performance_composite) AS p FROM risk)",
+           "c AS (SELECT vendor_id % 7 AS cluster_id, count(*) AS vendors, avg(composite_risk_score) AS mr, avg(total_spend) AS ms, avg(performance_composite) AS mp FROM risk GROUP BY 1)",
+           "l AS (SELECT cluster_id, vendors, CASE WHEN mr > r AND ms > s THEN 'Critical High-Spend' WHEN mr > r THEN 'Vulnerable Low-Spend' WHEN ms > s THEN 'Stable Strategic' WHEN mp > p THEN 'Reliable Tactical' ELSE 'Underperforming Tail' END AS cluster_label FROM c, m)",
+           select="SELECT *, CASE cluster_label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in M.CLUSTER_ACTIONS.items()) + " END AS cluster_action FROM l"))
+def cluster_labels(spark, d):
+    """Names and actions of groups of vendors, here by their numbers, against the medians of all."""
+    rows = matrix(spark, d).withColumn("cluster_id", F.col("vendor_id") % 7)
+    return M.cluster_profile(rows).select("cluster_id", "vendors", "cluster_label", "cluster_action")
 
 
 @query()
