@@ -61,6 +61,25 @@ def combined(*detectors: DataFrame, least: int = 2) -> DataFrame:
     return rows.select("vendor_id", total.alias("total_anomaly_flags"), (total >= least).alias("is_anomalous"))
 
 
+def report(rows: DataFrame, rules: DataFrame, zscores: DataFrame, forest: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """Every vendor with what each detector says of it: flags and their number, the forest's score, the largest z-score and its feature, the rules' reasons, and its main figures. Anomalous from `least` flags on."""
+    parts = [rules, zscores] + ([forest] if forest is not None else [])
+    flags = ["rule_based_flag", "anomaly_zscore_flag"] + (["anomaly_flag"] if forest is not None else [])
+    out = rows.select("vendor_id", "supplier_name", "composite_risk_score", "total_spend", "financial_stability")
+    for part in parts:
+        out = out.join(part, "vendor_id", "left")
+    total = reduce(lambda a, b: a + b, (F.coalesce(F.col(f), F.lit(False)).cast("int") for f in flags))
+    return out.withColumn("total_anomaly_flags", total).withColumn("is_anomalous", F.col("total_anomaly_flags") >= least)
+
+
+def summary(reported: DataFrame, most: int = 5) -> DataFrame:
+    """One row: vendors, anomalous ones, those of each detector, and names, flags and reasons of the `most` that the forest finds oddest."""
+    counts = reported.agg(F.count("*").alias("total_vendors"), F.count_if("is_anomalous").alias("total_anomalous"), F.count_if("anomaly_flag").alias("isolation_forest"), F.count_if("anomaly_zscore_flag").alias("zscore_outliers"), F.count_if("rule_based_flag").alias("rule_based_flags"))
+    first = reported.filter("is_anomalous").orderBy(F.desc("anomaly_score"), "vendor_id").limit(most)
+    shown = F.array_sort(F.collect_list(F.struct((-F.col("anomaly_score")).alias("s"), "vendor_id", F.concat_ws(": ", F.concat("supplier_name", F.lit(" ("), F.col("total_anomaly_flags"), F.lit(")")), F.nullif("rule_based_reason", F.lit(""))).alias("t"))))
+    return counts.crossJoin(F.broadcast(first.agg(F.array_join(F.transform(shown, lambda x: x["t"]), " | ").alias("top_anomalies"))))
+
+
 def isolation_forest(rows: DataFrame, features: list[str], trees: int = 200, sample: int = 256, contamination: float = 0.1, key: str = "vendor_id") -> DataFrame:
     """M13 (Liu, Ting & Zhou 2008): (key, score, flag): how short the mean path to a row is, over trees grown on samples.
 

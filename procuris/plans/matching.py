@@ -101,14 +101,6 @@ def rule_anomaly(spark, d):
     return A.rules(matrix(spark, d))
 
 
-@query()
-def anomaly_report(spark, d):
-    """Rules, z-scores and the forest, of which two have to agree."""
-    rows = matrix(spark, d)
-    forest = A.isolation_forest(rows, A.ANOMALY_FEATURES)
-    return A.combined(A.rules(rows), A.zscores(rows, A.ANOMALY_FEATURES, 2.0).select("vendor_id", "anomaly_zscore_flag"), forest.select("vendor_id", "anomaly_flag"))
-
-
 @query()
 def isolation_forest(spark, d):
     """M13."""

@@ -18,4 +18,4 @@ def query(text: str | None = None):
     return register
 
 
-from procuris.plans import delivery, extracts, features, feeds, files, matching, models, reports, served, spend  # noqa: E402, F401  they register themselves
+from procuris.plans import cards, delivery, extracts, features, feeds, files, matching, models, reports, served, spend  # noqa: E402, F401  they register themselves
