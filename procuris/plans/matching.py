@@ -9,6 +9,7 @@ from procuris.functions.columns import normal_name
 from procuris.operators import anomaly as A
 from procuris.operators import matching as M
 from procuris.operators import retrieve as V
+from procuris.operators import vectorindex as VI
 from procuris.plans.features import FEATURES, matrix
 from procuris.plans.registry import query
 from procuris.plans.tables import sql
@@ -141,6 +142,33 @@ def vector_topk(spark, d):
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
+def _searched(spark, d):
+    e = C.read(spark, d, "embeddings")
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    index = VI.build(e)
+    return e, queries, VI.search(index, queries, 10, max(1, round(PROBED * len(index.cells))))
+
+
+#: The share of cells that a query goes through: vectors here have no clusters, so many cells lie nearly as near (see the README).
+PROBED = 0.75
+
+
+@query()
+def vector_index_topk(spark, d):
+    """The ten nearest vectors by an index of cells, with their texts and labels; queries are ids divisible by 100."""
+    e, _, found = _searched(spark, d)
+    texts = e.select("vec_id", F.concat(F.lit("vector "), F.col("vec_id"), F.coalesce(F.concat(F.lit(" of label "), F.col("label")), F.lit(""))).alias("text"), "label")
+    return VI.with_texts(found, texts)
+
+
+@query("SELECT count(*) AS queries, true AS recalled FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL")
+def vector_index_recall(spark, d):
+    """Whether the index finds nine tenths of what the exact search does."""
+    e, queries, found = _searched(spark, d)
+    exact = V.top_k(e.select("vec_id", F.col("embedding").alias("v")), queries, 10)
+    return VI.recall(found, exact).select("queries", (F.col("recall") >= 0.9).alias("recalled"))
+
+
 @query("""WITH r AS (SELECT source AS query_id, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents),
 c AS (SELECT query_id, doc_id, rank, sum(length(text) * 0.25::DOUBLE) OVER (PARTITION BY query_id ORDER BY rank) AS cost FROM r) SELECT query_id, doc_id, cost FROM c WHERE cost <= 3000""")
 def context_pack(spark, d):

@@ -249,3 +249,39 @@ def test_logged_write_counts_on_the_way(spark, tmp_path):
     io.logged_write(rows.limit(0), str(tmp_path / "b"), log, "r2", total=F.sum("x"))
     got = {r["run_id"]: (r["counts"]["rows"], r["figures"]["total"], r["state"]) for r in spark.read.parquet(log).collect()}
     assert got == {"r1": (50, 2450.0, "ready"), "r2": (0, None, "incomplete")}
+
+
+def test_vector_index(spark):
+    from procuris.operators import retrieve, vectorindex
+
+    r = np.random.default_rng(7)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(400)] + [(i, None) for i in (500, 501)] + [(502, [0.0] * 8), (503, [float("nan")] * 8), (504, [1.0, 2.0]), (505, [2.0, 4.0]), (506, [1.0, None])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = vectors.filter("vec_id % 40 = 0 OR vec_id IN (500, 502, 504)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    index = vectorindex.build(vectors, cells=16, sample=200)
+    assert index.rows.count() == 402 and len(index.cells) == 16
+    exact = {(x["query_id"], x["vec_id"], x["rank"]) for x in retrieve.top_k(vectors.filter("vec_id <= 502 OR vec_id IN (504, 505)").select("vec_id", F.col("embedding").alias("v")), queries, 5).collect()}
+    assert {(x["query_id"], x["vec_id"], x["rank"]) for x in vectorindex.search(index, queries, 5, 16).collect()} == exact
+    some = vectorindex.search(index, queries, 5, 10)
+    got = vectorindex.recall(some, vectorindex.search(index, queries, 5, 16)).first()
+    assert got["recall"] >= 0.8 and got["queries"] == 11
+    named = vectorindex.with_texts(some, spark.createDataFrame([(505, "a text")], "vec_id long, text string")).filter("query_id = 504 AND vec_id = 505").first()
+    assert named["text"] == "a text"
+    assert vectorindex.search(vectorindex.build(vectors.limit(0)), queries, 5, 3).count() == 0
+
+
+def test_entry_without_what_the_text_operators_need(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    whole = set(entry.queries())
+    for name in [m for m in sys.modules if m.startswith("procuris.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    import procuris
+
+    monkeypatch.delattr(procuris, "llm", raising=False)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    left = set(entry.queries())
+    assert left < whole and not any(n.startswith("op") and n[2].isdigit() for n in left) and "pipeline" not in left
+    assert set(entry.oracle_sql()) <= left
