@@ -170,10 +170,13 @@ def alternatives(rows: DataFrame, features: list[str], least_risk: float = 0.25,
     lower, abroad = F.col("a_composite_risk_score") < F.col("s_composite_risk_score"), F.col("a_country_code") != F.col("s_country_code")
     adjusted = F.col("similarity") * F.when(F.col("a_industry_category") == F.col("s_industry_category"), 1.2).otherwise(0.8) * F.when(abroad, 1.1).otherwise(1.0) * F.when(lower, 1.15).otherwise(1.0)
     pairs = pairs.withColumn("adjusted", F.round(adjusted, 6)).filter("adjusted > 0")
-    reason = F.concat_ws("; ", F.when(lower, F.format_string("Lower risk (%.2f vs %.2f)", "a_composite_risk_score", "s_composite_risk_score")), F.when(abroad, F.format_string("Geographic diversification (%s)", "a_country_code")),
-                         F.when(F.col("a_delivery_performance") > F.col("s_delivery_performance"), F.lit("Better delivery performance")), F.when(F.col("a_financial_stability") > F.col("s_financial_stability"), F.lit("Higher financial stability")))
-    pairs = pairs.withColumn("reason", F.when(reason == "", "Similar capability profile").otherwise(reason))
-    pairs = pairs.withColumnsRenamed({"s_vendor_id": "vendor_id", "a_vendor_id": "alt_vendor_id"}).select("vendor_id", "alt_vendor_id", "similarity", "adjusted", "reason", "_j")
+    # the first n of a block, and then of all, are found by numbers alone; reasons are written for those that stay
+    pairs = pairs.withColumnsRenamed({"s_vendor_id": "vendor_id", "a_vendor_id": "alt_vendor_id"})
+    told = ["composite_risk_score", "country_code", "delivery_performance", "financial_stability"]
+    pairs = pairs.select("vendor_id", "alt_vendor_id", "similarity", "adjusted", "_j", *(f"{s}_{c}" for c in told for s in ("s", "a")))
     order = [F.desc("adjusted"), F.asc("alt_vendor_id")]
     out = top_n(top_n(pairs, ["vendor_id", "_j"], order, n), ["vendor_id"], order, n, rank="alternative_rank")
+    reason = F.concat_ws("; ", F.when(lower, F.format_string("Lower risk (%.2f vs %.2f)", "a_composite_risk_score", "s_composite_risk_score")), F.when(abroad, F.format_string("Geographic diversification (%s)", "a_country_code")),
+                         F.when(F.col("a_delivery_performance") > F.col("s_delivery_performance"), F.lit("Better delivery performance")), F.when(F.col("a_financial_stability") > F.col("s_financial_stability"), F.lit("Higher financial stability")))
+    out = out.withColumn("reason", F.when(reason == "", "Similar capability profile").otherwise(reason))
     return out.select("vendor_id", "alt_vendor_id", "alternative_rank", "similarity", "reason")

@@ -47,9 +47,10 @@ def tiled_importance(rows: DataFrame, importance: DataFrame, key: str = "vendor_
 def shuffled_column(rows: DataFrame, key: str, column: str, seed: int) -> DataFrame:
     """rows with the values of one column dealt anew among them: values by a hash order meet rows by another, within ranges of the hash.
 
-    Both orders part the rows by ranks inside buckets of equal size, so that no task holds all rows.
+    Both orders part the rows by ranks inside buckets of about 20,000 rows, as many as the table asks for, so that no task
+    holds all rows.
     """
-    buckets = 16
+    buckets = max(16, -(-rows.count() // 20_000))
     a = rows.withColumn("_b", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets)))
     order = Window.partitionBy("_b")
     left = a.withColumn("_r", F.row_number().over(order.orderBy(F.xxhash64(key, F.lit(seed + 1)), key))).drop(column)
@@ -134,6 +135,17 @@ def agreement(one: DataFrame, two: DataFrame, key: str = "vendor_id") -> DataFra
     return rows.select(key, F.when(F.col("_a")[0] == F.col("_b")[0], "YES").otherwise("NO").alias("methods_agree"), F.round(F.size(F.array_intersect("_a", "_b")) / 3, 4).alias("overlap"))
 
 
+def agreement_share(agreed: DataFrame, least: float = 0.66) -> DataFrame:
+    """One row: vendors, those whose methods agree on the first driver, and the share of vendors with an overlap of `least` or more."""
+    n = F.count("*")
+    return agreed.agg(n.alias("vendors"), F.count_if(F.col("methods_agree") == "YES").alias("agree"), F.round(F.count_if(F.col("overlap") >= least) / n, 4).alias("overlap_share"))
+
+
+def in_both_tops(ranked: DataFrame, most: int = 10) -> DataFrame:
+    """global_importance with both_top: whether both rankings have the feature among their first `most`."""
+    return ranked.withColumn("both_top", (F.col("rank_one") <= most) & (F.col("rank_two") <= most))
+
+
 def global_importance(one: DataFrame, two: DataFrame) -> DataFrame:
     """(feature, rank_one, rank_two, combined_rank) of two importance tables (feature, importance); a row for each feature."""
     def ranked(df: DataFrame, name: str) -> DataFrame:

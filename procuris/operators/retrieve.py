@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from procuris.functions.columns import shown_money
 from procuris.operators.relational import top_n
+from procuris.sources.shared import saved
 
 
 #: Vectors and queries of one block.
@@ -75,3 +76,20 @@ def pack_context(ranked: DataFrame, budget: int) -> DataFrame:
     cost = F.sum(F.col("_n") * 0.25).over(Window.partitionBy("query_id").orderBy("rank"))
     kept = sizes.withColumn("cost", cost).filter(F.col("cost") <= budget).select(F.col("query_id").alias("_query"), F.col("rank").alias("_rank"), "cost")
     return ranked.join(kept, F.col("query_id").eqNullSafe(F.col("_query")) & (F.col("rank") == F.col("_rank"))).drop("_query", "_rank")
+
+
+def pack_in_order(texts: DataFrame, budget: int, query: str = "query_id", key: str = "doc_id") -> DataFrame:
+    """M26 for long lists: of each query's texts (query, key, text) in the order of key those before the first that goes over the budget, with cost.
+
+    Keys are unique in a query. Only keys and lengths are ordered: they are parted into ranges by sampled splitters, so
+    that a query of very many texts has several; ranges that begin beyond the budget go, the others are summed inside.
+    The texts of what is left join last.
+    """
+    sizes = texts.select(F.col(query).alias("q"), F.col(key).alias("k"), (F.length("text") * 0.25).alias("n"))
+    dealt = saved(sizes.repartitionByRange("q", "k").sortWithinPartitions("q", "k").withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33)))
+    sums = dealt.groupBy("q", "part").agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("own"))
+    sums = sums.withColumn("base", F.sum("own").over(Window.partitionBy("q").orderBy("part")) - F.col("own")).filter(F.col("base") <= budget)
+    met = dealt.join(sums.select(F.col("q").alias("sq"), F.col("part").alias("sp"), "base"), F.col("q").eqNullSafe(F.col("sq")) & (F.col("part") == F.col("sp")))
+    cost = F.col("base") + F.sum("n").over(Window.partitionBy("q", "part").orderBy("k"))
+    kept = met.withColumn("cost", cost).filter(F.col("cost") <= budget).select("q", "k", "cost")
+    return texts.join(kept, F.col(query).eqNullSafe(F.col("q")) & (F.col(key) == F.col("k"))).drop("q", "k")

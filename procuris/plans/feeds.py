@@ -195,6 +195,13 @@ def customers_without_orders(spark, d):
     return rows.groupBy("c_mktsegment").agg(F.count("*").alias("customers"))
 
 
+@query("SELECT c_mktsegment, count(*) AS customers FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1")
+def customers_without_urgent_orders(spark, d):
+    """J7, J8, U3."""
+    urgent = C.read(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return C.read(spark, d, "customer").join(urgent, "c_custkey", "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("customers"))
+
+
 @query("SELECT DISTINCT c_mktsegment FROM customer")
 def filter_values(spark, d):
     """F18."""

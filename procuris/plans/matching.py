@@ -173,12 +173,8 @@ def vector_index_recall(spark, d):
 c AS (SELECT query_id, doc_id, rank, sum(length(text) * 0.25::DOUBLE) OVER (PARTITION BY query_id ORDER BY rank) AS cost FROM r) SELECT query_id, doc_id, cost FROM c WHERE cost <= 3000""")
 def context_pack(spark, d):
     """M26."""
-    from pyspark.sql.window import Window
-
     docs = C.read(spark, d, "documents").select(F.col("source").alias("query_id"), "doc_id", "text")
-    ranks = docs.select(F.col("doc_id").alias("_id"), F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).alias("rank"))  # ids alone
-    ranked = docs.join(ranks, F.col("doc_id") == F.col("_id")).drop("_id")
-    return V.pack_context(ranked, 3000).select("query_id", "doc_id", "cost")
+    return V.pack_in_order(docs, 3000).select("query_id", "doc_id", "cost")
 
 
 @query()

@@ -15,7 +15,7 @@ from procuris.plans.delivery import risk_case
 from procuris.plans.extracts import case_of
 from procuris.plans.features import ADDITIVE, FEATURES, FORECAST, KRALJIC, forecasts, matrix
 from procuris.plans.matching import RULES
-from procuris.plans.registry import query
+from procuris.plans.registry import SQL, query
 from procuris.plans.spend import ABC
 from procuris.plans.tables import SPEND, TRANSACTIONS, VENDORS, listed, sql
 from procuris.sources import curate as C
@@ -185,6 +185,18 @@ def methods_agreement(spark, d):
     return E.agreement(one, two)
 
 
+@query("SELECT count(*) AS vendors, count(CASE WHEN methods_agree = 'YES' THEN 1 END) AS agree, round(count(CASE WHEN overlap >= 0.66 THEN 1 END) / count(*), 4) AS overlap_share FROM (" + SQL["methods_agreement"] + ")")
+def methods_agreement_share(spark, d):
+    """How far two methods agree over the portfolio."""
+    return E.agreement_share(methods_agreement(spark, d))
+
+
+@query("SELECT *, rank_one <= 2 AND rank_two <= 2 AS both_top FROM (" + SQL["global_importance"] + ")")
+def importance_tops(spark, d):
+    """Features that both rankings have among their first two."""
+    return E.in_both_tops(global_importance(spark, d), 2)
+
+
 @query(sql(*FEATURES, select=f"""SELECT count(*) AS total_vendors, count(CASE WHEN risk_label_3class = 'High' THEN 1 END) AS high_risk, count(CASE WHEN risk_label_3class = 'Medium' THEN 1 END) AS medium_risk, count(CASE WHEN risk_label_3class = 'Low' THEN 1 END) AS low_risk,
   {CENTS.format('total_spend')} AS total_spend, round(CAST(sum(CAST(otif_rate AS DECIMAL(18,6))) AS DOUBLE) / count(*), 6) AS mean_otif, CAST(sum(disruption_count_30d) AS BIGINT) AS alerts FROM risk WHERE industry_category IN ('Chemicals', 'Automotive') AND total_spend > 1000"""))
 def portfolio_filtered(spark, d):

@@ -259,6 +259,15 @@ def top10_vendors(spark, d):
     return rows.orderBy(F.desc("total_spend"), "vendor_id").limit(10)
 
 
+@query(sql(*T, VENDORS, select="SELECT vendor_id, supplier_name FROM vendors WHERE vendor_id NOT IN (SELECT vendor_id FROM transactions WHERE po_date >= (SELECT max(po_date) FROM transactions) - 3)"))
+def idle_vendors(spark, d):
+    """Vendors without spend in the last days that there are orders of."""
+    t = C.transactions(spark, d).select("vendor_id", "po_date")
+    last = C.read(spark, d, "orders").agg(F.max(F.to_date("o_orderdate")).alias("last"))
+    recent = t.join(F.broadcast(last), F.col("po_date") >= F.date_sub("last", 3)).select("vendor_id")
+    return C.vendors(spark, d).join(recent, "vendor_id", "left_anti").select("vendor_id", "supplier_name")
+
+
 @query(sql(*ST, VENDORS, select="SELECT vendor_id, supplier_name FROM vendors WHERE vendor_id NOT IN (SELECT vendor_id FROM spend)"))
 def zero_spend_vendors(spark, d):
     """R23, J8."""

@@ -12,7 +12,7 @@ from procuris.operators.relational import latest_per_key
 BUCKETS = 32
 
 
-def _there(spark: SparkSession, path: str) -> bool:
+def there(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
@@ -23,10 +23,15 @@ def _names(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().getName() for x in system.listStatus(where)] if system.exists(where) else []
 
 
+def whole_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers n of the tables path/v<n> that are written whole, rising."""
+    found = (int(n[1:]) for n in _names(spark, path) if n[:1] == "v" and n[1:].isdigit())
+    return sorted(n for n in found if there(spark, f"{path}/v{n}/_SUCCESS"))
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the versions whose manifest is whole, rising."""
-    found = (int(n[1:]) for n in _names(spark, f"{path}/manifest") if n[1:].isdigit())
-    return sorted(n for n in found if _there(spark, f"{path}/manifest/v{n}/_SUCCESS"))
+    return whole_versions(spark, f"{path}/manifest")
 
 
 def manifest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:

@@ -142,9 +142,7 @@ def late_account(feed: DataFrame, folder: str, late: str = "1 day", window: str
     kind = "batch long, rows long, late_rows long, watermark timestamp, latest timestamp"
 
     def write(batch: DataFrame, n: int) -> None:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-        before = spark.read.schema(kind).parquet(f"{path}/batch-*").filter(F.col("batch") < n) if there else spark.createDataFrame([], kind)
+        before = spark.read.schema(kind).parquet(f"{path}/batch-*").filter(F.col("batch") < n) if store.there(spark, path) else spark.createDataFrame([], kind)
         mark = before.agg((F.max("latest") - F.expr(f"INTERVAL {late}")).alias("watermark"))  # one row
         closed = F.window("ts", window)["end"] <= F.col("watermark")
         rows = batch.select("ts").crossJoin(F.broadcast(mark))
@@ -152,19 +150,20 @@ def late_account(feed: DataFrame, folder: str, late: str = "1 day", window: str
         one.select(F.lit(n).cast("long").alias("batch"), "rows", "late_rows", "watermark", "latest").write.mode("overwrite").parquet(f"{path}/batch-{n}")
 
     feed.writeStream.option("checkpointLocation", f"{folder}/account-state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(kind).parquet(f"{path}/batch-*").drop("latest") if _exists(spark, path) else spark.createDataFrame([], kind).drop("latest")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(kind).parquet(f"{path}/batch-*").drop("latest") if store.there(spark, path) else spark.createDataFrame([], kind).drop("latest")
 
 
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is and read its result back; folder is shared by driver and executors."""
+    """Run a stream over what there is and read its result back; folder is shared by driver and executors.
+
+    Other modes than append write a version for each batch and read the latest whole one, so a batch that fails or runs
+    again leaves the one before it as it is.
+    """
+    spark = stream.sparkSession
     sink = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         sink.format("parquet").option("path", f"{folder}/out").outputMode("append").start().awaitTermination()
-    else:
-        sink.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out")).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+        return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    sink.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/v{n}")).start().awaitTermination()
+    whole = store.whole_versions(spark, f"{folder}/out")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/v{whole[-1]}") if whole else spark.createDataFrame([], stream.schema)
