@@ -285,3 +285,43 @@ def test_entry_without_what_the_text_operators_need(monkeypatch):
     left = set(entry.queries())
     assert left < whole and not any(n.startswith("op") and n[2].isdigit() for n in left) and "pipeline" not in left
     assert set(entry.oracle_sql()) <= left
+
+
+def test_models_measures(spark, figures):
+    from pyspark.ml.linalg import Vectors
+
+    from procuris.operators import models
+
+    rows = figures.drop("label").withColumn("class", F.when(F.col("two") > 0, "High").otherwise("Low"))
+    got = models.cross_validated(rows, FEATURES, "class", folds=3, kinds=("forest", "boosted"), trees=4, rounds=2).collect()
+    assert sorted((r["model"], r["fold"]) for r in got) == [(k, n) for k in ("boosted", "forest") for n in range(3)]
+    assert all(0.6 < r["accuracy"] <= 1 and 0.6 < r["f1"] <= 1 for r in got)
+    damped = models.Sublinear("v", "w").transform(spark.createDataFrame([(Vectors.sparse(5, [1, 4], [1.0, 3.0]),), (Vectors.sparse(5, [], []),)], ["v"])).collect()
+    assert damped[0]["w"].toArray().tolist() == [0, 1, 0, 0, 1 + math.log(3)] and damped[1]["w"].numNonzeros() == 0
+    told = spark.createDataFrame([("a", 0.9), ("a", 0.5), ("b", 0.5), ("b", 0.1), ("a", 0.2)], "label string, s double")
+    auc = {r["label"]: (r["auc"], r["positives"]) for r in models.rank_auc(told, "label", {"a": "s", "c": "s"}).collect()}
+    assert auc == {"a": ((2 + 1.5 + 1) / 6, 3), "c": (None, 0)}
+
+
+@pytest.mark.parametrize("parts", [None, 7])
+def test_pack_in_order(spark, parts):
+    from procuris.operators import retrieve
+
+    r = random.Random(1)
+    rows = [(["x", "y", None][i % 3], i, "t" * r.choice([0, 3, 9])) for i in range(300)] + [("z", 1, None), ("z", 2, "abcd")]
+    df = spark.createDataFrame(rows, "query_id string, doc_id long, text string")
+    got = {(x["query_id"], x["doc_id"], x["cost"]) for x in retrieve.pack_in_order(df.repartition(parts) if parts else df, 40).collect()}
+    want, cost = set(), {}
+    for q, i, t in sorted(rows, key=lambda x: x[1]):
+        cost[q] = cost.get(q, 0) + len(t or "") * 0.25
+        if cost[q] <= 40 and not (q == "z" and i == 1):
+            want.add((q, i, cost[q]))
+    assert {x for x in got if x[:2] != ("z", 1)} == want
+
+
+def test_compared_vendors(spark):
+    from procuris.operators import cards
+
+    rows = spark.createDataFrame([(1, "One", 0.5, 10.0), (2, "Two", 0.4, None), (3, "Three", 0.4, 7.0)], "vendor_id long, supplier_name string, composite_risk_score double, total_spend double")
+    got = cards.compared(rows, spark.createDataFrame([(1, 2), (2, 3), (1, 9)], "a_id long, b_id long"), {"composite_risk_score": "Risk", "total_spend": "Spend"})
+    assert sorted(tuple(x) for x in got.collect()) == [(1, 2, "Risk", 0.5, 0.4, "Two"), (1, 2, "Spend", 10.0, None, "Two"), (2, 3, "Risk", 0.4, 0.4, "Three"), (2, 3, "Spend", None, 7.0, "Three")]
