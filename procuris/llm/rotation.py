@@ -34,7 +34,7 @@ def rotate(turns: DataFrame) -> DataFrame:
     each other by turn (then role and text, if a turn number repeats). start is the segment's first code point in the
     rendering. mask_start and mask_end bound what is trained, the body of the speaker's own turns; elsewhere both are
     null. A null text is empty, a null role an unknown user, a null turn number comes first; a dialogue of
-    instructions alone has no rendering, nor has an empty table. A rendering stays in rows, one a turn: no dialogue,
+    instructions alone has no rendering, nor have turns without a conv_id, which name no dialogue, nor an empty table. A rendering stays in rows, one a turn: no dialogue,
     however long, has to fit into one row, and places are summed in parts of PART turns.
     """
     base = turns.select("conv_id", "turn", "role", "text")
