@@ -83,7 +83,7 @@ def profile_columns(df: DataFrame, hints: dict[str, list[str]]) -> DataFrame:
 def gap_coverage(tables: DataFrame, needs: dict[str, list[str]]) -> DataFrame:
     """(area, found, needed): of the tables that an analytic area needs those that there are (tables: a column table)."""
     need = tables.sparkSession.createDataFrame([(a, t) for a, ts in needs.items() for t in ts], "area string, table string")
-    rows = need.join(F.broadcast(tables.select("table").distinct().withColumn("_hit", F.lit(1))), "table", "left")
+    rows = need.join(tables.select("table").distinct().withColumn("_hit", F.lit(1)), "table", "left")
     return rows.groupBy("area").agg(F.array_sort(F.collect_set(F.when(F.col("_hit").isNotNull(), F.col("table")))).alias("found"), F.count("*").alias("needed"))
 
 

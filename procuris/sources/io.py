@@ -46,11 +46,11 @@ def count_rows(rows: DataFrame) -> DataFrame:
 
 
 def with_lineage(spark: SparkSession, rows: DataFrame, paths: list[str]) -> DataFrame:
-    """Rows with source_file, file_hash (md5 of the file) and ingested_at."""
+    """Rows with source_file, file_hash (md5 of the file, which a task reads whole: files of under 2 GB) and ingested_at."""
     hashes = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("_path"), F.md5("content").alias("file_hash"))
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
     rows = rows.withColumn("source_file", F.col("_metadata.file_path"))
-    return rows.join(F.broadcast(hashes), plain(F.col("source_file")) == plain(F.col("_path")), "left").drop("_path").withColumn("ingested_at", F.current_timestamp())
+    return rows.join(hashes, plain(F.col("source_file")) == plain(F.col("_path")), "left").drop("_path").withColumn("ingested_at", F.current_timestamp())
 
 
 def first_existing(spark: SparkSession, paths: list[str]) -> DataFrame:
