@@ -275,6 +275,7 @@ def test_entry_without_what_the_text_operators_need(monkeypatch):
 
     import __spark_entry__ as entry
 
+    pytest.importorskip("procuris.llm.queries")
     whole = set(entry.queries())
     for name in [m for m in sys.modules if m.startswith("procuris.llm") or m == "corpus_pipeline"]:
         monkeypatch.delitem(sys.modules, name)
