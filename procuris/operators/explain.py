@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from procuris.operators.relational import with_totals
+from procuris.sources.shared import discard, saved
 
 
 def additive_drivers(rows: DataFrame, weights: dict[str, float], key: str = "vendor_id") -> DataFrame:
@@ -44,24 +45,46 @@ def tiled_importance(rows: DataFrame, importance: DataFrame, key: str = "vendor_
     return rows.select(key).crossJoin(F.broadcast(share))
 
 
+#: Rows of one block, among which a column's values are dealt anew.
+DEALT = 20_000
+
+
+def blocks(rows: DataFrame, key: str) -> DataFrame:
+    """rows in blocks of about DEALT by a hash of the key, saved: (rows), an array of structs in the order of another hash."""
+    many = max(16, -(-rows.count() // DEALT))
+    one = F.struct(F.xxhash64(key, F.lit(1)).alias("_h"), *rows.columns)
+    dealt = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(many)).alias("_b")).agg(F.sort_array(F.collect_list(one)).alias("rows"))
+    return saved(dealt.select("rows"))
+
+
+def dealt_anew(dealt: DataFrame, columns: list[str], column: str, seed: int) -> DataFrame:
+    """The rows of blocks with the values of one column dealt anew among the rows of each; nothing is shuffled.
+
+    Rows stand in the order of a hash, so values that all move by the same number of places, drawn by seed and block, meet rows at random.
+    """
+    values, size = F.col("rows")[column], F.size("rows")
+    by = F.when(size > 1, F.pmod(F.xxhash64(F.col("rows")[0]["_h"], F.lit(seed)), size - 1) + 1).otherwise(0).cast("int")
+    mixed = F.concat(F.slice(values, by + 1, size), F.slice(values, F.lit(1), by))
+    lists = dealt.select(*((mixed if c == column else F.col("rows")[c]).alias(c) for c in columns))
+    return lists.select(F.inline(F.arrays_zip(*columns)))
+
+
 def shuffled_column(rows: DataFrame, key: str, column: str, seed: int) -> DataFrame:
-    """rows with the values of one column dealt anew among them: values by a hash order meet rows by another, within ranges of the hash.
+    """rows with the values of one column dealt anew among them, within ranges of a hash.
 
-    Both orders part the rows by ranks inside buckets of about 20,000 rows, as many as the table asks for, so that no task
-    holds all rows.
+    The ranges are blocks of about 20,000 rows, as many as the table asks for, so that no task holds all rows.
     """
-    buckets = max(16, -(-rows.count() // 20_000))
-    a = rows.withColumn("_b", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets)))
-    order = Window.partitionBy("_b")
-    left = a.withColumn("_r", F.row_number().over(order.orderBy(F.xxhash64(key, F.lit(seed + 1)), key))).drop(column)
-    right = a.select("_b", F.row_number().over(order.orderBy(F.xxhash64(key, F.lit(seed + 2)), key)).alias("_r"), column)
-    return left.join(right, ["_b", "_r"]).select(*rows.columns)
+    return dealt_anew(blocks(rows, key), rows.columns, column, seed)
 
 
 def permutation_importance(rows: DataFrame, key: str, features: list[str], score, repeats: int = 3) -> DataFrame:
-    """(feature, importance): how much score(rows) falls, on average, when a feature is shuffled; score gives a number by a Spark job."""
-    whole = score(rows)
-    found = [(f, float(np.mean([whole - score(shuffled_column(rows, key, f, 31 * n + i)) for n in range(repeats)]))) for i, f in enumerate(features)]
+    """(feature, importance): how much score(rows) falls, on average, when a feature is shuffled; score gives a number by a Spark job.
+
+    Rows are put into blocks once, and every repeat deals values anew inside them, so disk does not grow with the repeats.
+    """
+    whole, dealt = score(rows), blocks(rows, key)
+    found = [(f, float(np.mean([whole - score(dealt_anew(dealt, rows.columns, f, 31 * n + i)) for n in range(repeats)]))) for i, f in enumerate(features)]
+    discard(dealt)
     return rows.sparkSession.createDataFrame(found, "feature string, importance double")
 
 
@@ -70,27 +93,28 @@ def sampled_shapley(rows: DataFrame, key: str, features: list[str], predict, per
 
     Each row meets, for every permutation, a row drawn by hash; features before a place in the permutation come from
     the row itself, the others from the drawn one. predict(df) adds a column `prediction`; the difference that one
-    feature makes, averaged over permutations, is its contribution.
+    feature makes, averaged over permutations, is its contribution. A row's predictions stand in one row beside it, so
+    only its means are shuffled, to bring rows of one key together.
     """
-    n = 64
-    own = rows.select(key, F.struct(*features).alias("own"))
+    n, k = 64, len(features)
     drawn = rows.withColumn("_s", F.pmod(F.xxhash64(key, F.lit(5)), F.lit(n))).groupBy("_s").agg(F.min_by(F.struct(*features), F.xxhash64(key, F.lit(6))).alias("other"))
-    drawn = drawn.select((F.row_number().over(Window.orderBy("_s")) - 1).alias("_s"), "other")  # n rows at most
-    n = max(1, drawn.count())
-    pairs = own.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    pairs = pairs.withColumn("_s", F.pmod(F.xxhash64(key, "_p"), F.lit(n))).join(F.broadcast(drawn), "_s")
-    k = len(features)
-    orders = [list(np.random.default_rng(p).permutation(k)) for p in range(permutations)]
-    place = F.array(*(F.array(*(F.lit(int(o.index(i))) for i in range(k))) for o in orders))
-    rank = F.element_at(place, F.col("_p") + 1)
-    steps = pairs.withColumn("_rank", rank).withColumn("_cut", F.explode(F.sequence(F.lit(0), F.lit(k))))
-    mixed = steps.select(key, "_p", "_cut", "_rank", *(F.when(F.col("_rank")[i] < F.col("_cut"), F.col(f"own.{f}")).otherwise(F.col(f"other.{f}")).alias(f) for i, f in enumerate(features)))
-    scored = predict(mixed).select(key, "_p", "_cut", "_rank", "prediction")
-    gain = F.col("prediction") - F.lag("prediction").over(Window.partitionBy(key, "_p").orderBy("_cut"))
-    names = F.array(*map(F.lit, features))
-    scored = scored.withColumn("_gain", gain).filter("_cut > 0")
-    at = F.array_position(F.transform("_rank", lambda r: r.cast("int")), F.col("_cut") - 1)
-    return scored.withColumn("feature", F.element_at(names, at.cast("int"))).groupBy(key, "feature").agg(F.avg("_gain").alias("contribution"))
+    drawn = drawn.agg(F.transform(F.array_sort(F.collect_list(F.struct("_s", "other"))), lambda x: x["other"]).alias("_drawn"))  # one row of n at most
+    out = rows.select(F.col(key), F.struct(*features).alias("_own"), *(F.lit(0.0).alias(f"_sum{i}") for i in range(k)), *(F.lit(0).cast("long").alias(f"_many{i}") for i in range(k))).crossJoin(F.broadcast(drawn))
+    kept = out.columns
+    for p in range(permutations):
+        order = np.random.default_rng(p).permutation(k).tolist()
+        out = out.withColumn("_other", F.element_at("_drawn", (F.pmod(F.xxhash64(key, F.lit(p)), F.size("_drawn")) + 1).cast("int")))
+        at = []
+        for cut in range(k + 1):
+            own = set(order[:cut])
+            mixed = out.select(*out.columns, *(F.col(f"_{'own' if i in own else 'other'}.{f}").alias(f) for i, f in enumerate(features)))
+            at.append(f"_at{cut}")
+            out = predict(mixed).withColumn(at[-1], F.col("prediction").cast("double")).select(*out.columns, at[-1])
+        gains = {order[cut]: F.col(at[cut + 1]) - F.col(at[cut]) for cut in range(k)}
+        out = out.withColumns({f"_sum{i}": F.col(f"_sum{i}") + F.coalesce(g, F.lit(0.0)) for i, g in gains.items()} | {f"_many{i}": F.col(f"_many{i}") + g.isNotNull().cast("long") for i, g in gains.items()}).select(*kept)
+    one = out.groupBy(key).agg(*(F.try_divide(F.sum(f"_sum{i}"), F.sum(f"_many{i}")).alias(f"_mean{i}") for i in range(k)))
+    long = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"_mean{i}").alias("contribution")) for i, f in enumerate(features)))
+    return one.select(key, F.inline(long))
 
 
 def local_surrogate(rows: DataFrame, key: str, features: list[str], predict, samples: int = 100, width: float = 0.75) -> DataFrame:
