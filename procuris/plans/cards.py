@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from procuris.functions.columns import rounded
 from procuris.operators import anomaly as A
 from procuris.operators import cards as K
 from procuris.operators.explain import additive_drivers
@@ -61,7 +62,7 @@ def anomaly_flags(spark, d):
     """M16, A22, R38 in the older form, of which one flag is enough and the forest is no part: flags, figures and reasons."""
     rows = matrix(spark, d)
     out = A.report(rows, A.rules(rows), A.zscores(rows, A.ANOMALY_FEATURES, 2.0), least=1)
-    return out.select("vendor_id", "supplier_name", "total_anomaly_flags", "is_anomalous", F.round("max_zscore", 3).alias("max_zscore"), "anomaly_zscore_flag", "rule_based_flag", "rule_based_reason", "composite_risk_score")
+    return out.select("vendor_id", "supplier_name", "total_anomaly_flags", "is_anomalous", rounded("max_zscore", 3).alias("max_zscore"), "anomaly_zscore_flag", "rule_based_flag", "rule_based_reason", "composite_risk_score")
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from procuris.functions.columns import normal_name
+from procuris.functions.columns import normal_name, rounded
 from procuris.operators import anomaly as A
 from procuris.operators import matching as M
 from procuris.operators import retrieve as V
@@ -85,7 +85,7 @@ ZSQL = ", ".join(f"abs((coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM risk)
 def zscore_anomaly(spark, d):
     """M14."""
     rows = A.zscores(matrix(spark, d), A.ANOMALY_FEATURES)
-    return rows.select("vendor_id", F.round("max_zscore", 3).alias("max_zscore"), "anomaly_zscore_flag")
+    return rows.select("vendor_id", rounded("max_zscore", 3).alias("max_zscore"), "anomaly_zscore_flag")
 
 
 RULES = """w AS (SELECT quantile_cont(composite_risk_score, 0.75) AS r75, quantile_cont(spend_share, 0.9) AS s90, quantile_cont(financial_stability, 0.1) AS f10, quantile_cont(delivery_performance, 0.95) AS d95, sum(disruption_count_30d) AS total FROM risk),

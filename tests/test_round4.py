@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from procuris.operators import anomaly, explain, matching
+from procuris.functions.columns import rounded
+from procuris.operators import anomaly, explain, features, matching
 
 
 def plan(df) -> str:
@@ -66,3 +67,26 @@ def test_repeated_names_are_scored_once(spark, monkeypatch):
     got = matching.fuzzy_match(left, right, 50.0).collect()
     assert seen == [(2, 4)]
     assert {(r["left_id"], r["right_id"], r["score"]) for r in got} == {(i, i % 2, 100.0) for i in range(40)}
+
+
+def test_rounding_is_that_of_sql(spark):
+    import duckdb
+
+    values = [0.39465, 0.603170500000, 0.11375, 1.0000005, 0.34195, 0.42265, -0.39465, 2.5]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(rounded("x", 4).alias("a"), rounded("x", 6).alias("b")).collect()
+    con = duckdb.connect()
+    # 0.39465 is a little less than a half of the last place, yet times 10,000 it is one
+    assert [tuple(r) for r in got] == [con.execute("SELECT round(?::DOUBLE, 4), round(?::DOUBLE, 6)", [v, v]).fetchone() for v in values]
+
+
+def test_composite_risk_at_a_half(spark):
+    import duckdb
+
+    rows = spark.createDataFrame([(i, (i % 97) / 97 + 0.001 * i, (i % 13) / 13, (i % 50) / 50) for i in range(4000)], "vendor_id long, delivery_risk_numeric double, industry_risk_numeric double, disruption_freq_norm double")
+    rows = rows.withColumns({"geo_risk_numeric": F.lit(0.42), "spend_concentration_flag": F.lit(0), "is_maverick": F.lit(False), "sum_percentage": F.lit(100.0), "concentration_risk": F.lit("LOW")})
+    got = features.composite_risk(rows).select("vendor_id", "delivery_risk_numeric", "industry_risk_numeric", "disruption_freq_norm", "composite_risk_score").toPandas()
+    con = duckdb.connect()
+    con.register("got", got)
+    assert con.execute("""WITH a AS (SELECT *, round(least(1, greatest(0, 0.42::DOUBLE * 0.30::DOUBLE + industry_risk_numeric * 0.25::DOUBLE + delivery_risk_numeric * 0.25::DOUBLE + 0 * 0.20::DOUBLE)), 4) AS b FROM got),
+      n AS (SELECT *, round(least(1, greatest(0, b * 0.85::DOUBLE + disruption_freq_norm * 0.15::DOUBLE)), 4) AS n FROM a)
+      SELECT count(*) FROM n WHERE composite_risk_score <> round(least(1, greatest(0, n * 0.90::DOUBLE + 1.0::DOUBLE * 0.10::DOUBLE)), 4)""").fetchone() == (0,)
