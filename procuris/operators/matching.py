@@ -24,13 +24,17 @@ def fuzzy_match(left: DataFrame, right: DataFrame, threshold: float = 60.0) -> D
 
     A name without a common word scores 40 at most, so the threshold has to be above. From it follow the shares of words
     that two names need to have in common, or one to hold of the other, and with these they are joined (setjoin.set_pairs).
+    Names of one normal form meet once.
     """
     if threshold <= 40:
         raise ValueError("names without a common word can score 40: ask for more")
     left, right = (df.withColumn("norm", normal_name("name")) for df in (left, right))
     share = (threshold - 0.005 - 40) / 60  # scores are rounded to two places
-    rows = set_pairs(left, right, share, share - 0.2).withColumn("score", score("left_norm", "right_norm")).filter(F.col("score") >= threshold)
-    best = top_n(rows, ["left_id"], [F.desc("score"), F.asc("right_id")], 1)
+    forms = [df.groupBy("norm").agg(F.min("id").alias("id")) for df in (left, right)]
+    rows = set_pairs(*forms, share, share - 0.2, once=False).withColumn("score", score("left_norm", "right_norm")).filter(F.col("score") >= threshold)
+    # the best of a form is kept where pairs are made, so pairs are not shuffled
+    top = rows.groupBy("left_norm").agg(F.max_by(F.struct("score", "right_id"), F.struct("score", (-F.col("right_id")).alias("_i"))).alias("top"))
+    best = top_n(left.join(top, F.col("norm") == F.col("left_norm")).select(F.col("id").alias("left_id"), "top.*"), ["left_id"], [F.desc("score"), F.asc("right_id")], 1)
     return best.select("left_id", "right_id", "score", F.when(F.col("score") >= 100, "Exact").when(F.col("score") >= 85, "High").when(F.col("score") >= 70, "Medium").otherwise("Low").alias("confidence"))
 
 
@@ -55,14 +59,20 @@ def sequence_ratio(a: str, b: str) -> Column:
     return ratio(F.col(a), F.col(b))
 
 
+def edit_slack(least: float) -> float:
+    """The share of the longer name's letters that may differ at an edit ratio of at least `least`, which is rounded to two places."""
+    return (100 - least + 0.005) / 100
+
+
 def segment_keys(norm: str, least: float, probe: bool) -> Column:
     """Keys of a name, of which two names of an edit ratio of at least `least` share one if one probes and the other is indexed.
 
     Let the shorter have n letters. Then at most t = n (100 - least) / least edits lie between them, so one of its t + 1
-    segments stands in the longer name, moved by t places at most (pigeonhole). An index key is a segment with its
+    segments stands in the longer name (pigeonhole). Moved by m places, it leaves at least |m| edits before it and |d - m|
+    behind it, d being the difference of lengths, so m lies between -(t - d) / 2 and (t + d) / 2. An index key is a segment with its
     number and n; probe keys are the same substrings of the longer name for every n that it may meet.
     """
-    c, slack = F.col(norm), (100 - least) / 100
+    c, slack = F.col(norm), edit_slack(least)
     whole = F.length(c)
 
     def edits(n: Column) -> Column:
@@ -79,8 +89,55 @@ def segment_keys(norm: str, least: float, probe: bool) -> Column:
 
     if not probe:
         return F.array_distinct(keys(whole, F.array(F.lit(0))))
+
+    def moves(n: Column) -> Column:
+        t, d = edits(n), whole - n
+        return F.when(t >= d, F.sequence(-F.floor((t - d) / 2).cast("int"), F.floor((t + d) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+
     lengths = F.sequence(F.greatest(F.lit(1), F.ceil(whole * (1 - slack) - 1e-9)).cast("int"), whole)
-    return F.array_compact(F.array_distinct(F.flatten(F.transform(lengths, lambda n: keys(n, F.sequence(-edits(n), edits(n)))))))
+    return F.array_compact(F.array_distinct(F.flatten(F.transform(lengths, lambda n: keys(n, moves(n))))))
+
+
+def letter_counts(norm: str) -> list[Column]:
+    """Two longs of a name: for each of 32 classes of letters as many bits as it has letters there, four at most.
+
+    An edit adds one letter at most and takes one, so of two names t edits apart neither has more than t bits that the other lacks.
+    """
+    kinds = F.transform(F.split(norm, ""), lambda x: F.ascii(x) % 32)
+
+    def bits(first: int) -> Column:
+        def of(c: Column) -> Column:
+            n = F.least(F.lit(4), F.size(F.filter(kinds, lambda k: k == c + first)))
+            return F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1, c * 4)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("long"), lambda all_, c: all_.bitwiseOR(of(c)))
+
+    return [bits(0), bits(16)]
+
+
+#: Parts of a key's probing names, so that a segment that most names share is many tasks' work.
+PROBE_PARTS = 32
+
+
+def segment_join(index: DataFrame, probe: DataFrame, least: float) -> DataFrame:
+    """(x, xn, y, yn, similarity), some more than once: names (x, xn) and (y, yn) with an edit ratio of at least `least` that share a segment key.
+
+    Keys are many times the names, so neither side may be sent whole to every task. Pairs are told where they meet, by
+    their counts of letters and then by their edits, and only those that are near enough go on.
+    """
+    every = F.array(*map(F.lit, range(PROBE_PARTS)))
+    index, probe = (saved(df.withColumns({f"{n}_len": F.length(f"{n}n"), **dict(zip((f"{n}_0", f"{n}_1"), letter_counts(f"{n}n")))})) for df, n in ((index, "x"), (probe, "y")))
+    index = index.select("*", F.explode(segment_keys("xn", least, False)).alias("key")).withColumn("part", F.explode(every))
+    probe = probe.select("*", F.explode(segment_keys("yn", least, True)).alias("key")).withColumn("part", F.pmod(F.xxhash64("yn"), F.lit(PROBE_PARTS)).cast("int"))
+    probe = probe.withColumn("_most", F.floor(F.col("y_len") * edit_slack(least) + 1e-9).cast("int"))  # the probing name is the longer one
+    most = F.col("_most")
+
+    def lacking(a: str, b: str) -> Column:
+        return sum((F.bit_count(F.col(f"{a}_{i}").bitwiseAND(F.bitwise_not(f"{b}_{i}"))) for i in (0, 1)), F.lit(0))
+
+    near = (lacking("x", "y") <= most) & (lacking("y", "x") <= most) & (F.call_function("levenshtein", F.col("xn"), F.col("yn"), most) >= 0)
+    met = index.join(probe.hint("merge"), ["key", "part"]).filter(near)
+    return met.select("x", "xn", "y", "yn", F.round(edit_ratio("xn", "yn"), 2).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def duplicate_pairs(names: DataFrame, least: float = 85.0) -> DataFrame:
@@ -90,30 +147,26 @@ def duplicate_pairs(names: DataFrame, least: float = 85.0) -> DataFrame:
     of segment keys, which misses none. Empty names pair with nothing.
     """
     rows = names.withColumn("norm", normal_name("name")).filter("norm <> ''")
-    forms = rows.groupBy("norm").agg(F.min("id").alias("id"))
+    forms = saved(rows.groupBy("norm").agg(F.min("id").alias("id")))
     same = rows.join(forms.withColumnRenamed("id", "_first"), "norm").filter("id <> _first").select(F.col("_first").alias("a"), F.col("id").alias("b"), F.lit(100.0).alias("similarity"))
-    index = forms.select(F.col("id").alias("x"), F.col("norm").alias("xn"), F.explode(segment_keys("norm", least, False)).alias("key"))
-    probe = forms.select(F.col("id").alias("y"), F.col("norm").alias("yn"), F.explode(segment_keys("norm", least, True)).alias("key"))
-    pairs = index.join(probe, "key").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("xn")).otherwise(F.col("yn")).alias("an"),
-                                                             F.when(F.col("x") < F.col("y"), F.col("yn")).otherwise(F.col("xn")).alias("bn")).distinct()
-    pairs = pairs.withColumn("similarity", F.round(edit_ratio("an", "bn"), 2)).filter(F.col("similarity") >= least)
-    return pairs.select("a", "b", "similarity").union(same)
+    met = segment_join(forms.select(F.col("id").alias("x"), F.col("norm").alias("xn")), forms.select(F.col("id").alias("y"), F.col("norm").alias("yn")), least)
+    pairs = met.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity").distinct()
+    return pairs.union(same)
 
 
 def near_names(left: DataFrame, right: DataFrame, least: float = 85.0) -> DataFrame:
     """(left_id, right_id, similarity): names (id, name) of two tables with an edit ratio of at least `least`, case aside, by segment keys.
 
-    Names that are equal but for case meet by a join of their own. Null and empty names meet nothing; repeated rows count once.
+    Names that are equal but for case meet by a join of their own. Null and empty names meet nothing; repeated rows count
+    once, and names that many ids share are compared once.
     """
     rows = [df.select(F.col("id").alias(f"{s}_id"), F.lower("name").alias(f"{s}_norm")).filter(F.col(f"{s}_norm") != "").distinct() for s, df in (("left", left), ("right", right))]
-    same = rows[0].join(rows[1], F.col("left_norm") == F.col("right_norm"))
-    met = []
-    for probing in (0, 1):
-        one, two = (rows[i].withColumn("key", F.explode(segment_keys(f"{s}_norm", least, i == probing))) for i, s in enumerate(("left", "right")))
-        met.append(one.join(two, "key"))
-    names = ["left_id", "left_norm", "right_id", "right_norm"]
-    pairs = same.select(names).union(met[0].select(names)).union(met[1].select(names)).distinct()
-    return pairs.withColumn("similarity", F.round(edit_ratio("left_norm", "right_norm"), 2)).filter(F.col("similarity") >= least).select("left_id", "right_id", "similarity")
+    forms = [saved(r.select(F.col(f"{s}_norm").alias("norm")).distinct()) for s, r in (("left", rows[0]), ("right", rows[1]))]
+    one, two = (forms[i].select(F.col("norm").alias(n), F.col("norm").alias(f"{n}n")) for i, n in ((0, "x"), (1, "y")))
+    met = segment_join(one, two, least).select(F.col("x").alias("left_norm"), F.col("y").alias("right_norm"), "similarity")
+    one, two = (forms[i].select(F.col("norm").alias(n), F.col("norm").alias(f"{n}n")) for i, n in ((1, "x"), (0, "y")))
+    met = met.union(segment_join(one, two, least).select(F.col("y").alias("left_norm"), F.col("x").alias("right_norm"), "similarity")).distinct()
+    return rows[0].join(met, "left_norm").join(rows[1], "right_norm").select("left_id", "right_id", "similarity")
 
 
 def groups(pairs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -27,8 +27,8 @@ def prefix(sets: DataFrame, side: str, upto: Column) -> DataFrame:
     return rows
 
 
-def set_pairs(left: DataFrame, right: DataFrame, least: float, contained: float) -> DataFrame:
-    """(left_id, left_norm, right_id, right_norm), each once: all pairs of word sets that have a Jaccard similarity of at least
+def set_pairs(left: DataFrame, right: DataFrame, least: float, contained: float, once: bool = True) -> DataFrame:
+    """(left_id, left_norm, right_id, right_norm), each once unless `once` is false: all pairs of word sets that have a Jaccard similarity of at least
     `least`, or of which one holds the other and has at least `contained` of its size; and some more, to be scored.
 
     Words have one order, rarest first. Two sets of similarity t share a word within their first n - ceil(t n) + 1, and a
@@ -51,4 +51,5 @@ def set_pairs(left: DataFrame, right: DataFrame, least: float, contained: float)
         one, two = prefix(small, s, F.lit(1)), prefix(large, t, F.col("n") - enough(F.col("n"), contained) + 1)
         sn, tn = F.col(f"{s}_n"), F.col(f"{t}_n")
         held.append(one.join(two, "word").filter((sn <= tn) & (sn >= tn * F.lit(contained) - EDGE) & (sn <= tn - F.col(f"{t}_at"))))
-    return alike.select(names).union(held[0].select(names)).union(held[1].select(names)).distinct()
+    met = alike.select(names).union(held[0].select(names)).union(held[1].select(names))
+    return met.distinct() if once else met
