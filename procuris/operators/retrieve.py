@@ -15,8 +15,8 @@ from procuris.operators.relational import top_n
 from procuris.sources.shared import saved
 
 
-#: Vectors and queries of one block.
-VECTORS, QUERIES = 20_000, 1000
+#: Vectors and queries of one block; queries of it whose similarities a task holds at once.
+VECTORS, QUERIES, AT_ONCE = 20_000, 1000, 32
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
@@ -38,13 +38,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None =
         for n in set(size) & set(wide):
             some, ask = v[size == n], q[wide == n]
             x, y = np.stack(some["v"].to_numpy()), np.stack(ask["q"].to_numpy())
-            with np.errstate(divide="ignore", invalid="ignore"):
-                found = np.round((y @ x.T) / np.linalg.norm(y, axis=1)[:, None] / np.linalg.norm(x, axis=1), 6)
-            ids = some["vec_id"].to_numpy()
-            for query, row in zip(ask["query_id"], found):
-                at = np.flatnonzero(~np.isnan(row))
-                at = at[np.lexsort((ids[at], -row[at]))][:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at], "similarity": row[at]}))
+            ids, names = some["vec_id"].to_numpy(), ask["query_id"].to_numpy()
+            length = np.linalg.norm(x, axis=1)
+            for begin in range(0, len(y), AT_ONCE):
+                part = y[begin:begin + AT_ONCE]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    found = np.round((part @ x.T) / np.linalg.norm(part, axis=1)[:, None] / length, 6)
+                for query, row in zip(names[begin:begin + AT_ONCE], found):
+                    at = np.flatnonzero(~np.isnan(row))
+                    at = at[np.lexsort((ids[at], -row[at]))][:k]
+                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at], "similarity": row[at]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
 
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((rows, "vec_id"), (asked, "query_id"))}

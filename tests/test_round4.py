@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from procuris.functions.columns import rounded
-from procuris.operators import anomaly, explain, features, matching
+from procuris.operators import anomaly, explain, features, matching, retrieve
 
 
 def plan(df) -> str:
@@ -90,3 +90,12 @@ def test_composite_risk_at_a_half(spark):
     assert con.execute("""WITH a AS (SELECT *, round(least(1, greatest(0, 0.42::DOUBLE * 0.30::DOUBLE + industry_risk_numeric * 0.25::DOUBLE + delivery_risk_numeric * 0.25::DOUBLE + 0 * 0.20::DOUBLE)), 4) AS b FROM got),
       n AS (SELECT *, round(least(1, greatest(0, b * 0.85::DOUBLE + disruption_freq_norm * 0.15::DOUBLE)), 4) AS n FROM a)
       SELECT count(*) FROM n WHERE composite_risk_score <> round(least(1, greatest(0, n * 0.90::DOUBLE + 1.0::DOUBLE * 0.10::DOUBLE)), 4)""").fetchone() == (0,)
+
+
+def test_vector_search_holds_few_similarities_at_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7) - 3, float(i % 5) - 2, 1.0]) for i in range(60)], "vec_id long, v array<double>")
+    asked = rows.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    assert retrieve.AT_ONCE * retrieve.VECTORS * 8 <= 8_000_000  # bytes of a task's similarities
+    whole = sorted(map(tuple, retrieve.top_k(rows, asked, 4).collect()))
+    monkeypatch.setattr(retrieve, "AT_ONCE", 3)
+    assert sorted(map(tuple, retrieve.top_k(rows, asked, 4).collect())) == whole and len(whole) == 80
