@@ -17,6 +17,9 @@ from procuris.sources.shared import at_exit, shared_dir
 #: Features of a path up to which the values of all its patterns are worked out once; longer paths take the patterns that rows have.
 TABLED = 8
 
+#: Cells of rows alike to all paths whose values a task keeps, about.
+KEPT = 100_000
+
 
 @dataclass
 class Leaf:
@@ -104,13 +107,33 @@ def leaves(model: Model, spark) -> list[Leaf]:
     return out
 
 
+def all_cuts(paths: list[Leaf], features: int) -> list[np.ndarray]:
+    """The cuts of each feature on any path, in order."""
+    found: list[set] = [set() for _ in range(features)]
+    for p in paths:
+        for f, low, high in zip(p.features, p.low, p.high):
+            found[f] |= {cut for cut in (low, high) if math.isfinite(cut)}
+    return [np.array(sorted(cuts), float) for cuts in found]
+
+
+def cells(cuts: list[np.ndarray], x: np.ndarray) -> np.ndarray | None:
+    """A number for each row: rows of one number lie between the same cuts, and so fare alike. None where there are too many cells to number."""
+    if math.prod(len(c) + 1 for c in cuts) >= 1 << 62:
+        return None
+    code = np.zeros(len(x), np.int64)
+    for f, own in enumerate(cuts):
+        code = code * (len(own) + 1) + np.searchsorted(own, x[:, f])  # up to a cut is under it; what is missing is above all
+    return code
+
+
 def forest_shapley(model: Model, rows: DataFrame, features: list[str], key: str = "vendor_id", of: int | None = None) -> DataFrame:
     """(key, class_index, expected, prediction, contributions): path-dependent tree Shapley values (Lundberg et al. 2020) of every row.
 
     contributions has one number for each of features, which with expected (the forest's mean over its training rows)
     add up to prediction: the chance of the class `of`, or of the row's likeliest class, of a random forest; the margin
     of boosted trees; the value of a regression. The paths go to every task; their number hangs on the model alone. Missing
-    figures count as missing, which the forest sends right. Other columns are not read.
+    figures count as missing, which the forest sends right. Other columns are not read. Rows between the same cuts have the
+    same values, which a task works out once and keeps for some KEPT cells.
     """
     spark = rows.sparkSession
     paths = leaves(model, spark)
@@ -119,10 +142,12 @@ def forest_shapley(model: Model, rows: DataFrame, features: list[str], key: str
 
     def each(batches):
         paths = shared.value
+        cuts = all_cuts(paths, len(features))
         expected = sum(p.value * math.prod(p.share) for p in paths)
         tables = [p.contributions(np.arange(1 << len(p.features))) if len(p.features) <= TABLED else None for p in paths]
-        for pdf in batches:
-            x = pdf[features].to_numpy(float)
+
+        def told(x: np.ndarray) -> np.ndarray:
+            """Rows of class, prediction and contributions."""
             met = [p.patterns(x) for p in paths]
             chance = np.zeros((len(x), len(expected)))
             for p, own in zip(paths, met):
@@ -136,8 +161,26 @@ def forest_shapley(model: Model, rows: DataFrame, features: list[str], key: str
                     distinct, own = np.unique(own, return_inverse=True)
                     ready = p.contributions(distinct)
                 out[:, p.features] += ready[own] * p.value[index][:, None]
-            at = np.arange(len(x))
-            yield pd.DataFrame({key: pdf[key], "class_index": index.astype(np.int32), "expected": expected[index], "prediction": chance[at, index], "contributions": list(out)})
+            return np.column_stack([index, chance[np.arange(len(x)), index], out])
+
+        known, values = np.zeros(0, np.int64), np.zeros((0, 2 + len(features)))
+        for pdf in batches:
+            x = pdf[features].to_numpy(float)
+            code = cells(cuts, x)
+            if code is None:
+                found = told(x)
+            else:
+                code, first, own = np.unique(code, return_index=True, return_inverse=True)
+                fresh = ~np.isin(code, known, assume_unique=True)
+                if fresh.any():
+                    if len(known) > KEPT:
+                        known, values, fresh = known[:0], values[:0], np.ones(len(code), bool)
+                    more = np.concatenate([known, code[fresh]])
+                    order = np.argsort(more)
+                    known, values = more[order], np.concatenate([values, told(x[first[fresh]])])[order]
+                found = values[np.searchsorted(known, code)][own]
+            index = found[:, 0].astype(np.int32)
+            yield pd.DataFrame({key: pdf[key], "class_index": index, "expected": expected[index], "prediction": found[:, 1], "contributions": list(found[:, 2:])})
 
     return rows.select(key, *(F.col(f).cast("double") for f in features)).mapInPandas(each, kind)
 
