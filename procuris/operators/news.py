@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from procuris.functions import params as P
 from procuris.functions.columns import alias_keys, first_category, mapped
-from procuris.operators.automaton import occurrences
+from procuris.operators.automaton import mentions, occurrences
 from procuris.operators.matching import near_names
 from procuris.operators.relational import keep_first, top_n
 from procuris.sources.shared import saved
@@ -107,8 +107,8 @@ def new_companies(texts: DataFrame, known: DataFrame, candidates: DataFrame | li
     """
     spark = texts.sparkSession
     named = (candidates if isinstance(candidates, DataFrame) else spark.createDataFrame([(c,) for c in candidates], "company string")).select("company").filter("company <> ''").distinct()
-    hits = occurrences(texts.select(F.monotonically_increasing_id().alias("text_id"), "text"), named.select(F.col("company").alias("pattern_id"), F.col("company").alias("pattern")))
-    found = saved(hits.groupBy(F.col("pattern_id").alias("company")).agg(F.count("*").alias("mentions")))
+    hits = mentions(texts.select(F.lit(None).cast("long").alias("text_id"), "text"), named.select(F.col("company").alias("pattern_id"), F.col("company").alias("pattern")), unique=True)
+    found = saved(hits.select(F.col("pattern_id").alias("company"), F.col("texts").alias("mentions")))
     like = near_names(found.select(F.col("company").alias("id"), F.col("company").alias("name")), known.select(F.col("supplier_name").alias("id"), F.col("supplier_name").alias("name")), least)
     rows = found.join(like.select(F.col("left_id").alias("company")).distinct(), "company", "left_anti")
     return rows.withColumn("confidence", F.least(F.lit(0.95), 0.5 + F.length("company") / 50))

@@ -9,7 +9,7 @@ from procuris.operators import matching as M
 from procuris.operators import news as N
 from procuris.operators import quality as Q
 from procuris.operators import relational as R
-from procuris.operators.automaton import occurrences
+from procuris.operators.automaton import mentions
 from procuris.plans.delivery import risk_case
 from procuris.plans.registry import query
 from procuris.plans.tables import listed, sql
@@ -240,8 +240,8 @@ def _keys(docs):
 def name_occurrences(spark, d):
     """How many whole texts hold each of the names, wherever in a word."""
     docs = C.read(spark, d, "documents").select("doc_id", "text")
-    hits = occurrences(docs.withColumnRenamed("doc_id", "text_id"), _keys(docs).select(F.col("name_id").alias("pattern_id"), F.col("name").alias("pattern")))
-    return hits.groupBy(F.col("pattern_id").alias("name_id")).agg(F.count("*").alias("texts"))
+    hits = mentions(docs.withColumnRenamed("doc_id", "text_id"), _keys(docs).select(F.col("name_id").alias("pattern_id"), F.col("name").alias("pattern")))
+    return hits.select(F.col("pattern_id").alias("name_id"), "texts")
 
 
 @query(sql(KEYS, """known AS (SELECT CASE WHEN name_id % 2 = 0 THEN name ELSE name || 's' END AS name FROM keys WHERE name_id % 3 = 0)""",
