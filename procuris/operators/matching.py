@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procuris.functions.columns import edit_ratio, normal_name, token_score
+from procuris.operators.blocks import Letters, edits, lacking, met
 from procuris.operators.relational import top_n
 from procuris.operators.setjoin import set_pairs
 from procuris.sources.shared import saved
@@ -98,46 +100,33 @@ def segment_keys(norm: str, least: float, probe: bool) -> Column:
     return F.array_compact(F.array_distinct(F.flatten(F.transform(lengths, lambda n: keys(n, moves(n))))))
 
 
-def letter_counts(norm: str) -> list[Column]:
-    """Two longs of a name: for each of 32 classes of letters as many bits as it has letters there, four at most.
-
-    An edit adds one letter at most and takes one, so of two names t edits apart neither has more than t bits that the other lacks.
-    """
-    kinds = F.transform(F.split(norm, ""), lambda x: F.ascii(x) % 32)
-
-    def bits(first: int) -> Column:
-        def of(c: Column) -> Column:
-            n = F.least(F.lit(4), F.size(F.filter(kinds, lambda k: k == c + first)))
-            return F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1, c * 4)
-
-        return F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("long"), lambda all_, c: all_.bitwiseOR(of(c)))
-
-    return [bits(0), bits(16)]
-
-
-#: Parts of a key's probing names, so that a segment that most names share is many tasks' work.
-PROBE_PARTS = 32
-
-
 def segment_join(index: DataFrame, probe: DataFrame, least: float) -> DataFrame:
-    """(x, xn, y, yn, similarity), some more than once: names (x, xn) and (y, yn) with an edit ratio of at least `least` that share a segment key.
+    """(x, y, similarity), some more than once: names (x, xn) and (y, yn) with an edit ratio of at least `least` that share a segment key.
 
     Keys are many times the names, so neither side may be sent whole to every task. Pairs are told where they meet, by
     their counts of letters and then by their edits, and only those that are near enough go on.
     """
-    every = F.array(*map(F.lit, range(PROBE_PARTS)))
-    index, probe = (saved(df.withColumns({f"{n}_len": F.length(f"{n}n"), **dict(zip((f"{n}_0", f"{n}_1"), letter_counts(f"{n}n")))})) for df, n in ((index, "x"), (probe, "y")))
-    index = index.select("*", F.explode(segment_keys("xn", least, False)).alias("key")).withColumn("part", F.explode(every))
-    probe = probe.select("*", F.explode(segment_keys("yn", least, True)).alias("key")).withColumn("part", F.pmod(F.xxhash64("yn"), F.lit(PROBE_PARTS)).cast("int"))
-    probe = probe.withColumn("_most", F.floor(F.col("y_len") * edit_slack(least) + 1e-9).cast("int"))  # the probing name is the longer one
-    most = F.col("_most")
+    slack, kinds = edit_slack(least), {c: df.schema[c].dataType.simpleString() for df, c in ((index, "x"), (probe, "y"))}
+
+    def tell(a: pd.DataFrame, b: pd.DataFrame):
+        one, two, x, y = Letters(a["xn"]), Letters(b["yn"]), a["x"].to_numpy(), b["y"].to_numpy()
+
+        def near(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+            p, q = one.place[i], two.place[j]
+            most = np.floor(two.size[q] * slack + 1e-9).astype(np.int64)  # the probing name is the longer one
+            some = np.flatnonzero(lacking(one, two, p, q) <= most)
+            apart = edits(one, two, p[some], q[some], most[some])
+            fine = apart <= most[some]
+            some = some[fine]
+            return pd.DataFrame({"x": x[i[some]], "y": y[j[some]], "edits": apart[fine], "longest": np.maximum(one.size[p[some]], two.size[q[some]])}).drop_duplicates()
 
-    def lacking(a: str, b: str) -> Column:
-        return sum((F.bit_count(F.col(f"{a}_{i}").bitwiseAND(F.bitwise_not(f"{b}_{i}"))) for i in (0, 1)), F.lit(0))
+        return near
 
-    near = (lacking("x", "y") <= most) & (lacking("y", "x") <= most) & (F.call_function("levenshtein", F.col("xn"), F.col("yn"), most) >= 0)
-    met = index.join(probe.hint("merge"), ["key", "part"]).filter(near)
-    return met.select("x", "xn", "y", "yn", F.round(edit_ratio("xn", "yn"), 2).alias("similarity")).filter(F.col("similarity") >= least)
+    cores = index.sparkSession.sparkContext.defaultParallelism  # few names are read by one task, which would make all keys
+    index = index.repartition(cores).select("x", "xn", F.explode(segment_keys("xn", least, False)).alias("key"))
+    probe = probe.repartition(cores).select("y", "yn", F.explode(segment_keys("yn", least, True)).alias("key"))
+    found = met(index, probe, tell, f"x {kinds['x']}, y {kinds['y']}, edits long, longest long")
+    return found.select("x", "y", F.round((1 - F.col("edits") / F.col("longest")) * 100, 2).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def duplicate_pairs(names: DataFrame, least: float = 85.0) -> DataFrame:
@@ -149,8 +138,8 @@ def duplicate_pairs(names: DataFrame, least: float = 85.0) -> DataFrame:
     rows = names.withColumn("norm", normal_name("name")).filter("norm <> ''")
     forms = saved(rows.groupBy("norm").agg(F.min("id").alias("id")))
     same = rows.join(forms.withColumnRenamed("id", "_first"), "norm").filter("id <> _first").select(F.col("_first").alias("a"), F.col("id").alias("b"), F.lit(100.0).alias("similarity"))
-    met = segment_join(forms.select(F.col("id").alias("x"), F.col("norm").alias("xn")), forms.select(F.col("id").alias("y"), F.col("norm").alias("yn")), least)
-    pairs = met.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity").distinct()
+    like = segment_join(forms.select(F.col("id").alias("x"), F.col("norm").alias("xn")), forms.select(F.col("id").alias("y"), F.col("norm").alias("yn")), least)
+    pairs = like.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity").distinct()
     return pairs.union(same)
 
 
@@ -163,10 +152,10 @@ def near_names(left: DataFrame, right: DataFrame, least: float = 85.0) -> DataFr
     rows = [df.select(F.col("id").alias(f"{s}_id"), F.lower("name").alias(f"{s}_norm")).filter(F.col(f"{s}_norm") != "").distinct() for s, df in (("left", left), ("right", right))]
     forms = [saved(r.select(F.col(f"{s}_norm").alias("norm")).distinct()) for s, r in (("left", rows[0]), ("right", rows[1]))]
     one, two = (forms[i].select(F.col("norm").alias(n), F.col("norm").alias(f"{n}n")) for i, n in ((0, "x"), (1, "y")))
-    met = segment_join(one, two, least).select(F.col("x").alias("left_norm"), F.col("y").alias("right_norm"), "similarity")
+    like = segment_join(one, two, least).select(F.col("x").alias("left_norm"), F.col("y").alias("right_norm"), "similarity")
     one, two = (forms[i].select(F.col("norm").alias(n), F.col("norm").alias(f"{n}n")) for i, n in ((1, "x"), (0, "y")))
-    met = met.union(segment_join(one, two, least).select(F.col("y").alias("left_norm"), F.col("x").alias("right_norm"), "similarity")).distinct()
-    return rows[0].join(met, "left_norm").join(rows[1], "right_norm").select("left_id", "right_id", "similarity")
+    like = like.union(segment_join(one, two, least).select(F.col("y").alias("left_norm"), F.col("x").alias("right_norm"), "similarity")).distinct()
+    return rows[0].join(like, "left_norm").join(rows[1], "right_norm").select("left_id", "right_id", "similarity")
 
 
 def groups(pairs: DataFrame, ids: DataFrame) -> DataFrame:
