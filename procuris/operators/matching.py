@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,55 @@ def score(a: str | Column, b: str | Column) -> Column:
     return F.round(F.when(F.col(a) == F.col(b), 100.0).otherwise(0.6 * token_score(a, b) + 0.4 * edit_ratio(a, b)), 2)
 
 
+#: More than the rounding of scores can move one against another.
+CLOSE = 0.011
+
+
+def best_of(threshold: float) -> Callable:
+    """For set_pairs: of each left name's pairs in a block those of the best score, and of nearly that, of equal scores that of the least right id.
+
+    A pair's words and counts of letters bound its score. Edits are counted of each name's most promising pair first,
+    and then of those pairs alone whose bound is not below what that one, or an earlier one, scores.
+    """
+
+    def tell(a: pd.DataFrame, b: pd.DataFrame) -> Callable:
+        one, two, known = Letters(a["left_norm"]), Letters(b["right_norm"]), {}
+        words = []
+        for names, pad in ((a["left_norm"], -1), (b["right_norm"], -2)):
+            sets = [[known.setdefault(w, len(known)) for w in dict.fromkeys(x.split(" ")) if w] for x in names.unique()]
+            table = np.full((len(sets), max(map(len, sets))), pad)
+            for row, own in zip(table, sets):
+                row[:len(own)] = own
+            words.append((table, np.fromiter(map(len, sets), np.int64, len(sets))))
+        (x, nx), (y, ny) = words
+        bar = np.full(len(one.size), threshold - CLOSE)
+
+        def least(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+            p, q = one.place[i], two.place[j]
+            both = sum((x[p, c] == y[q, d] for c in range(x.shape[1]) for d in range(y.shape[1])), np.zeros(len(p), np.int64))
+            held = np.where((both == nx[p]) | (both == ny[q]), 0.2, 0.0)
+            base = 0.6 * np.minimum(100.0, (both / (nx[p] + ny[q] - both) + held) * 100)
+            longest = np.maximum(one.size[p], two.size[q])
+            bound = base + 0.4 * (1 - lacking(one, two, p, q) / longest) * 100
+            some = np.flatnonzero(bound >= bar[p])
+            firsts = some[np.lexsort((-bound[some], p[some]))]
+            firsts = firsts[np.diff(p[firsts], prepend=-1) != 0]
+            scores = np.full(len(p), -1.0)
+            for pick in (firsts, None):
+                pick = some[(bound[some] >= bar[p[some]]) & (scores[some] < 0)] if pick is None else pick
+                most = np.floor((base[pick] + 40 - bar[p[pick]]) / 40 * longest[pick] + 1e-9).astype(np.int64)
+                far = edits(one, two, p[pick], q[pick], np.minimum(most, longest[pick]))
+                scores[pick] = np.where(far <= most, base[pick] + 0.4 * (1 - far / longest[pick]) * 100, 0.0)
+                np.maximum.at(bar, p[pick], scores[pick] - CLOSE)
+            kept = some[scores[some] >= bar[p[some]]]
+            out = pd.DataFrame({"left_id": a["left_id"].to_numpy()[i[kept]], "left_norm": a["left_norm"].to_numpy()[i[kept]], "right_id": b["right_id"].to_numpy()[j[kept]], "right_norm": b["right_norm"].to_numpy()[j[kept]], "score": scores[kept]})
+            return out.sort_values("right_id").drop_duplicates(["left_norm", "score"]).drop(columns="score")
+
+        return least
+
+    return tell
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, threshold: float = 60.0) -> DataFrame:
     """For each left name the best right name of at least the threshold; (left_id, right_id, score, confidence). Ties to the least id.
 
@@ -33,8 +83,8 @@ def fuzzy_match(left: DataFrame, right: DataFrame, threshold: float = 60.0) -> D
     left, right = (df.withColumn("norm", normal_name("name")) for df in (left, right))
     share = (threshold - 0.005 - 40) / 60  # scores are rounded to two places
     forms = [df.groupBy("norm").agg(F.min("id").alias("id")) for df in (left, right)]
-    rows = set_pairs(*forms, share, share - 0.2, once=False).withColumn("score", score("left_norm", "right_norm")).filter(F.col("score") >= threshold)
-    # the best of a form is kept where pairs are made, so pairs are not shuffled
+    # the best of a form are kept where pairs are made, so pairs are not shuffled
+    rows = set_pairs(*forms, share, share - 0.2, tell=best_of(threshold)).withColumn("score", score("left_norm", "right_norm")).filter(F.col("score") >= threshold)
     top = rows.groupBy("left_norm").agg(F.max_by(F.struct("score", "right_id"), F.struct("score", (-F.col("right_id")).alias("_i"))).alias("top"))
     best = top_n(left.join(top, F.col("norm") == F.col("left_norm")).select(F.col("id").alias("left_id"), "top.*"), ["left_id"], [F.desc("score"), F.asc("right_id")], 1)
     return best.select("left_id", "right_id", "score", F.when(F.col("score") >= 100, "Exact").when(F.col("score") >= 85, "High").when(F.col("score") >= 70, "Medium").otherwise("Low").alias("confidence"))
